@@ -57,3 +57,23 @@ def free_name(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+class Remembered(dict):
+    """A bounded memory of a Python worker: two generations, of which the older is forgotten when the younger is full."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit // 2, {}
+
+    def __missing__(self, key):
+        self[key] = value = self.old[key]
+        return value
+
+    def lacks(self, keys) -> list:
+        """The keys that must be learnt; what it has of the others stays until the next call."""
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        old = self.old
+        return [k for k in keys if k not in self and k not in old]

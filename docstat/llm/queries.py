@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docstat.llm import exact_dedup, pii, secrets
+from docstat.llm import exact_dedup, media, packing, pieces, pii, quality, secrets
 from docstat.llm.common import documents
 
 
@@ -12,18 +13,38 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find(documents(spark, sf_dir)))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(documents(spark, sf_dir))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.encode(documents(spark, sf_dir)))
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest_columns(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.find(documents(spark, sf_dir)))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_media": op6_media,
+    "op8_pieces": op8_pieces,
     "op9_secrets": op9_secrets,
+    "op10_packing": op10_packing,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
