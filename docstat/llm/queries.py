@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docstat.llm import exact_dedup, media, packing, pieces, pii, quality, secrets
+from docstat.llm import exact_dedup, lines, media, packing, pieces, pii, quality, secrets, simhash, substring
 from docstat.llm.common import documents
 
 
@@ -21,10 +21,22 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(documents(spark, sf_dir))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest_columns(simhash.near_components(documents(spark, sf_dir)))
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest_columns(documents(spark, sf_dir))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.encode(documents(spark, sf_dir)))
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(documents(spark, sf_dir))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_columns(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -41,12 +53,16 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_simhash": op4_simhash,
+    "op5_lines": op5_lines,
     "op6_media": op6_media,
+    "op7_substring": op7_substring,
     "op8_pieces": op8_pieces,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op7_substring": substring.ORACLE,
     "op9_secrets": secrets.ORACLE,
 }
