@@ -1,0 +1,44 @@
+"""Checks across stages as one table: check_name, status, n_failed."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def check(name: str, offending: DataFrame) -> DataFrame:
+    """One row: failed when a row offends."""
+    n = F.count(F.lit(1))
+    return offending.agg(n.alias("n_failed")).select(F.lit(name).alias("check_name"), F.when(F.col("n_failed") == 0, "passed").otherwise("failed").alias("status"), "n_failed")
+
+
+def suite(checks: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (check(name, rows) for name, rows in checks.items()))
+
+
+def consistency(items: DataFrame, eligible: DataFrame, fields: DataFrame, kept: DataFrame, entries: DataFrame) -> dict[str, DataFrame]:
+    """The invariants of the pipeline, each as the rows that break it."""
+    both = items.select("document_id", F.col("review_decision").alias("decision"), "parse_quality_level").join(eligible.select("document_id", "eligible_for_extraction", "required_files_present"), "document_id")
+    approved = F.col("decision").isin("approved_for_extraction", "approved_with_warnings")
+    counts = fields.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).join(kept.groupBy("document_id").agg(F.count(F.lit(1)).alias("k")), "document_id", "full")
+    return {
+        "blocking_decisions_are_not_eligible": both.where(~approved & F.col("eligible_for_extraction")),
+        "approved_with_files_is_eligible": both.where(approved & (F.col("parse_quality_level") != "failed") & F.col("required_files_present") & ~F.col("eligible_for_extraction")),
+        "task_ids_are_unique": entries.groupBy("parse_task_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
+        "pages_match_summary": entries.where("parse_quality_level <> 'failed' and pages_count <> total_pages"),
+        "kept_fields_come_from_fields": counts.where("n is null or k is null or k > n"),
+    }
+
+
+def status_counts(checks: DataFrame) -> DataFrame:
+    return checks.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def normalization_stats(tables: DataFrame) -> DataFrame:
+    """One row: tables, empty and headless tables, cells, distinct documents."""
+    return tables.agg(
+        F.count(F.lit(1)).alias("n_tables"), F.count_if(F.col("candidate_statement_type") == "unknown").alias("n_unknown"), F.count_if(~F.col("has_header")).alias("n_headless"),
+        F.sum("cell_count").alias("n_cells"), F.countDistinct("document_id").alias("n_documents"), F.max("col_count").alias("widest"),
+    )
