@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,11 +31,8 @@ def match_key(text: Column) -> Column:
 
 
 def contains_any(text: Column, words) -> Column:
-    """Whether text holds one of the words."""
-    found = F.lit(False)
-    for word in words:
-        found = found | text.contains(word)
-    return found
+    """Whether text holds one of the words; one pass over it for all of them."""
+    return text.rlike("|".join(re.escape(w) for w in words))
 
 
 def first_label(text: Column, labelled, default: str = "unknown") -> Column:
@@ -109,5 +108,10 @@ def clamp_score(score: Column) -> Column:
     return F.bround(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))), 4)
 
 
+def fixed(value: Column, places: int) -> Column:
+    """With so many decimals, ties to even; format_string alone rounds ties up."""
+    return F.format_string(f"%.{places}f", F.bround(value, places))
+
+
 def utc_text(moment: Column) -> Column:
     return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -35,8 +35,8 @@ def assess(summaries: DataFrame) -> DataFrame:
         (empty > 0, say("empty_pages_count", empty), "needs_review"),
         (visual > 0, say("visual_table_route_pages_count", visual), "pass_with_warnings"),
         (cross > 0, say("cross_page_table_candidate_count", cross), "pass_with_warnings"),
-        (ocr >= rules.OCR_LIMIT, F.format_string("ocr_ratio=%.4f is high", ocr), "needs_review"),
-        (heavy >= rules.HEAVY_LIMIT, F.format_string("heavy_parser_ratio=%.4f is high", heavy), "needs_review"),
+        (ocr >= rules.OCR_LIMIT, F.concat(F.lit("ocr_ratio="), text.fixed(ocr, 4), F.lit(" is high")), "needs_review"),
+        (heavy >= rules.HEAVY_LIMIT, F.concat(F.lit("heavy_parser_ratio="), text.fixed(heavy, 4), F.lit(" is high")), "needs_review"),
         (flagged, "quality_flags contains flagged pages", "pass_with_warnings"),
     ]
     place = lambda level: F.array_position(F.array(*map(F.lit, LEVELS)), F.lit(level) if isinstance(level, str) else level)

@@ -21,8 +21,8 @@ def classify() -> tuple[Column, Column]:
         (level == "needs_review", "parse_quality_level=needs_review"),
         (cross > 0, F.concat(F.lit("cross_page_table_candidate_count="), cross.cast("string"))),
         (visual > 0, F.concat(F.lit("visual_table_route_pages_count="), visual.cast("string"))),
-        (ratio("ocr_ratio") >= rules.OCR_LIMIT, F.format_string("ocr_ratio=%.4f", ratio("ocr_ratio"))),
-        (ratio("heavy_parser_ratio") >= rules.HEAVY_LIMIT, F.format_string("heavy_parser_ratio=%.4f", ratio("heavy_parser_ratio"))),
+        (ratio("ocr_ratio") >= rules.OCR_LIMIT, F.concat(F.lit("ocr_ratio="), text.fixed(ratio("ocr_ratio"), 4))),
+        (ratio("heavy_parser_ratio") >= rules.HEAVY_LIMIT, F.concat(F.lit("heavy_parser_ratio="), text.fixed(ratio("heavy_parser_ratio"), 4))),
     )
     verdict = F.when(broken | missing, "failed").when(F.size(risks) > 0, "needs_review").when(level == "pass", "ready_for_extraction").when(level == "pass_with_warnings", "ready_with_warnings")
     why = (

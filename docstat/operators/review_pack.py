@@ -36,7 +36,7 @@ def field_items(fields: DataFrame) -> DataFrame:
     broken = text.looks_broken(F.col("raw_value"), F.col("normalized_value"))
     parts = F.array_distinct(
         text.reasons(
-            (cross, F.format_string("cross-page table confidence=%.2f", F.col("continuation"))),
+            (cross, F.concat(F.lit("cross-page table confidence="), text.fixed(F.col("continuation"), 2))),
             (F.col("confidence") < rules.FIELD_REVIEW_BELOW, "confidence<0.75"),
             (F.col("mapping_reason").contains("weak_aliases"), "weak alias match"),
             (F.col("period_label") == "unknown_period", "unknown period"),
