@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docstat.functions import rules, text
+from docstat.sources.store import written
 
 ITEM = ("document_id", "pdf_name", "review_type", "reason", "source_pages", "table_id", "table_group_id", "canonical_field_name", "raw_field_name", "raw_value", "normalized_value", "period_label", "unit", "currency", "confidence", "suggested_user_action", "evidence_excerpt")
 ACTIONS = {
@@ -97,9 +98,17 @@ def pack(*parts: DataFrame, limit: int = rules.PACK_LIMIT) -> DataFrame:
 
 
 def numbered(items: DataFrame) -> DataFrame:
-    """review_item_id over the whole pack, documents in order of their id. The pack has at most PACK_LIMIT rows a document."""
+    """review_item_id over the whole pack, documents in order of their id. The pack has at most PACK_LIMIT rows a document.
+
+    Documents are dealt into ranges, whose totals, one row a range, are all that one task adds up; each range counts on from there.
+    """
     sizes = items.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("document_id", (F.sum("n").over(Window.orderBy("document_id")) - F.col("n")).alias("before"))
+    ranges = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(sizes.repartitionByRange(ranges, "document_id").withColumn("range", F.spark_partition_id()), "review-sizes")
+    totals = dealt.groupBy("range").agg(F.sum("n").alias("total"))
+    starts = totals.select("range", (F.sum("total").over(Window.orderBy("range")) - F.col("total")).alias("start"))
+    so_far = F.sum("n").over(Window.partitionBy("range").orderBy("document_id"))
+    before = dealt.join(F.broadcast(starts), "range").select("document_id", (F.col("start") + so_far - F.col("n")).alias("before"))
     return items.join(before, "document_id").withColumn("review_item_id", F.format_string("hri_%05d", F.col("before") + F.col("rank")))
 
 

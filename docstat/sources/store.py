@@ -5,9 +5,21 @@ A table being read is never overwritten. One writer at a time; readers keep the
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LOCAL_SHARED = "/tmp/docstat-shared"
+
+
+def written(frame: DataFrame, tag: str) -> DataFrame:
+    """frame as a table in the folder that spark.checkpoint.dir names: all readers see the same rows, whatever is lost meanwhile."""
+    spark = frame.sparkSession
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or LOCAL_SHARED}/docstat-{tag}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
 
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str, schema: str):

@@ -236,7 +236,7 @@ def test_order_does_not_matter(spark, sf):
     assert sorted(a, key=key) == sorted(b, key=key)
 
 
-@pytest.mark.parametrize("name", ["quality_gate", "eligibility", "table_quality", "unit_currency", "role_by_content", "parse_numbers", "suspicious_values", "registry_upsert", "merged_tables", "statements"])
+@pytest.mark.parametrize("name", ["quality_gate", "eligibility", "table_quality", "unit_currency", "role_by_content", "parse_numbers", "suspicious_values", "registry_upsert", "merged_tables", "statements", "review_top30"])
 def test_queries_equal_their_sql(spark, sf, name):
     db = duckdb.connect()
     for table in ("orders", "lineitem", "events", "pages", "conversations", "part", "documents"):
