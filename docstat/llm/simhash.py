@@ -12,9 +12,12 @@ documents: the rows that may match come to their tree by one shuffle on the shar
 MOST_NODES fingerprints is dealt again by three parts of its other bits, of which two
 within the radius agree in one at least, so the trees stay small for any input and no pair is lost.
 
-`wide` is the setting for whole documents: five words and a similarity of about 0.8. Fingerprints of 256 bits estimate the
-similarity; as the radius for it is far over what blocks can promise, shards are
-TABLES random choices of bits, and a pair at 0.85 meets in one of them with a probability of about 0.95.
+`wide` is the setting for whole documents: two texts link when the Jaccard similarity of their sets of five-word
+shingles is at least 0.8. No choice of blocks is certain for that, so hits only propose: SimHash hits (256 bits, TABLES random choices of bits
+as shards) and texts that share one of BANDS groups of ROWS minimal hashes, which a pair at 0.8 does with a
+probability of 0.9996, make candidate clusters, and in a cluster the shingle sets themselves decide. A cluster is compared in blocks of
+about BLOCK texts: each block with itself and a few anchors, then what isn't in the cluster's largest part with
+every block.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; text under a
 shingle's words is one shingle; a null doc_id is never a component's name unless all are null; rows that share a
@@ -24,7 +27,7 @@ doc_id are versions of one document; an empty table gives an empty table; other
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -47,10 +50,10 @@ LANES = tuple(np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 
 
 class Setting:
-    """words: of a shingle; lanes: of 64 bits; radius: in bits; masks, again: bits that deal fingerprints to shards."""
+    """words: of a shingle; lanes: of 64 bits; radius: in bits; masks, again: bits that deal fingerprints to shards; exact: shingle sets decide."""
 
-    def __init__(self, words: int, lanes: int, radius: int, masks: list[int], again: list[list[int]]):
-        self.words, self.lanes, self.radius, self.masks, self.again = words, lanes, radius, masks, again
+    def __init__(self, words: int, lanes: int, radius: int, masks: list[int], again: list[list[int]], exact: bool = False):
+        self.words, self.lanes, self.radius, self.masks, self.again, self.exact = words, lanes, radius, masks, again, exact
 
 
 def contract() -> Setting:
@@ -65,55 +68,89 @@ def contract() -> Setting:
 
 
 TABLES, TABLE_BITS, WIDE_RADIUS = 48, 20, 45
+BANDS, ROWS = 26, 6
+MINIMA = np.random.default_rng(SEED).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Texts of a cluster that one task holds at a time, and those of a cluster that every block sees first; about.
+BLOCK, ANCHORS = 256, 32
 
 
 def wide() -> Setting:
-    """Five words and 256 bits, of which WIDE_RADIUS may differ: a similarity of about 0.8 (expected distance 39 at 0.8, 50 at 0.7)."""
+    """Five words and a similarity of 0.8; 256 bits, of which WIDE_RADIUS may differ, propose (expected distance 39 at 0.8, 50 at 0.7)."""
     rng = np.random.default_rng(SEED)
     masks, again = [], []
     for _ in range(TABLES):
         bits = [int(b) for b in rng.permutation(256)]
         masks.append(sum(1 << b for b in bits[:TABLE_BITS]))
         again.append([sum(1 << b for b in bits[TABLE_BITS + 12 * i : TABLE_BITS + 12 * i + 12]) for i in range(3)])
-    return Setting(5, 4, WIDE_RADIUS, masks, again)
+    return Setting(5, 4, WIDE_RADIUS, masks, again, exact=True)
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, LANE).sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str, words: int, lanes: int = 1) -> bytes:
-    """Big-endian bytes; lane 0 holds the lowest bits and votes with the plain hashes."""
+def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles in order, AT_ONCE at a time."""
     split = text.encode().lower().split()
-    counts, total = [np.zeros(LANE, np.int64) for _ in range(lanes)], 0
     if split:
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         stops = np.cumsum(sizes + 1) - 1
         size = min(words, len(split))
         starts, stops = (stops - sizes)[: len(split) - size + 1], stops[size - 1 :]
-        data, total = b" ".join(split), len(starts)
-        for lo in range(0, total, AT_ONCE):
-            hashes = np.array([xxhash.xxh64_intdigest(data[a:b], SEED) for a, b in zip(starts[lo : lo + AT_ONCE].tolist(), stops[lo : lo + AT_ONCE].tolist())], np.uint64)
-            for lane in range(lanes):
-                mixed = hashes if not lane else (hashes ^ (hashes >> np.uint64(29))) * LANES[lane]
-                counts[lane] += _bit_counts(mixed ^ (mixed >> np.uint64(32)) if lane else mixed)
+        data = b" ".join(split)
+        for lo in range(0, len(starts), AT_ONCE):
+            yield np.array([xxhash.xxh64_intdigest(data[a:b], SEED) for a, b in zip(starts[lo : lo + AT_ONCE].tolist(), stops[lo : lo + AT_ONCE].tolist())], np.uint64)
+
+
+def _fingerprint(parts: Iterable[np.ndarray], lanes: int) -> bytes:
+    counts, total = [np.zeros(LANE, np.int64) for _ in range(lanes)], 0
+    for hashes in parts:
+        total += len(hashes)
+        for lane in range(lanes):
+            mixed = hashes if not lane else (hashes ^ (hashes >> np.uint64(29))) * LANES[lane]
+            counts[lane] += _bit_counts(mixed ^ (mixed >> np.uint64(32)) if lane else mixed)
     bits = np.concatenate([2 * c > total for c in counts])
     return np.packbits(bits, bitorder="little").tobytes()[::-1]
 
 
+def fingerprint(text: str, words: int, lanes: int = 1) -> bytes:
+    """Big-endian bytes; lane 0 holds the lowest bits and votes with the plain hashes."""
+    return _fingerprint(shingle_hashes(text, words), lanes)
+
+
+def bands(parts: Iterable[np.ndarray]) -> np.ndarray:
+    """A name for each group of ROWS minimal hashes of a text's shingles."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for hashes in parts:
+        for lo in range(0, len(hashes), 512):
+            np.minimum(least, (hashes[lo : lo + 512, None] * MINIMA).min(axis=0), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64) * LANES[1]
+    for row in least.reshape(BANDS, ROWS).T:
+        out = (out ^ row) * np.uint64(0xFF51AFD7ED558CCD)
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
+
+
 def fingerprints(docs: DataFrame, setting: Setting) -> DataFrame:
-    """doc_id, key (of the text) and fp of each row, written once."""
-    words, lanes = setting.words, setting.lanes
+    """doc_id, key (of the text) and fp of each row, and its bands where shingle sets decide; written once."""
+    words, lanes, exact = setting.words, setting.lanes, setting.exact
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                found = [fingerprint(t, words, lanes) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["doc_id", "key", "fp"])
+                found, groups = [], []
+                for text in part.column(2).to_pylist():
+                    hashes = shingle_hashes(text, words)
+                    if exact:
+                        hashes = list(hashes)
+                        groups.append(bands(hashes))
+                    found.append(_fingerprint(hashes, lanes))
+                columns = [part.column(0), part.column(1), pa.array(found, pa.binary())] + ([pa.array(groups, pa.list_(pa.int64()))] if exact else [])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "fp", "bands"][: len(columns)])
 
     text = text_or_empty()
-    return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(run, FINGERPRINTS), "fingerprints")
+    return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(run, FINGERPRINTS + ", bands array<long>" * exact), "fingerprints")
 
 
 def _lanes_of(column: pa.Array, lanes: int) -> np.ndarray:
@@ -238,23 +275,129 @@ def link(shards: DataFrame, setting: Setting) -> DataFrame:
     return shards.select("shard", "fp").repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(run, "a binary, b binary")
 
 
+def stars(shards: DataFrame) -> DataFrame:
+    """(a, b): each fingerprint of a shard and the shard's smallest one."""
+    low = shards.groupBy("shard").agg(F.min("fp").alias("b"), F.max("fp").alias("high")).where("b <> high").select("shard", "b")
+    return shards.join(low, "shard").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+
+
+def shingle_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """members, one row a key, with shingles: the sorted distinct shingle hashes of the key's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                found = [np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(t, words)])).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["key", "shingles"])
+
+    texts = docs.select(F.xxhash64(text_or_empty()).alias("key"), text_or_empty().alias("text")).join(members.select("key"), "key", "left_semi")
+    sets = texts.groupBy("key").agg(F.first("text").alias("text")).mapInArrow(run, "key long, shingles binary")
+    return stage(members.join(sets, "key"), "shingle-sets")
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of at least 0.8; two empty ones have."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 5 * len(a) < 4 * len(b):
+        return False
+    if not len(a):
+        return True
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def compare(rows: DataFrame, inside: bool) -> DataFrame:
+    """(a, b): similar keys of different parts, a spanning forest in each (cluster, block).
+
+    Probes meet the block's other rows, which meet each other only if `inside`; only the latter are held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, up, out = None, [], {}, []
+
+        def top(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        for batch in batches:
+            for cluster, block, probe, key, part, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if (cluster, block) != group:
+                    group, held, up = (cluster, block), [], {}
+                up.setdefault(part, part)
+                own = np.frombuffer(raw, np.uint64)
+                if probe or inside:
+                    for other, its_part, its in held:
+                        if top(its_part) != top(part) and similar(own, its):
+                            up[top(its_part)] = top(part)
+                            out.append((key, other))
+                if not probe:
+                    held.append((key, part, own))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+                out = []
+
+    columns = ("cluster", "block", "probe", "key", "part", "shingles")
+    return rows.select(*columns).repartition("cluster", "block").sortWithinPartitions("cluster", "block", "probe", "key").mapInArrow(run, "a long, b long")
+
+
+def verified(docs: DataFrame, rows: DataFrame, clusters: DataFrame, words: int) -> DataFrame:
+    """(a, b): links between keys that connect just the texts of each cluster that chains of similar ones connect.
+
+    clusters: (fp, cluster) of fingerprints that have links; the others are clusters of their own.
+    """
+    members = rows.select("key", "fp").distinct().join(clusters, "fp", "left").select("key", F.coalesce("cluster", "fp").alias("cluster"))
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = members.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
+    sets = shingle_sets(docs, dealt, words)
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    own = sets.withColumn("probe", F.lit(False))
+    anchors = sets.where((F.col("blocks") > 1) & (F.pmod(F.hash("key"), F.ceil(F.col("n") / ANCHORS)) == 0)).withColumn("home", F.col("block"))
+    anchors = anchors.withColumns({"block": everywhere, "probe": F.lit(True)}).where("block <> home").drop("home")
+    links = stage(compare(own.unionByName(anchors).withColumn("part", F.col("key")), True), "verified")
+    wide_sets = sets.where("blocks > 1")
+    if wide_sets.isEmpty():
+        return links
+    narrow = wide_sets.select("key", "cluster")
+    roots = components(links).select(F.col("node").alias("key"), "root")
+    parts = stage(narrow.join(roots, "key", "left").select("key", "cluster", F.coalesce("root", "key").alias("part")), "parts")
+    main = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("cluster").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    open_ = wide_sets.join(parts.select("key", "part"), "key").join(main, "cluster")
+    probes = open_.where("part <> main").withColumn("home", F.col("block")).withColumns({"block": everywhere, "probe": F.lit(True)}).where("block <> home").drop("home")
+    return links.unionByName(stage(compare(open_.withColumn("probe", F.lit(False)).unionByName(probes), False), "verified"))
+
+
+def _candidates(rows: DataFrame, nodes: DataFrame, setting: Setting) -> DataFrame:
+    shards = deal(nodes, setting)
+    large = stage(shards.groupBy("shard").count().where(F.col("count") > MOST_NODES).select("shard"), "large-shards")
+    edges = link(shards.join(large, "shard", "left_anti"), setting)
+    if not large.isEmpty():
+        rest = shards.join(large, "shard", "left_semi").select("shard", "mask", "fp")
+        edges = edges.unionByName(link(deal_again(rest, setting).distinct(), setting))
+    if setting.exact:
+        edges = edges.unionByName(stars(rows.select(F.explode("bands").alias("shard"), "fp")))
+    return stage(edges, "links")
+
+
 def near_components(docs: DataFrame, setting: Setting | None = None) -> DataFrame:
     """doc_id, key, fp, component_id of each row; component_id: the smallest doc_id that links lead to."""
     setting = setting or contract()
     rows = fingerprints(docs, setting)
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    shards = deal(nodes, setting)
-    large = stage(shards.groupBy("shard").count().where(F.col("count") > MOST_NODES).select("shard"), "large-shards")
-    edges = link(shards.join(large, "shard", "left_anti"), setting)
-    if not large.isEmpty():
-        edges = edges.unionByName(link(deal_again(shards.join(large, "shard", "left_semi").select("shard", "mask", "fp"), setting).distinct(), setting))
-    edges = stage(edges, "links")
+    edges = _candidates(rows, nodes, setting)
     found = components(edges)
     drop_staged(edges)
-    members = nodes.join(found.withColumnRenamed("node", "fp"), "fp")
+    name = "fp"
+    if setting.exact:
+        name, found = "key", components(verified(docs, rows, found.select(F.col("node").alias("fp"), F.col("root").alias("cluster")), setting.words))
+        nodes = stage(rows.groupBy("key").agg(F.min("doc_id").alias("first")), "nodes")
+    members = nodes.join(found.withColumnRenamed("node", name), name)
     least = members.groupBy("root").agg(F.min("first").alias("least"))
-    named = nodes.join(members.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "key", "fp", "component_id")
+    named = nodes.join(members.join(least, "root").select(name, "least"), name, "left").select(name, F.coalesce("least", "first").alias("component_id"))
+    return rows.join(named, name).select("doc_id", "key", "fp", "component_id")
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

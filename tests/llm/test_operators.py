@@ -116,6 +116,43 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert {i for i in range(60)} <= kept and len(kept & copies) <= 1
 
 
+def planted_pairs():
+    """(rows, links): pairs at similarities of 0.70, 0.80 and 0.85, and a family of near copies whose members chain; links by brute force."""
+    rng = random.Random(9)
+    new = lambda n: ["".join(rng.choices("abcdefghij", k=8)) for _ in range(n)]
+    bodies = []
+    for common, tail in [(70, 15), (80, 10), (170, 15)]:
+        for _ in range(60):
+            body = new(common + 4)
+            bodies += [body + new(tail), body + new(tail)]
+    family = new(200)
+    for _ in range(60):
+        near = list(family)
+        for at in rng.sample(range(200), rng.choice([1, 2, 3, 6])):
+            near[at] = new(1)[0]
+        bodies.append(near)
+    sets = [{tuple(b[j : j + 5]) for j in range(len(b) - 4)} for b in bodies]
+    links = [(i, j) for i, j in combinations(range(len(sets)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    return [(i, " ".join(b)) for i, b in enumerate(bodies)], links
+
+
+@pytest.mark.parametrize("change", [{}, {"BLOCK": 8, "ANCHORS": 2}])
+def test_wide_links_by_shingle_similarity(spark, monkeypatch, change):
+    for name, value in change.items():
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    rows, links = planted_pairs()
+    assert sum(i < 120 for i, _ in links) == 0 and sum(120 <= i < 360 for i, _ in links) == 120
+    rows += [(5000, None), (5001, " \t"), (5002, "same words here " * 9), (5003, "SAME words here " * 9), (5004, "two words"), (5005, "two Words")]
+    want = least_reachable([i for i, _ in rows], [*links, (5000, 5001), (5002, 5003), (5004, 5005)])
+    found = simhash.near_components(spark.createDataFrame(rows, SHORT).repartition(3), simhash.wide())
+    assert {r.doc_id: r.component_id for r in found.collect()} == want
+
+
+def test_equal_fingerprints_of_unlike_texts_stay_apart(spark):
+    rows = [(i, "one two three four five " * 40 + " ".join(f"own{i}x{j}" for j in range(30))) for i in range(4)]
+    assert {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, SHORT)).collect()} == set(range(4))
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 200), (5, 5)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
