@@ -9,7 +9,7 @@ all pairs of a group; the links' connected components are the near-duplicate gro
 
 Trees aren't gathered and broadcast by the driver, which would have to hold the fingerprints of all
 documents: the rows that may match come to their tree by one shuffle on the shard. A shard with more than
-MOST_NODES fingerprints is dealt again by three parts of its other bits, of which two
+MOST_NODES fingerprints is, at radius 2, dealt again by three parts of its other bits, of which two
 within the radius agree in one at least, so the trees stay small for any input and no pair is lost.
 
 `wide` is the setting for whole documents: two texts link when the Jaccard similarity of their sets of five-word
@@ -17,7 +17,7 @@ shingles is at least 0.8. No choice of blocks is certain for that, so hits only
 as shards) and texts that share one of BANDS groups of ROWS minimal hashes, which a pair at 0.8 does with a
 probability of 0.9996, make candidate clusters, and in a cluster the shingle sets themselves decide. A cluster is compared in blocks of
 about BLOCK texts: each block with itself and a few anchors, then what isn't in the cluster's largest part with
-every block.
+every block. A shard over MOST_NODES is proposed as a whole, so its size doesn't change results.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; text under a
 shingle's words is one shingle; a null doc_id is never a component's name unless all are null; rows that share a
@@ -77,12 +77,11 @@ BLOCK, ANCHORS = 256, 32
 def wide() -> Setting:
     """Five words and a similarity of 0.8; 256 bits, of which WIDE_RADIUS may differ, propose (expected distance 39 at 0.8, 50 at 0.7)."""
     rng = np.random.default_rng(SEED)
-    masks, again = [], []
+    masks = []
     for _ in range(TABLES):
         bits = [int(b) for b in rng.permutation(256)]
         masks.append(sum(1 << b for b in bits[:TABLE_BITS]))
-        again.append([sum(1 << b for b in bits[TABLE_BITS + 12 * i : TABLE_BITS + 12 * i + 12]) for i in range(3)])
-    return Setting(5, 4, WIDE_RADIUS, masks, again, exact=True)
+    return Setting(5, 4, WIDE_RADIUS, masks, [], exact=True)
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -376,7 +375,7 @@ def _candidates(rows: DataFrame, nodes: DataFrame, setting: Setting) -> DataFram
     edges = link(shards.join(large, "shard", "left_anti"), setting)
     if not large.isEmpty():
         rest = shards.join(large, "shard", "left_semi").select("shard", "mask", "fp")
-        edges = edges.unionByName(link(deal_again(rest, setting).distinct(), setting))
+        edges = edges.unionByName(stars(rest) if setting.exact else link(deal_again(rest, setting).distinct(), setting))
     if setting.exact:
         edges = edges.unionByName(stars(rows.select(F.explode("bands").alias("shard"), "fp")))
     return stage(edges, "links")

@@ -136,7 +136,7 @@ def planted_pairs():
     return [(i, " ".join(b)) for i, b in enumerate(bodies)], links
 
 
-@pytest.mark.parametrize("change", [{}, {"BLOCK": 8, "ANCHORS": 2}])
+@pytest.mark.parametrize("change", [{}, {"MOST_NODES": 3}, {"BLOCK": 8, "ANCHORS": 2}])
 def test_wide_links_by_shingle_similarity(spark, monkeypatch, change):
     for name, value in change.items():
         monkeypatch.setattr(simhash, name, value, raising=False)
