@@ -7,14 +7,15 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Unicode has it, and the four information separators.
+#: White space as Unicode has it, and the four information separators: a class for expressions, and its characters.
 SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Characters a number may carry, and brackets that negate it.
 DROPPED, BRACKETS = ",，%％", "()（）"
 WIDE_DIGITS, DIGITS = "０１２３４５６７８９", "0123456789"
 NUMBER = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
 PLAIN_NUMBER = r"^\(?-?[\d,，]+(?:\.\d+)?\)?%?$"
-NUMERIC_LIKE = r"^(?U:[\s,，\-—()（）.%％\d]+)$"
+NUMERIC_LIKE = r"^(?U:[\s,，\-—()（）.%％]*\d[\s,，\-—()（）.%％\d]*)$"
 PERIOD_MARKERS = ("本期", "上期", "本年", "上年", "期末", "期初", "报告期", "currentperiod", "previousperiod", "yearended", "asat", "2025", "2024", "2023")
 UNITS = (("million", ("百万元", "百萬元", "million")), ("ten_thousand", ("万元", "萬元")), ("thousand", ("千元",)), ("yuan", ("元",)))
 CURRENCIES = (("CNY", ("人民币", "人民幣", "rmb", "cny")), ("HKD", ("港币", "港幣", "hkd")), ("USD", ("美元", "usd")))
@@ -22,12 +23,12 @@ CURRENCIES = (("CNY", ("人民币", "人民幣", "rmb", "cny")), ("HKD", ("港
 
 def strip(text: Column) -> Column:
     """Without white space, in the Unicode sense, at both ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def match_key(text: Column) -> Column:
     """Lower case, all white space removed; null counts as empty."""
-    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", ""))
+    return F.lower(F.translate(F.coalesce(text, F.lit("")), SPACES, ""))
 
 
 def contains_any(text: Column, words) -> Column:
@@ -43,19 +44,29 @@ def first_label(text: Column, labelled, default: str = "unknown") -> Column:
     return out.otherwise(default)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_number(raw: Column) -> Column:
     """A double, or null: separators and percent signs dropped, brackets around it negate."""
-    text = F.translate(strip(F.coalesce(raw, F.lit(""))), DROPPED, "")
-    negative = (text.startswith("(") & text.endswith(")")) | (text.startswith("（") & text.endswith("）"))
-    bare = F.translate(strip(F.regexp_replace(text, f"^[{BRACKETS}]+|[{BRACKETS}]+$", "")), WIDE_DIGITS, DIGITS)
-    bare = F.regexp_replace(bare, "(?<=[0-9])_(?=[0-9])", "")
-    value = F.when(bare.rlike(NUMBER), F.regexp_replace(bare, r"(?i)^[+-]?nan$", "nan").try_cast("double"))
-    return F.when(negative, -value).otherwise(value)
+
+    def number(bare: Column) -> Column:
+        return F.when(bare.rlike(NUMBER), F.regexp_replace(bare, r"(?i)^[+-]?nan$", "nan").try_cast("double"))
+
+    def signed(text: Column) -> Column:
+        negative = (text.startswith("(") & text.endswith(")")) | (text.startswith("（") & text.endswith("）"))
+        bare = F.translate(strip(F.trim(text, F.lit(BRACKETS))), WIDE_DIGITS, DIGITS)
+        return let(F.regexp_replace(bare, "(?<=[0-9])_(?=[0-9])", ""), number) * F.when(negative, -1).otherwise(1)
+
+    shown = F.when(F.coalesce(raw, F.lit("")).rlike(r"(?U)\d|(?i:inf|nan)"), F.translate(strip(raw), DROPPED, ""))
+    return let(shown, signed)
 
 
 def is_numeric_like(text: Column) -> Column:
     """Only digits and number signs, with at least one digit."""
-    return F.coalesce(text, F.lit("")).rlike(NUMERIC_LIKE) & F.coalesce(text, F.lit("")).rlike(r"(?U)\d")
+    return F.coalesce(text, F.lit("")).rlike(NUMERIC_LIKE)
 
 
 def is_suspicious(raw: Column, value_type: Column, value: Column) -> Column:

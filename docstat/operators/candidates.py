@@ -37,13 +37,18 @@ def select_candidates(tables: DataFrame) -> DataFrame:
 def gate(documents: DataFrame, override: bool = False) -> DataFrame:
     """extraction_mode and warnings of each document. documents: (document_id, eligible_for_extraction, reason)."""
     eligible = F.col("eligible_for_extraction")
-    mode = F.when(eligible, "eligible").otherwise("dry_run_override" if override else "blocked")
-    warnings = F.when(eligible, F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
     if override:
-        warnings = warnings.otherwise(F.array(F.lit("dry_run_override: eligibility was not met"), F.col("reason")))
+        refused, warnings = "dry_run_override", F.array(F.lit("override_used"), F.concat(F.lit("eligibility_block_reason="), F.col("reason")))
     else:
-        warnings = warnings.otherwise(F.array(F.col("reason")))
-    return documents.withColumns({"extraction_mode": mode, "warnings": warnings})
+        refused, warnings = "blocked", F.array("reason")
+    return documents.withColumns({"extraction_mode": F.when(eligible, "eligible").otherwise(refused), "warnings": F.when(eligible, none).otherwise(warnings)})
+
+
+def candidate_set(documents: DataFrame, tables: DataFrame, override: bool = False) -> DataFrame:
+    """Candidates of the tables of documents that the gate lets through, with their extraction_mode."""
+    passing = gate(documents, override).where("extraction_mode <> 'blocked'").select("document_id", "extraction_mode")
+    return select_candidates(tables).join(passing, "document_id")
 
 
 def candidate_summary(candidates: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""From table rows to field candidates.
+"""From tables with their rows to field candidates.
 
-rows: as tables.rows_of gives them; tables: (document_id, table_id, table_ord, candidate_statement_type,
-source_type, source_pages, table_group_id, numeric_cell_ratio, raw_text).
+rows: (document_id, table_id, table_ord, row_index, cells); tables: what `table_rows` makes of them, with
+source_type, source_pages and table_group_id added. A table is one record that holds its rows, and the rules are fixed
+values inside the expressions, so fields follow from one grouping by table and one window by document, without a join.
 """
 
 from __future__ import annotations
@@ -10,35 +11,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docstat.functions import rules, text
+from docstat.operators import tables as table_ops
 from docstat.operators.tables import TABLE
 
 KEY = list(TABLE)
 UNKNOWN_PERIOD = "unknown_period"
+HOLDERS = "shareholder_table"
+#: Header rows are among so many rows at the top.
+TOP = 3
 
 
-def with_numbers(rows: DataFrame) -> DataFrame:
-    """rows and nums, the number each cell parses to."""
-    return rows.withColumn("nums", F.transform("cells", text.parse_number))
+def row_facts() -> dict[str, Column]:
+    """nums, the number each cell parses to; likely, whether a top row looks like a header; periods, its cells that look like a period."""
+    nums = F.transform("cells", text.parse_number)
+    joined = text.match_key(F.array_join("cells", " "))
+    n = F.size(F.filter(nums, lambda x: x.isNotNull()))
+    top = F.col("row_index") < TOP
+    likely = top & (text.looks_like_period(joined) | (n <= F.greatest(F.lit(1), F.expr("size(cells) div 3"))))
+    periods = F.transform("cells", lambda c: F.when(text.looks_like_period(text.match_key(c)), text.strip(c)))
+    return {"nums": nums, "likely": likely, "periods": F.when(top, periods)}
 
 
-def header_rows(rows: DataFrame) -> DataFrame:
-    """rows with is_header: one of the first three rows that looks like a period or is short of numbers; else row 0.
+def table_rows(rows: DataFrame) -> DataFrame:
+    """tables.tables with `rows` and the header rows, which are the likely ones, or row 0 where none is: head_rows, their numbers, and head_periods."""
+    found = table_ops.tables(rows, **row_facts()).withColumn("any_likely", F.exists("rows", lambda r: r["likely"]))
+    heads = F.filter("rows", lambda r: is_header(r["likely"], r["row_index"]))
+    return found.withColumns({"head_rows": F.transform(heads, lambda r: r["row_index"]), "head_periods": F.transform(heads, lambda r: r["periods"])})
 
-    rows have nums.
-    """
-    joined = text.match_key(F.array_join("cells", " "))
-    n = F.size(F.filter("nums", lambda x: x.isNotNull()))
-    likely = (F.col("row_index") < 3) & (text.looks_like_period(joined) | (n <= F.greatest(F.lit(1), F.expr("size(cells) div 3"))))
-    found = rows.withColumn("__likely", likely)
-    any_found = F.max("__likely").over(Window.partitionBy(*KEY))
-    return found.withColumn("is_header", F.when(any_found, F.col("__likely")).otherwise(F.col("row_index") == 0)).drop("__likely")
+
+def is_header(likely: Column, row_index: Column) -> Column:
+    return F.when(F.col("any_likely"), likely).otherwise(row_index == 0)
+
+
+def header_rows(tables: DataFrame) -> DataFrame:
+    return tables.select(*KEY, F.explode("head_rows").alias("row_index"))
+
+
+def period_at(col: Column) -> Column:
+    """The period of a column: that of the last header row which has one there."""
+    return F.coalesce(*[F.get(F.get("head_periods", F.lit(i)), col) for i in reversed(range(TOP))])
 
 
-def period_columns(headers: DataFrame) -> DataFrame:
-    """(table, col_index, period_label): the last header row whose cell there looks like a period."""
-    found = headers.where("is_header").select(*KEY, "row_index", F.posexplode("cells").alias("col_index", "cell"))
-    found = found.where(text.looks_like_period(text.match_key(F.col("cell"))))
-    return found.groupBy(*KEY, "col_index").agg(F.max_by(text.strip(F.col("cell")), F.col("row_index")).alias("period_label"))
+def period_columns(tables: DataFrame) -> DataFrame:
+    """(table, col_index, period_label)."""
+    columns = F.sequence(F.lit(0), F.array_max(F.transform("head_periods", F.size)) - 1)
+    found = tables.where(F.exists("head_periods", lambda p: F.size(p) > 0)).select(*KEY, F.posexplode(F.transform(columns, period_at)).alias("col_index", "period_label"))
+    return found.where("period_label is not null")
 
 
 def units(tables: DataFrame) -> DataFrame:
@@ -46,17 +64,29 @@ def units(tables: DataFrame) -> DataFrame:
     return tables.withColumns({"unit": text.unit_of(key), "currency": text.currency_of(key)})
 
 
-def alias_matches(labels: DataFrame, alias_rows: DataFrame) -> DataFrame:
-    """labels joined with the rules of their statement type that they match, under the best class of alias.
+def rule_table(fields) -> Column:
+    """The rules as one array of records, fixed inside the expression."""
+    texts = lambda aliases: "cast(array(" + ", ".join(f"'{k}'" for k in ("".join(a.split()).lower() for a in aliases) if k) + ") AS array<string>)"
+    one = lambda rule, f: f"('{f[0]}', '{f[1]}', '{f[2]}', {rule}, {texts(f[3])}, {texts(f[4])}, {texts(f[5])})"
+    kind = "array<struct<kind: string, field: string, value_type: string, rule_ord: int, exact: array<string>, phrase: array<string>, weak: array<string>>>"
+    return F.expr(f"cast(array({', '.join(one(rule, f) for rule, f in enumerate(fields))}) AS {kind})")
 
-    labels: unique (…, label, candidate_statement_type). An equality and a residual `contains`: a broadcast
-    of the rules, which are fixed data, and no cross join.
-    """
-    a = alias_rows.withColumnRenamed("statement_type", "candidate_statement_type")
-    key = text.match_key(F.col("label"))
-    hit = F.when(F.col("class_ord") == 0, F.col("__key") == F.col("key")).otherwise(F.col("__key").contains(F.col("key")))
-    joined = labels.withColumn("__key", key).join(F.broadcast(a), "candidate_statement_type").where((F.col("__key") != "") & hit)
-    return joined.groupBy(*labels.columns, "field", "value_type", "rule_ord").agg(F.min("class_ord").alias("class_ord"))
+
+def match_rules(kind: Column, key: Column, fields=rules.FIELDS) -> Column:
+    """The rules of a statement type that a key matches, under their best class: (field, value_type, rule_ord, class_ord)."""
+
+    def matched(k: Column) -> Column:
+        within = lambda aliases: F.exists(aliases, k.contains)
+        best = lambda r: F.when(F.array_contains(r["exact"], k), 0).when(within(r["phrase"]), 1).when(within(r["weak"]), 2)
+        of_kind = F.filter(rule_table(fields), lambda r: r["kind"] == kind)
+        return F.filter(F.transform(of_kind, lambda r: F.struct(r["field"], r["value_type"], r["rule_ord"], best(r).alias("class_ord"))), lambda m: m["class_ord"].isNotNull())
+
+    return text.let(key, matched)
+
+
+def alias_matches(labels: DataFrame, fields=rules.FIELDS) -> DataFrame:
+    """labels (…, label, candidate_statement_type), once for each rule they match."""
+    return labels.select("*", F.inline(match_rules(F.col("candidate_statement_type"), text.match_key(F.col("label")), fields)))
 
 
 def weak_context(statement_type: Column, key: Column) -> Column:
@@ -77,25 +107,6 @@ def class_name(class_ord: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, rules.CLASSES)), class_ord + 1)
 
 
-def row_labels(headers: DataFrame) -> DataFrame:
-    """Cells of the first two columns that can name a row, with what the row must tell about itself.
-
-    headers have nums, is_header and candidate_statement_type.
-    """
-    holder = F.col("candidate_statement_type") == "shareholder_table"
-    wide = headers.where(~F.col("is_header")).select(
-        *KEY, "row_index", "candidate_statement_type", "cells", "nums",
-        F.posexplode(F.slice("cells", 1, 2)).alias("label_col", "label"),
-    )
-    right = F.slice("nums", F.col("label_col") + 2, F.greatest(F.size("nums"), F.lit(1)))
-    right_cells = F.slice("cells", F.col("label_col") + 2, F.greatest(F.size("cells"), F.lit(1)))
-    numeric_right = F.exists(right, lambda x: x.isNotNull())
-    valued = F.when(holder, F.exists(right_cells, lambda c: text.strip(c) != "")).otherwise(numeric_right)
-    named = (text.match_key(F.col("label")) != "") & F.get("nums", F.col("label_col")).isNull() & ((F.col("label_col") == 0) | numeric_right)
-    context = weak_context(F.col("candidate_statement_type"), text.match_key(F.array_join(F.slice("cells", 1, 2), " "))) & F.exists(F.slice("nums", 2, F.greatest(F.size("nums"), F.lit(1))), lambda x: x.isNotNull())
-    return wide.where(named & valued).select(*KEY, "row_index", "candidate_statement_type", "label_col", "label", "cells", "nums", context.alias("weak_ok"))
-
-
 def first_value(cells: Column, nums: Column, value_type: Column) -> Column:
     """(col, value): the first number, or text, right of the first column; without one the second cell."""
     places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(cells), F.lit(2)) - 1), lambda i: F.when(value_type == "number", F.get(nums, i).isNotNull()).otherwise(F.coalesce(F.get(cells, i), F.lit("")) != ""))
@@ -103,40 +114,63 @@ def first_value(cells: Column, nums: Column, value_type: Column) -> Column:
     return F.struct(col.alias("col"), F.coalesce(F.get(cells, col), F.lit("")).alias("value"))
 
 
-def map_rows(headers: DataFrame, alias_rows: DataFrame) -> DataFrame:
-    """Fields named by row labels."""
-    labels = row_labels(headers)
-    matched = alias_matches(labels, alias_rows).where((F.col("class_ord") < 2) | F.col("weak_ok"))
-    found = first_value(F.col("cells"), F.col("nums"), F.col("value_type"))
-    return matched.withColumn("v", found).select(
-        *KEY, "candidate_statement_type", "field", "value_type", "class_ord", F.col("label").alias("raw_field_name"), F.col("v.value").alias("raw_value"), F.col("row_index").alias("source_row_index"),
-        F.col("v.col").alias("source_col_index"), F.lit("row_alias_match").alias("how"), F.lit(0).alias("part"), F.array("row_index", "label_col", "rule_ord").alias("place"),
+def _hit(m: Column, label: Column, col: Column, value: Column, part: int, *place: Column) -> Column:
+    return F.struct(
+        F.lit(part).alias("part"), F.array(*place).alias("place"), m["field"].alias("field"), m["value_type"].alias("value_type"), m["class_ord"].alias("class_ord"),
+        label.alias("raw_field_name"), col.alias("source_col_index"), value.alias("raw_value"),
     )
 
 
-def map_columns(headers: DataFrame, alias_rows: DataFrame) -> DataFrame:
-    """Fields of shareholder tables named by a header cell in row 0: each cell that isn't empty below it."""
-    holders = headers.where(F.col("candidate_statement_type") == "shareholder_table")
-    labels = holders.where("row_index = 0").select(*KEY, "candidate_statement_type", F.posexplode("cells").alias("col_index", "label"))
-    matched = alias_matches(labels, alias_rows).where("class_ord < 2")
-    below = holders.where("row_index > 0").select(*KEY, "row_index", F.posexplode("cells").alias("col_index", "value")).where("value <> ''")
-    return matched.join(below, [*KEY, "col_index"]).select(
-        *KEY, "candidate_statement_type", "field", "value_type", "class_ord", F.col("label").alias("raw_field_name"), F.col("value").alias("raw_value"), F.col("row_index").alias("source_row_index"),
-        F.col("col_index").alias("source_col_index"), F.lit("shareholder_column_alias_match").alias("how"), F.lit(1).alias("part"), F.array("col_index", "rule_ord", "row_index").alias("place"),
-    )
+def row_hits(label_col: int, fields=rules.FIELDS) -> Column:
+    """Fields that the cell in label_col names: not in a header, no number itself, with a value to its right."""
+    kind, cells, nums, row_index = (F.col(c) for c in ("candidate_statement_type", "cells", "nums", "row_index"))
+    label = F.get(cells, F.lit(label_col))
+    rest = lambda x, after: F.slice(x, after + 2, F.greatest(F.size(x), F.lit(1)))
+    numeric_right = F.exists(rest(nums, label_col), lambda x: x.isNotNull())
+    valued = F.when(kind == HOLDERS, F.exists(rest(cells, label_col), lambda c: text.strip(c) != "")).otherwise(numeric_right)
+    named = label.isNotNull() & (text.match_key(label) != "") & F.get(nums, F.lit(label_col)).isNull() & (F.lit(label_col == 0) | numeric_right)
+    weak_ok = weak_context(kind, text.match_key(F.array_join(F.slice(cells, 1, 2), " "))) & F.exists(rest(nums, 0), lambda x: x.isNotNull())
+    found = F.filter(match_rules(kind, text.match_key(label), fields), lambda m: (m["class_ord"] < 2) | weak_ok)
+
+    def hit(m: Column) -> Column:
+        v = first_value(cells, nums, m["value_type"])
+        return _hit(m, label, v["col"], v["value"], 0, row_index, F.lit(label_col), m["rule_ord"])
+
+    return F.when(~is_header(F.col("likely"), row_index) & named & valued, F.transform(found, hit))
+
+
+def column_rules(fields=rules.FIELDS) -> Column:
+    """Rules that the cells of row 0 of a shareholder table match: (col, label, rule)."""
+    top = F.get(F.filter("rows", lambda r: r["row_index"] == 0), F.lit(0))["cells"]
 
+    def of_cell(c: Column, i: Column) -> Column:
+        strong = F.filter(match_rules(F.lit(HOLDERS), text.match_key(c), fields), lambda m: m["class_ord"] < 2)
+        return F.transform(strong, lambda m: F.struct(i.alias("col"), c.alias("label"), m.alias("rule")))
 
-def map_fields(rows: DataFrame, tables: DataFrame, alias_rows: DataFrame) -> DataFrame:
+    return F.when(F.col("candidate_statement_type") == HOLDERS, F.flatten(F.transform(top, of_cell)))
+
+
+def column_hits() -> Column:
+    """Fields of a shareholder table that a cell of row 0 names: each cell below it that isn't empty."""
+    row_index = F.col("row_index")
+    at = lambda t: F.coalesce(F.get("cells", t["col"]), F.lit(""))
+    filled = F.filter("column_rules", lambda t: at(t) != "")
+    return F.when(row_index > 0, F.transform(filled, lambda t: _hit(t["rule"], t["label"], t["col"], at(t), 1, t["col"], t["rule"]["rule_ord"], row_index)))
+
+
+def map_fields(tables: DataFrame, fields=rules.FIELDS) -> DataFrame:
     """Field candidates of all mappable tables, with ord, their order in the document."""
-    typed = units(tables.where(F.col("candidate_statement_type").isin(*rules.MAPPED_TYPES)))
-    headers = header_rows(with_numbers(rows.join(typed.select(*KEY, "candidate_statement_type"), KEY)))
-    found = map_rows(headers, alias_rows).unionByName(map_columns(headers, alias_rows))
-    periods = period_columns(headers).withColumnRenamed("col_index", "source_col_index")
-    found = found.join(periods, [*KEY, "source_col_index"], "left").join(typed.drop("candidate_statement_type"), KEY)
-    period = F.coalesce("period_label", F.lit(UNKNOWN_PERIOD))
+    kinds = tuple(dict.fromkeys(f[0] for f in fields))
+    typed = units(tables.where(F.col("candidate_statement_type").isin(*kinds))).withColumn("column_rules", column_rules(fields))
+    source = ("candidate_statement_type", "unit", "currency", "numeric_cell_ratio", "source_type", "source_pages", "table_group_id")
+    each = typed.select(*KEY, *source, "any_likely", "head_periods", "column_rules", F.inline("rows"))
+    none = lambda hits: F.coalesce(hits, F.array())
+    found = each.select(*KEY, *source, "head_periods", F.col("row_index").alias("source_row_index"), F.inline(F.concat(*map(none, (row_hits(0, fields), row_hits(1, fields), column_hits())))))
+    period = F.coalesce(period_at(F.col("source_col_index")), F.lit(UNKNOWN_PERIOD))
     value = F.when(F.col("value_type") == "number", text.parse_number(F.col("raw_value")))
+    how = F.when(F.col("part") == 0, "row_alias_match").otherwise("shareholder_column_alias_match")
+    found = found.withColumns({"period_label": period, "normalized_value": value, "mapping_reason": F.concat_ws(":", how, class_name(F.col("class_ord")))}).drop("head_periods")
     merged = F.col("source_type") == "merged_cross_page_table"
-    found = found.withColumns({"period_label": period, "normalized_value": value, "mapping_reason": F.concat_ws(":", "how", class_name(F.col("class_ord")))})
     failed = (F.col("value_type") == "number") & F.col("normalized_value").isNull()
     confidence = mapping_confidence(F.col("class_ord"), F.col("period_label") != UNKNOWN_PERIOD, F.col("unit") != "unknown", F.col("numeric_cell_ratio"), merged, failed)
     found = found.withColumn("confidence", confidence)
@@ -144,12 +178,20 @@ def map_fields(rows: DataFrame, tables: DataFrame, alias_rows: DataFrame) -> Dat
         merged | (F.col("raw_value") == "") | text.is_suspicious(F.col("raw_value"), F.col("value_type"), F.col("normalized_value")) | (F.col("period_label") == UNKNOWN_PERIOD)
         | (F.col("unit") == "unknown") | (F.col("class_ord") == 2) | (F.col("confidence") < rules.FIELD_REVIEW_BELOW)
     )
+    found = found.withColumn("requires_review", review)
     of_table, of_document = Window.partitionBy(*KEY), Window.partitionBy("document_id")
-    place = F.row_number().over(of_table.orderBy("part", "place")) - 1
+    found = found.withColumn("ord", F.row_number().over(of_document.orderBy("table_ord", "part", "place")).cast("long"))
+    place = F.col("ord") - F.min("ord").over(of_table)
     found = found.withColumn("__seq", F.when(F.col("part") == 1, place).otherwise(0))
     return found.select(
-        F.row_number().over(of_document.orderBy("table_ord", "part", "place")).cast("long").alias("ord"),
-        F.concat_ws("_", "table_id", "field", F.col("source_row_index").cast("string"), F.col("source_col_index").cast("string"), F.col("__seq").cast("string")).alias("field_id"),
+        "ord", F.concat_ws("_", "table_id", "field", F.col("source_row_index").cast("string"), F.col("source_col_index").cast("string"), F.col("__seq").cast("string")).alias("field_id"),
         "document_id", "table_id", "candidate_statement_type", F.col("field").alias("canonical_field_name"), "raw_field_name", "raw_value", "normalized_value", "unit", "currency", "period_label",
-        "source_pages", "source_row_index", "source_col_index", "table_group_id", "source_type", "confidence", "mapping_reason", review.alias("requires_review"),
+        "source_pages", "source_row_index", "source_col_index", "table_group_id", "source_type", "confidence", "mapping_reason", "requires_review",
     )
+
+
+def missing_tables(candidates: DataFrame, tables: DataFrame) -> DataFrame:
+    """(document_id, message) of mappable candidates whose table isn't there."""
+    mappable = candidates.where(F.col("candidate_statement_type").isin(*rules.MAPPED_TYPES)).select("document_id", "table_id")
+    gone = mappable.join(tables.select("document_id", "table_id"), ["document_id", "table_id"], "left_anti")
+    return gone.select("document_id", F.concat(F.lit("canonical table not found for candidate table_id="), F.col("table_id")).alias("message"))

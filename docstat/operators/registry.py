@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstat.functions import text
+from docstat.functions import rules, text
+from docstat.operators import quality
 
 
 def newest(entries: DataFrame, limit: int, level: str | None = None, time: str = "registered_at", by: str = "parse_quality_level") -> DataFrame:
@@ -65,3 +66,24 @@ def manifest(results: DataFrame) -> DataFrame:
     files = (("summary", "summary.json"), ("pages", "pages.jsonl"), ("merged", "merged.md"), ("tables", "tables.json"), ("merged_tables", "merged_tables.json"), ("quality_flags", "quality_flags.json"), ("cross_page_table_candidates", "cross_page_table_candidates.jsonl"))
     path = lambda name, file: F.coalesce(F.try_element_at("output_files", F.lit(name)), F.concat_ws("/", "output_dir", F.lit(file)))
     return results.withColumns({f"{name}_path": path(name, file) for name, file in files})
+
+
+# Names that a manifest gives to an entry's columns.
+MANIFEST = (("document_id", "document_id"), ("task_id", "parse_task_id"), ("pdf_name", "pdf_name"), *((c, c) for c in rules.PARSE_FILES))
+
+
+def manifest_of(entries: DataFrame) -> DataFrame:
+    """The manifest of registry entries; what an entry lacks is empty."""
+    have = lambda c: F.coalesce(F.col(c), F.lit("")) if c in entries.columns else F.lit("")
+    return entries.select(*[have(c).alias(name) for name, c in MANIFEST])
+
+
+def ingest(results: DataFrame, summaries: DataFrame, files: DataFrame, as_of: str) -> DataFrame:
+    """Task results to assessed registry entries, ready for `upsert`.
+
+    results: (parse_task_id, pdf_path, output_dir, output_files, parse_status, ord); summaries: by document_id = parse_task_id, as
+    json_tables.summaries gives them, with flag_counts; files: (parse_task_id, pages_count, merged_md).
+    """
+    read = summaries.withColumnRenamed("document_id", "parse_task_id").drop("pdf_name", "summary_text")
+    whole = manifest(results).join(read, "parse_task_id", "left").join(files, "parse_task_id", "left").withColumn("has_summary", F.coalesce("has_summary", F.lit(False)))
+    return quality.assess(entries(whole, as_of))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from docstat.functions import rules, text
 from docstat.sources.store import written
 
 ITEM = ("document_id", "pdf_name", "review_type", "reason", "source_pages", "table_id", "table_group_id", "canonical_field_name", "raw_field_name", "raw_value", "normalized_value", "period_label", "unit", "currency", "confidence", "suggested_user_action", "evidence_excerpt")
+# The texts of the review pack.
 ACTIONS = {
     "field": "Compare this mapped field with the original PDF table and confirm value, period, unit, and row label.",
-    "visual": "Open the page and check that its table was read completely.",
+    "visual": "Open the original PDF page and confirm whether visual tables were recovered correctly.",
     "role": "Confirm whether this document is a primary financial report or auxiliary material before extraction.",
 }
 
@@ -19,15 +22,15 @@ ACTIONS = {
 def continuation(fields: DataFrame, groups: DataFrame) -> DataFrame:
     """fields with continuation: that of their group, or the least of the groups an id lists, 0 for groups not known.
 
-    groups: (document_id, table_group_id, continuation_confidence), unique.
+    groups: (document_id, table_group_id, continuation_confidence). A document's groups travel as one map.
     """
-    ids = fields.select("document_id", "table_group_id").where(F.coalesce("table_group_id", F.lit("")) != "").distinct()
-    exact = ids.join(groups, ["document_id", "table_group_id"], "left")
-    parts = exact.where("continuation_confidence is null").select("document_id", "table_group_id", F.explode(F.split("table_group_id", ",")).alias("part"))
-    known = groups.select("document_id", F.trim("table_group_id").alias("part"), F.col("continuation_confidence").alias("c"))
-    least = parts.withColumn("part", F.trim("part")).join(known, ["document_id", "part"], "left").groupBy("document_id", "table_group_id").agg(F.min(F.coalesce("c", F.lit(0.0))).alias("least"))
-    found = exact.join(least, ["document_id", "table_group_id"], "left").select("document_id", "table_group_id", F.coalesce("continuation_confidence", "least", F.lit(0.0)).alias("continuation"))
-    return fields.join(found, ["document_id", "table_group_id"], "left").withColumn("continuation", F.coalesce("continuation", F.lit(0.0)))
+    known = groups.groupBy("document_id", "table_group_id").agg(F.max("continuation_confidence").alias("c"))
+    known = known.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("table_group_id", "c"))).alias("__groups"))
+    group = F.coalesce("table_group_id", F.lit(""))
+    of = lambda g: F.coalesce(F.try_element_at("__groups", g), F.lit(0.0))
+    least = F.array_min(F.transform(F.filter(F.split(group, ","), lambda p: p != ""), of))
+    found = F.coalesce(F.try_element_at("__groups", group), least, F.lit(0.0))
+    return fields.join(known, "document_id", "left").withColumn("continuation", found).drop("__groups")
 
 
 def field_items(fields: DataFrame) -> DataFrame:
@@ -60,13 +63,15 @@ def field_items(fields: DataFrame) -> DataFrame:
 def visual_items(pages: DataFrame) -> DataFrame:
     """Pages whose tables were routed to visual parsing or look like a table without one.
 
-    pages: (document_id, pdf_name, page_number, visual_table_route_triggered, table_intent_score, n_tables, final_text, ord).
+    pages: (document_id, pdf_name, page_number, visual_table_route_triggered, table_intent_score, n_tables, table_group_id, final_text, ord).
     """
-    likely = (F.col("table_intent_score") >= rules.VISUAL_INTENT) & (F.col("n_tables") <= rules.VISUAL_TABLES)
-    return pages.where(F.coalesce("visual_table_route_triggered", F.lit(False)) | likely).select(
-        "document_id", "pdf_name", "ord", F.lit("visual_table_check").alias("review_type"),
-        F.when(F.coalesce("visual_table_route_triggered", F.lit(False)), "visual table route triggered").otherwise("high table intent with few tables").alias("reason"),
-        F.array(F.col("page_number")).alias("source_pages"), F.lit(0.0).alias("confidence"), F.lit(ACTIONS["visual"]).alias("suggested_user_action"), F.substring("final_text", 1, 300).alias("evidence_excerpt"),
+    score, routed = F.col("table_intent_score"), F.col("visual_table_route_triggered")
+    likely = (F.coalesce(score, F.lit(0.0)) >= rules.VISUAL_INTENT) & (F.col("n_tables") <= rules.VISUAL_TABLES)
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    why = F.concat(F.lit("visual_table_route_triggered="), F.initcap(shown(routed)), F.lit("; table_intent_score="), shown(score), F.lit("; table_count="), F.col("n_tables").cast("string"))
+    return pages.where(F.coalesce(routed, F.lit(False)) | likely).select(
+        "document_id", "pdf_name", "ord", F.lit("visual_table_check").alias("review_type"), why.alias("reason"), F.array(F.col("page_number")).alias("source_pages"), F.coalesce("table_group_id", F.lit("")).alias("table_group_id"),
+        F.coalesce(score, F.lit(0.0)).alias("confidence"), F.lit(ACTIONS["visual"]).alias("suggested_user_action"), F.substring("final_text", 1, 300).alias("evidence_excerpt"),
     )
 
 
@@ -87,16 +92,28 @@ def role_items(documents: DataFrame) -> DataFrame:
 
 
 def pack(*parts: DataFrame, limit: int = rules.PACK_LIMIT) -> DataFrame:
-    """All items, those of the highest risk first, at most `limit` a document: the pack is a top-k report."""
+    """All items in the columns of ITEM, those of the highest risk first, at most `limit` a document: the pack is a top-k report.
+
+    A text that an item lacks is empty; a number it lacks stays null.
+    """
     items = None
     for i, part in enumerate(parts):
         part = part.withColumn("part", F.lit(i))
         items = part if items is None else items.unionByName(part, allowMissingColumns=True)
+    kinds = dict(items.dtypes)
+    blank = {"string": F.lit(""), "array<int>": F.array().cast("array<int>")}
+    fill = {c: F.coalesce(F.col(c), blank[kinds[c]]) for c in ITEM if kinds.get(c) in blank} | {c: F.lit("") for c in ITEM if c not in kinds}
+    items = items.withColumns(fill)
     risk = F.coalesce(*[F.when(F.col("review_type") == name, F.lit(score)) for name, score in rules.RISK], F.lit(0))
     order = Window.partitionBy("document_id").orderBy(F.col("risk").desc(), (1 - F.col("confidence")).desc(), "part", "ord")
     return items.withColumn("risk", risk).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def three_statement_counts(candidates: DataFrame) -> DataFrame:
+    """(document_id, n_three_statement): candidates for one of the three statements."""
+    return candidates.groupBy("document_id").agg(F.count_if(F.col("candidate_statement_type").isin(*rules.THREE_STATEMENTS)).alias("n_three_statement"))
+
+
 def numbered(items: DataFrame) -> DataFrame:
     """review_item_id over the whole pack, documents in order of their id. The pack has at most PACK_LIMIT rows a document.
 
@@ -114,3 +131,13 @@ def numbered(items: DataFrame) -> DataFrame:
 
 def type_distribution(items: DataFrame) -> DataFrame:
     return items.groupBy("review_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def markdown(items: DataFrame, first: int = 30) -> str:
+    """The pack's report: counts and its first items, rendered on the driver. items are numbered."""
+    kinds = {r.review_type: r.n for r in type_distribution(items).orderBy("review_type").collect()}
+    lines = ["# Human Review Pack", "", f"- total_review_items: {sum(kinds.values())}", f"- review_type_distribution: `{json.dumps(kinds)}`", "", "## Top Items", ""]
+    for r in items.orderBy("review_item_id").limit(first).collect():
+        lines += [f"### {r.review_item_id} {r.review_type}", "", f"- document_id: `{r.document_id}`", f"- source_pages: `{r.source_pages}`", f"- reason: {r.reason}"]
+        lines += [f"- field: `{r.canonical_field_name}`", f"- raw: `{r.raw_field_name} = {r.raw_value}`", f"- suggested action: {r.suggested_user_action}", ""]
+    return "\n".join(lines)

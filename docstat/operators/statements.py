@@ -43,27 +43,50 @@ def extraction_mode(documents: DataFrame, override: bool = False) -> DataFrame:
     documents: (document_id, document_role, eligible_for_extraction).
     """
     role, eligible = F.col("document_role"), F.col("eligible_for_extraction")
-    mode = F.when(role == "auxiliary_material", "auxiliary_material_dry_run")
+    mode = F.when(role == "auxiliary_material", "auxiliary_material_dry_run" if override else "blocked_by_document_role")
     if not override:
         mode = mode.when(role == "unknown", "blocked_by_document_role").when(~eligible, "blocked")
     return documents.withColumn("extraction_mode", mode.otherwise(F.when(eligible, "eligible").otherwise("dry_run_override")))
 
 
+def extraction_warnings(documents: DataFrame, override: bool = False) -> DataFrame:
+    """documents with extraction_mode and warnings, in the order they are given.
+
+    documents: (document_id, document_role, report_type, strategy, evidence, eligible_for_extraction, reason, and, of their
+    mapping, n_discarded); warnings of the statements' own discards are those of `discarded_counts`.
+    """
+    say = lambda name, c: F.concat(F.lit(f"{name}="), F.col(c))
+    role = [say("document_role", "document_role"), say("report_type", "report_type"), say("expected_extraction_strategy", "strategy")]
+    discarded = F.when(F.col("n_discarded") > 0, F.concat(F.lit("discarded_candidates_count="), F.col("n_discarded").cast("string")))
+    forced = [F.when(~F.col("eligible_for_extraction"), c) for c in (F.lit("override_used"), say("eligibility_block_reason", "reason"))] if override else []
+    passing = F.array_compact(F.array(*role, discarded, *forced))
+    found = F.when(F.col("document_role") == "auxiliary_material", F.array(F.lit("auxiliary_material_no_three_statement_expected"), *role))
+    if not override:
+        evidence = F.when(F.col("evidence") != "", F.array("evidence")).otherwise(F.array().cast("array<string>"))
+        found = found.when(F.col("document_role") == "unknown", F.concat(F.array(F.lit("document_role_unknown_requires_review")), evidence)).when(~F.col("eligible_for_extraction"), F.array("reason"))
+    return extraction_mode(documents, override).withColumn("warnings", found.otherwise(passing))
+
+
+def mapping_discards(fields: DataFrame) -> DataFrame:
+    """(document_id, n_fields, n_discarded, warning) of the mapping's own de-duplication; no warning without discards."""
+    keys = ["document_id", "canonical_field_name", "period_label", "source_pages"]
+    each = fields.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    found = each.groupBy("document_id").agg(F.sum("n").alias("n_fields"), (F.sum("n") - F.count(F.lit(1))).alias("n_discarded"))
+    return found.withColumn("warning", F.when(F.col("n_discarded") > 0, F.concat(F.lit("discarded_candidates_count="), F.col("n_discarded").cast("string"))))
+
+
 def extract(documents: DataFrame, fields: DataFrame, override: bool = False) -> DataFrame:
     """Statements of the documents whose mode lets them through; the gate is joined before any other work."""
     passing = extraction_mode(documents, override).where(F.col("extraction_mode").isin("eligible", "dry_run_override")).select("document_id", "extraction_mode")
     return statements(best_fields(deduplicate_fields(fields.join(passing.select("document_id"), "document_id", "left_semi")))).join(passing, "document_id")
 
 
-def mapping_stats(fields: DataFrame) -> DataFrame:
-    """One row: counts, mean confidence, unknown units and periods, review needs."""
-    return fields.agg(
+def mapping_stats(fields: DataFrame, *by: str) -> DataFrame:
+    """Counts, mean confidence, unknown units and periods, review needs: one row, or one for each value of `by`."""
+    return fields.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_fields"),
         F.avg("confidence").alias("mean_confidence"),
         F.count_if(F.col("unit") == "unknown").alias("unknown_unit"),
         F.count_if(F.col("period_label") == "unknown_period").alias("unknown_period"),
         F.count_if("requires_review").alias("n_review"),
     )
-
-
-__all__ = ["best_fields", "deduplicate_fields", "discarded_counts", "extract", "extraction_mode", "mapping_stats", "rules", "statements"]

@@ -26,16 +26,21 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def tables(rows: DataFrame) -> DataFrame:
-    """Quality, raw text and statement type of each table; ratios also unrounded, as *_exact."""
+def tables(rows: DataFrame, **facts: Column) -> DataFrame:
+    """Quality, raw text and statement type of each table; ratios also unrounded, as *_exact.
+
+    facts: columns of a row to keep: with them the result also has `rows`, an array of (row_index, cells, facts) in
+    order, so that whatever reads rows and table together needs no join. They are worked out before the rows are grouped.
+    """
     blank = lambda c: text.strip(c) == ""
+    kept = F.struct("row_index", "cells", *[c.alias(n) for n, c in facts.items()]) if facts else F.struct("row_index", F.array_join("cells", "\t").alias("line"))
     measured = rows.select(
         *TABLE,
         "row_index",
         F.size("cells").alias("width"),
         F.size(F.filter("cells", blank)).alias("empty"),
         F.size(F.filter("cells", text.is_numeric_like)).alias("numeric"),
-        F.array_join("cells", "\t").alias("line"),
+        kept.alias("row"),
     )
     found = measured.groupBy(*TABLE).agg(
         F.count(F.lit(1)).alias("row_count"),
@@ -44,17 +49,21 @@ def tables(rows: DataFrame) -> DataFrame:
         F.sum("empty").alias("empty_cells"),
         F.sum("numeric").alias("numeric_cells"),
         F.max(F.when((F.col("row_index") == 0) & (F.col("empty") < F.col("width")), True).otherwise(False)).alias("has_header"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "line"))), lambda r: r["line"]), "\n").alias("raw_text"),
+        F.sort_array(F.collect_list("row")).alias("rows"),
     )
     slots = F.col("row_count") * F.col("col_count")
-    found = found.withColumns({"empty_ratio_exact": ratio(F.col("empty_cells"), slots), "numeric_ratio_exact": ratio(F.col("numeric_cells"), F.col("cell_count"))})
-    return found.withColumns(
+    line = (lambda r: F.array_join(r["cells"], "\t")) if facts else (lambda r: r["line"])
+    found = found.withColumns(
+        {"empty_ratio_exact": ratio(F.col("empty_cells"), slots), "numeric_ratio_exact": ratio(F.col("numeric_cells"), F.col("cell_count")), "raw_text": F.array_join(F.transform("rows", line), "\n")}
+    )
+    found = found.withColumns(
         {
             "empty_cell_ratio": F.bround("empty_ratio_exact", 4),
             "numeric_cell_ratio": F.bround("numeric_ratio_exact", 4),
             "candidate_statement_type": statement_type(F.col("raw_text")),
         }
     )
+    return found if facts else found.drop("rows")
 
 
 def markdown(rows: DataFrame) -> DataFrame:

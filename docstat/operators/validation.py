@@ -7,11 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docstat.functions import rules
+
 
 def check(name: str, offending: DataFrame) -> DataFrame:
-    """One row: failed when a row offends."""
-    n = F.count(F.lit(1))
-    return offending.agg(n.alias("n_failed")).select(F.lit(name).alias("check_name"), F.when(F.col("n_failed") == 0, "passed").otherwise("failed").alias("status"), "n_failed")
+    """One row: failed when a row offends, with the smallest offending key as an example."""
+    n, first = F.count(F.lit(1)), F.min(F.col(offending.columns[0]).cast("string"))
+    found = offending.agg(n.alias("n_failed"), F.coalesce(first, F.lit("")).alias("example"))
+    return found.select(F.lit(name).alias("check_name"), F.when(F.col("n_failed") == 0, "passed").otherwise("failed").alias("status"), "n_failed", "example", F.lit(True).alias("machine_determined"))
 
 
 def suite(checks: dict[str, DataFrame]) -> DataFrame:
@@ -37,8 +40,20 @@ def status_counts(checks: DataFrame) -> DataFrame:
 
 
 def normalization_stats(tables: DataFrame) -> DataFrame:
-    """One row: tables, empty and headless tables, cells, distinct documents."""
+    """One row: tables, those of no known type, without header, source pages or group, cells, distinct documents."""
+    grouped = F.coalesce("table_group_id", F.lit("")) != ""
     return tables.agg(
         F.count(F.lit(1)).alias("n_tables"), F.count_if(F.col("candidate_statement_type") == "unknown").alias("n_unknown"), F.count_if(~F.col("has_header")).alias("n_headless"),
+        F.count_if(F.size("source_pages") == 0).alias("source_pages_missing"), F.count_if(grouped).alias("table_group_id_count"),
         F.sum("cell_count").alias("n_cells"), F.countDistinct("document_id").alias("n_documents"), F.max("col_count").alias("widest"),
     )
+
+
+def readiness(tables: DataFrame) -> DataFrame:
+    """One row per document: tables by source and type, distinct pages and groups."""
+    grouped = F.when(F.coalesce("table_group_id", F.lit("")) != "", F.col("table_group_id"))
+    return tables.groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("total_tables"), F.count_if(F.col("source_type") == "merged_cross_page_table").alias("merged_cross_page_tables_count"),
+        *[F.count_if(F.col("candidate_statement_type") == t).alias(f"n_{t}") for t in (*rules.CANDIDATE_TYPES, "unknown")],
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("source_pages")))).alias("source_pages"), F.array_sort(F.collect_set(grouped)).alias("table_group_ids"),
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docstat.functions import rules
+
 # First rows and row labels of the tables made from line items, by kind of table.
 TOP_ROWS = (
     ("资产负债表", "本期", "上年同期", "note"),
@@ -45,8 +47,10 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_quantity") < 5, "").when(F.col("l_linestatus") == "O", F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("％"))).otherwise(F.col("l_quantity").cast("int").cast("string")),
         F.when(F.col("l_discount") >= 0.05, "-").otherwise(F.col("l_suppkey").cast("string")),
     )
-    tops = line.where("n = 1").select("o", F.explode(F.array(F.struct(F.lit(0).alias("row_index"), _pick(TOP_ROWS, kind).alias("cells")), F.struct(F.lit(1).alias("row_index"), F.array(_pick(UNIT_ROWS, kind), F.lit("2024"), F.lit(""), F.lit("")).alias("cells")))).alias("t")).select("o", "t.*")
-    rows = tops.unionByName(line.select("o", (F.col("n") + 1).cast("int").alias("row_index"), data.alias("cells")))
+    row = lambda i, cells: F.struct(i.cast("int").alias("row_index"), cells.alias("cells"))
+    own = F.array(row(F.col("n") + 1, data))
+    tops = F.array(row(F.lit(0), _pick(TOP_ROWS, kind)), row(F.lit(1), F.array(_pick(UNIT_ROWS, kind), F.lit("2024"), F.lit(""), F.lit(""))))
+    rows = line.select("o", F.inline(F.when(F.col("n") == 1, F.concat(tops, own)).otherwise(own)))
     return rows.select(
         F.concat(F.lit("doc_"), F.expr("o div 8").cast("string")).alias("document_id"),
         F.concat(F.lit("page_table_"), (F.col("o") % 3 + 1).cast("string"), F.lit("_"), F.col("o").cast("string")).alias("table_id"), F.col("o").alias("table_ord"), "row_index", "cells",
@@ -88,6 +92,68 @@ o AS (SELECT DISTINCT o, 'doc_' || (o // 8) AS document_id, 'page_table_' || (o
 """
 
 
+#: Every pattern of every role, and none: what the names and texts of the test data are given to carry.
+ROLE_WORDS = (*(p for _, _, patterns in rules.ROLES for p in patterns), "")
+
+
+def named(name: Column, by: Column) -> Column:
+    """name with one of ROLE_WORDS behind it."""
+    return F.concat(name, F.lit(" "), _pick(ROLE_WORDS, by % len(ROLE_WORDS)))
+
+
+def sql_named(name: str, by: str) -> str:
+    return f"{name} || ' ' || ({_array(ROLE_WORDS)})[{by} % {len(ROLE_WORDS)} + 1]"
+
+
+def parser_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """(documents, page files, merged files, page records, flags) as a parser leaves them; some files are damaged."""
+    number = F.substring("document_id", 5, 20).cast("long")
+    tables = line_rows(spark, sf_dir).groupBy("document_id", F.col("table_ord").alias("o")).agg(F.transform(F.sort_array(F.collect_list(F.struct("row_index", "cells"))), lambda r: r["cells"]).alias("rows"))
+    page = tables.groupBy("document_id", (F.col("o") % 3 + 1).cast("int").alias("page_number")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "rows"))), lambda t: t["rows"]).alias("tables"))
+    pages = page.groupBy("document_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("page_number", "tables")))).alias("value"))
+    pages = pages.withColumn("value", F.when(number % 10 == 3, "{bad").otherwise(F.col("value")))
+    parts = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("o", "rows"))), 1, 2), lambda t: F.struct(t["rows"].alias("table")))
+    group = tables.where(number % 2 == 0).groupBy("document_id").agg(parts.alias("tables"))
+    one = F.struct(F.array(F.lit("1"), F.lit("2"), F.lit("x")).alias("source_pages"), F.concat(F.lit("g"), (number % 4).cast("string")).alias("table_group_id"), F.lit(0.9).alias("continuation_confidence"), "tables")
+    merged = group.select("document_id", F.when(number % 14 == 4, '{"a": 1}').otherwise(F.to_json(F.array(one))).alias("value"))
+    documents = tables.select("document_id").distinct()
+    numbered = documents.select("document_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("page_number"))
+    none = F.array().cast("array<string>")
+    records = numbered.select("document_id", "page_number", F.concat(F.lit("p"), F.col("page_number").cast("string")).alias("parser_source"), F.lit("").alias("table_group_id"), F.lit(0.5).alias("table_intent_score"), F.when(F.col("page_number") == 2, F.array(F.lit("own"))).otherwise(none).alias("quality_flags"))
+    flags = numbered.where((F.col("page_number") == 1) & (number % 3 == 0)).select("document_id", "page_number", F.array(F.lit("other1"), F.lit("other2")).alias("flags"))
+    return documents, pages, merged, records, flags
+
+
+NORMALIZED_SQL = """
+dn AS (SELECT DISTINCT o, o // 8 AS dno, 'doc_' || (o // 8) AS document_id FROM l),
+rc AS (SELECT o, count(*) AS n FROM r GROUP BY o),
+pt AS (SELECT document_id, dno, o % 3 + 1 AS page, row_number() OVER (PARTITION BY document_id, o % 3 ORDER BY o) - 1 AS i, n FROM dn JOIN rc USING (o) WHERE dno % 10 <> 3),
+mt AS (SELECT document_id, dno, CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY o) AS k FROM dn JOIN rc USING (o)) WHERE k <= 2 AND dno % 2 = 0 AND dno % 14 <> 4 GROUP BY ALL),
+ds AS (SELECT DISTINCT document_id, dno FROM dn)
+SELECT document_id, 'page_table_' || page || '_' || i AS table_id, 'page_table' AS source_type, CAST(page AS VARCHAR) AS source_pages, '' AS table_group_id, 'p' || page AS parser_source,
+  CASE WHEN page = 2 THEN 'own' WHEN page = 1 AND dno % 3 = 0 THEN 'other1,other2' ELSE '' END AS quality_flags, n AS row_count, 4 * n AS cell_count FROM pt
+UNION ALL SELECT document_id, 'merged_cross_page_table_1_2_0', 'merged_cross_page_table', '1,2', 'g' || (dno % 4), '', CASE WHEN dno % 3 = 0 THEN 'other1,other2' ELSE '' END, n, 4 * n FROM mt
+UNION ALL SELECT document_id, 'tables_json normalization failed: not valid JSON', 'error', '', '', '', '', 0, 0 FROM ds WHERE dno % 10 = 3
+UNION ALL SELECT document_id, 'merged_tables_json normalization failed: not a list', 'error', '', '', '', '', 0, 0 FROM ds WHERE dno % 14 = 4
+UNION ALL SELECT document_id, 'no canonical tables generated', 'warning', '', '', '', '', 0, 0 FROM ds WHERE dno % 10 = 3
+"""
+
+
+def visual_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page records: a document is a page, fifty pages a document."""
+    n = F.col("doc_id")
+    return read(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc_"), (n % 50).cast("string")).alias("document_id"), F.lit("x.pdf").alias("pdf_name"), n.cast("int").alias("page_number"), F.when(n % 10 != 7, n % 9 == 0).alias("visual_table_route_triggered"),
+        ((F.col("n_chars") % 100) / F.lit(100.0)).alias("table_intent_score"), (n % 3).cast("int").alias("n_tables"), F.when(n % 4 == 0, "g1").otherwise("").alias("table_group_id"), F.col("text").alias("final_text"), n.cast("long").alias("ord"),
+    )
+
+
+VISUAL_SQL = """
+vp AS (SELECT 'doc_' || (doc_id % 50) AS document_id, CAST(doc_id AS BIGINT) AS ord, CASE WHEN doc_id % 10 <> 7 THEN doc_id % 9 = 0 END AS routed, (n_chars % 100) / 100.0 AS score, doc_id % 3 AS n_tables, CASE WHEN doc_id % 4 = 0 THEN 'g1' ELSE '' END AS table_group_id, text[:300] AS excerpt FROM documents),
+vi AS (SELECT *, 'visual_table_route_triggered=' || CASE WHEN routed IS NULL THEN 'None' WHEN routed THEN 'True' ELSE 'False' END || '; table_intent_score=' || score || '; table_count=' || n_tables AS reason FROM vp WHERE coalesce(routed, false) OR (score >= 0.8 AND n_tables <= 1))
+"""
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry entries: an order is a document; its lines are its pages."""
     pages = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(

@@ -6,24 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstat.functions import rules, text
-from docstat.operators import candidates, dedup, mapping, review_pack, statements, tables, validation
+from docstat.operators import candidates, dedup, mapping, normalize, quality, review, review_pack, roles, statements, tables, validation
 from docstat.plans import inputs
-from docstat.plans.inputs import LINE_SQL, line_origins, line_rows
+from docstat.plans.inputs import DECISION_SQL, LINE_SQL, REGISTRY_SQL, line_origins, line_rows
+from docstat.sources import store
 
 FIELD = ("ord", "document_id", "table_id", "candidate_statement_type", "canonical_field_name", "raw_field_name", "raw_value", "normalized_value", "unit", "currency", "period_label", "source_row_index", "source_col_index", "confidence", "mapping_reason", "requires_review", "field_id")
 
 
 def _tables(spark, sf):
-    return line_origins(tables.tables(line_rows(spark, sf)))
+    return line_origins(mapping.table_rows(line_rows(spark, sf)))
 
 
 def _fields(spark, sf):
-    return mapping.map_fields(line_rows(spark, sf), _tables(spark, sf), rules.aliases(spark))
-
-
-def _headers(spark, sf):
-    rows = line_rows(spark, sf).join(tables.tables(line_rows(spark, sf)).select(*tables.TABLE, "candidate_statement_type"), list(tables.TABLE))
-    return mapping.header_rows(mapping.with_numbers(rows))
+    return mapping.map_fields(_tables(spark, sf))
 
 
 def cells_page(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,11 +53,11 @@ def candidate_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def header_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return _headers(spark, sf).where("is_header").select("table_id", "row_index")
+    return mapping.header_rows(_tables(spark, sf)).select("table_id", "row_index")
 
 
 def period_columns(spark: SparkSession, sf: str) -> DataFrame:
-    return mapping.period_columns(_headers(spark, sf)).select("table_id", "col_index", "period_label")
+    return mapping.period_columns(_tables(spark, sf)).select("table_id", "col_index", "period_label")
 
 
 def unit_currency(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,8 +68,8 @@ def alias_match(spark: SparkSession, sf: str) -> DataFrame:
     """Parts' names and the aliases' own texts against all rules."""
     names = inputs.read(spark, sf, "part").select(F.col("p_name").alias("label")).distinct()
     own = rules.aliases(spark).select(F.concat(F.col("key"), F.lit(" 合计")).alias("label")).union(rules.aliases(spark).select(F.upper("key"))).distinct()
-    labels = names.union(own).distinct().crossJoin(F.broadcast(spark.createDataFrame([(t,) for t in rules.MAPPED_TYPES], "candidate_statement_type string")))
-    return mapping.alias_matches(labels, rules.aliases(spark)).select("candidate_statement_type", "label", "field", mapping.class_name(F.col("class_ord")).alias("match_type"))
+    kinds = F.explode(F.array(*map(F.lit, rules.MAPPED_TYPES))).alias("candidate_statement_type")
+    return mapping.alias_matches(names.union(own).distinct().select("label", kinds)).select("candidate_statement_type", "label", "field", mapping.class_name(F.col("class_ord")).alias("match_type"))
 
 
 def map_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,48 +108,127 @@ def mapping_stats(spark: SparkSession, sf: str) -> DataFrame:
     return statements.mapping_stats(_fields(spark, sf))
 
 
+def field_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    """Mapping statistics of each canonical field."""
+    return statements.mapping_stats(_fields(spark, sf), "canonical_field_name")
+
+
+def mapping_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    return statements.mapping_discards(_fields(spark, sf)).select("document_id", "n_fields", "n_discarded", "warning")
+
+
+def missing_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates against tables of which every ninth is lost."""
+    made = _tables(spark, sf)
+    return mapping.missing_tables(candidates.select_candidates(made), made.where("table_ord % 9 <> 0"))
+
+
 def normalization_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.normalization_stats(tables.tables(line_rows(spark, sf)))
+    return validation.normalization_stats(_tables(spark, sf))
+
+
+def readiness(spark: SparkSession, sf: str) -> DataFrame:
+    shown = lambda c: F.array_join(F.col(c).cast("array<string>"), ";").alias(c)
+    return validation.readiness(_tables(spark, sf)).select("document_id", "total_tables", "merged_cross_page_tables_count", "n_balance_sheet", "n_income_statement", "n_cash_flow_statement", "n_shareholder_table", "n_unknown", shown("source_pages"), shown("table_group_ids"))
+
+
+def three_statement_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return review_pack.three_statement_counts(candidates.select_candidates(_tables(spark, sf)))
+
+
+def _gate(spark, sf):
+    """Role and eligibility of the registry's documents; the line items' documents are among them."""
+    known = quality.assess(inputs.registry(spark, sf))
+    eligible = review.eligibility(known.select("document_id"), known, inputs.decision_log(spark, sf)).select("document_id", "eligible_for_extraction", "reason")
+    return roles.assess(known.select("document_id", inputs.named(F.col("pdf_name"), F.col("ord")).alias("pdf_name"))).join(eligible, "document_id")
+
+
+def candidate_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Gate of every document with and without override."""
+    gated = lambda forced: candidates.gate(_gate(spark, sf), forced).select("document_id", F.lit(forced).alias("override"), "extraction_mode", F.array_join("warnings", "; ").alias("warnings"))
+    return gated(False).unionByName(gated(True))
+
+
+def candidate_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of eligible documents."""
+    return candidates.candidate_set(_gate(spark, sf), _tables(spark, sf)).select("document_id", "table_id", "candidate_statement_type", "extraction_mode")
+
+
+def normalized_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables of documents from their parser files, page and merged ones together; some files are damaged."""
+    rows, source, messages = normalize.normalize(*inputs.parser_files(spark, sf))
+    made = tables.tables(rows).join(source, list(tables.TABLE)).select("document_id", "table_id", "source_type", F.array_join(F.col("source_pages").cast("array<string>"), ",").alias("source_pages"), "table_group_id", "parser_source", F.array_join(F.flatten("quality_flags"), ",").alias("quality_flags"), "row_count", "cell_count")
+    shown = messages.select("document_id", F.col("message").alias("table_id"), F.col("severity").alias("source_type"), *[F.lit("").alias(c) for c in ("source_pages", "table_group_id", "parser_source", "quality_flags")], F.lit(0).cast("long").alias("row_count"), F.lit(0).cast("long").alias("cell_count"))
+    return made.unionByName(shown)
 
 
 def _groups(spark, sf):
-    return _tables(spark, sf).where("table_group_id <> '' and not contains(table_group_id, ',')").groupBy("document_id", "table_group_id").agg(F.max("continuation_confidence").alias("continuation_confidence"))
+    grouped = F.col("table_group_id")
+    order = inputs.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("table_ord")).distinct()
+    made = line_origins(order).select(F.concat(F.lit("doc_"), F.expr("table_ord div 8").cast("string")).alias("document_id"), "table_group_id", "continuation_confidence")
+    return made.where((grouped != "") & ~grouped.contains(",")).groupBy("document_id", "table_group_id").agg(F.max("continuation_confidence").alias("continuation_confidence"))
 
 
 def continuation_min(spark: SparkSession, sf: str) -> DataFrame:
-    return review_pack.continuation(_tables(spark, sf), _groups(spark, sf)).select("table_id", "table_group_id", "continuation")
+    return review_pack.continuation(_tables(spark, sf).select("document_id", "table_id", "table_group_id"), _groups(spark, sf)).select("table_id", "table_group_id", "continuation")
 
 
-def _items(spark, sf):
-    fields = review_pack.continuation(statements.deduplicate_fields(_fields(spark, sf)), _groups(spark, sf))
+def _field_items(fields, spark, sf):
+    fields = review_pack.continuation(statements.deduplicate_fields(fields), _groups(spark, sf))
     return review_pack.field_items(fields.withColumn("pdf_name", F.concat("document_id", F.lit(".pdf"))))
 
 
 def review_items(spark: SparkSession, sf: str) -> DataFrame:
-    return _items(spark, sf).select("document_id", "ord", "review_type", "reason", "evidence_excerpt")
+    return _field_items(_fields(spark, sf), spark, sf).select("document_id", "ord", "review_type", "reason", "evidence_excerpt")
+
+
+def _pack(spark, sf):
+    """Field, visual and role items of the same documents."""
+    made = store.written(_tables(spark, sf), "tables")
+    fields = store.written(mapping.map_fields(made), "fields")
+    counts = review_pack.three_statement_counts(candidates.select_candidates(made))
+    gate = _gate(spark, sf)
+    extracted = statements.extract(gate, fields, override=True).groupBy("document_id").agg(F.count(F.lit(1)).alias("n_statements"))
+    none = {"n_three_statement": 0, "n_statements": 0}
+    documents = gate.join(counts, "document_id", "left").join(extracted, "document_id", "left").fillna(none).withColumn("ord", F.lit(0).cast("long"))
+    return review_pack.pack(_field_items(fields, spark, sf), review_pack.visual_items(inputs.visual_pages(spark, sf)), review_pack.role_items(documents))
 
 
 def review_top30(spark: SparkSession, sf: str) -> DataFrame:
-    return review_pack.numbered(review_pack.pack(_items(spark, sf))).select("document_id", "ord", "rank", "review_item_id")
+    return review_pack.numbered(_pack(spark, sf)).select("document_id", "review_type", "ord", "rank", "review_item_id", "table_group_id", "suggested_user_action")
 
 
 def review_type_dist(spark: SparkSession, sf: str) -> DataFrame:
-    return review_pack.type_distribution(review_pack.pack(_items(spark, sf)))
+    return review_pack.type_distribution(_pack(spark, sf))
 
 
 def gated_extraction(spark: SparkSession, sf: str) -> DataFrame:
     """Statements of documents that their role and eligibility let through."""
-    docs = _tables(spark, sf).select("document_id").distinct()
-    n = F.crc32("document_id")
-    gate = docs.withColumns({"document_role": F.when(n % 3 == 0, "unknown").when(n % 3 == 1, "auxiliary_material").otherwise("primary_financial_report"), "eligible_for_extraction": n % 2 == 0})
-    return statements.extract(gate, _fields(spark, sf)).select("document_id", "statement_type", "extraction_mode", F.size("fields").cast("long").alias("n_fields"))
+    return statements.extract(_gate(spark, sf), _fields(spark, sf)).select("document_id", "statement_type", "extraction_mode", F.size("fields").cast("long").alias("n_fields"))
+
+
+def extraction_modes(spark: SparkSession, sf: str) -> DataFrame:
+    """Mode and warnings of every document of the registry, with and without override."""
+    gate = _gate(spark, sf).join(statements.mapping_discards(_fields(spark, sf)).select("document_id", "n_discarded"), "document_id", "left")
+    shown = lambda forced: statements.extraction_warnings(gate, forced).select("document_id", F.lit(forced).alias("override"), "extraction_mode", F.array_join("warnings", "; ").alias("warnings"))
+    return shown(False).unionByName(shown(True))
+
+
+def validation_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """The consistency suite over the registry, and over all field candidates and those that de-duplication keeps."""
+    known = quality.assess(inputs.registry(spark, sf))
+    log = inputs.decision_log(spark, sf)
+    fields = store.written(_fields(spark, sf).select("document_id", "ord", "canonical_field_name", "period_label", "source_pages", "mapping_reason", "confidence"), "fields")
+    eligible = review.eligibility(known.select("document_id"), known, log)
+    return validation.suite(validation.consistency(review.queue(known, log), eligible, fields, statements.deduplicate_fields(fields), known))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         cells_page, sparse_rows, table_quality, table_raw_text, table_markdown, table_candidates, candidate_summary, header_rows, period_columns, unit_currency, alias_match, map_fields, map_columns,
-        dedup_fields, discard_log, best_candidate, discarded_counts, mapping_stats, normalization_stats, continuation_min, review_items, review_top30, review_type_dist, gated_extraction,
+        dedup_fields, discard_log, best_candidate, discarded_counts, mapping_stats, field_distribution, mapping_warnings, missing_tables,
+        normalization_stats, readiness, three_statement_counts, candidate_gate, candidate_sets, normalized_documents, continuation_min, review_items, review_top30, review_type_dist, gated_extraction, extraction_modes, validation_checks,
     )
 } | {"statements": statements_query}
 
@@ -189,6 +264,39 @@ def sql_first(x: str, labelled) -> str:
     return "CASE " + " ".join(f"WHEN {sql_any(x, words)} THEN '{label}'" for label, words in labelled) + " ELSE 'unknown' END"
 
 
+def sql_role(x: str, source: str) -> str:
+    key, cases = sql_key(x), []
+    for kind, report, patterns in rules.ROLES:
+        primary = kind == "primary_financial_report"
+        strategy = "three_statement_extraction" if primary else "transcript_or_commentary_extraction" if report == "conference_call_transcript" else "auxiliary_performance_extraction"
+        for p in patterns:
+            value = f"{{'document_role': '{kind}', 'report_type': '{report}', 'strategy': '{strategy}', 'confidence': {0.88 if primary else 0.86}::DOUBLE, 'evidence': '{source}:{p}'}}"
+            cases.append(f"WHEN contains({key}, '{''.join(p.lower().split())}') THEN {value}")
+    none = "{'document_role': 'unknown', 'report_type': 'unknown', 'strategy': 'unknown', 'confidence': 0::DOUBLE, 'evidence': ''}"
+    return f"CASE {' '.join(cases)} ELSE {none} END"
+
+
+APPROVED = "review_decision IN ('approved_for_extraction', 'approved_with_warnings')"
+ELIGIBILITY_SQL = f"""
+e0 AS (SELECT want.document_id, gate.k IS NOT NULL AS known, coalesce(level, '') AS level, coalesce(review_decision, 'pending_review') AS review_decision, CASE WHEN gate.k IS NULL THEN ['registry_entry'] ELSE missing_files END AS missing
+  FROM want LEFT JOIN gate USING (document_id) LEFT JOIN last USING (document_id)),
+e AS (SELECT *, list_filter([CASE WHEN NOT known THEN 'registry entry not found' END, CASE level WHEN 'failed' THEN 'parse_quality_level=failed' END, CASE WHEN NOT {APPROVED} THEN 'review_decision=' || review_decision END,
+  CASE WHEN NOT {APPROVED} THEN 'approved_for_extraction=false' END, CASE WHEN len(missing) > 0 THEN 'missing_required_files=[''' || array_to_string(missing, ''', ''') || ''']' END], lambda x: x IS NOT NULL) AS why FROM e0)
+"""
+GATE_SQL = f""", {REGISTRY_SQL}, {DECISION_SQL}, want AS (SELECT document_id FROM reg), {ELIGIBILITY_SQL},
+gt AS (SELECT e.document_id, len(e.why) = 0 AS ok, CASE WHEN len(e.why) = 0 THEN 'approved for extraction' ELSE array_to_string(e.why, '; ') END AS reason, {sql_role(inputs.sql_named("pdf_name", "reg.k"), "filename")} AS role FROM e JOIN reg USING (document_id))
+"""
+PACK_SQL = f""", {inputs.VISUAL_SQL},
+ri AS (SELECT document_id, role, CASE role.document_role WHEN 'unknown' THEN true WHEN 'auxiliary_material' THEN coalesce(c, 0) >= 10 ELSE coalesce(s, 0) < 2 END AS odd
+  FROM gt LEFT JOIN (SELECT document_id, count(*) FILTER (kind IN ('balance_sheet', 'income_statement', 'cash_flow_statement')) AS c FROM cand GROUP BY 1) USING (document_id)
+  LEFT JOIN (SELECT document_id, count(DISTINCT kind) AS s FROM b GROUP BY 1) USING (document_id)),
+all_items AS (SELECT document_id, ord, review_type, confidence, table_group_id, 0 AS part, 'Compare this mapped field with the original PDF table and confirm value, period, unit, and row label.' AS suggested_user_action FROM it WHERE len(why) > 0
+  UNION ALL SELECT document_id, ord, 'visual_table_check', score, table_group_id, 1, 'Open the original PDF page and confirm whether visual tables were recovered correctly.' FROM vi
+  UNION ALL SELECT document_id, 0, 'auxiliary_material_role_check', role.confidence, '', 2, 'Confirm whether this document is a primary financial report or auxiliary material before extraction.' FROM ri WHERE odd),
+pk AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY CASE review_type WHEN 'cross_page_numeric_check' THEN 5 WHEN 'visual_table_check' THEN 4 WHEN 'field_mapping_semantic_check' THEN 3 ELSE 1 END DESC, 1 - confidence DESC, part, ord) AS rank FROM all_items QUALIFY rank <= 30)
+"""
+
+
 def _alias_values() -> str:
     rows = [(f[0], f[1], f[2], rule, k, "".join(a.split()).lower()) for rule, f in enumerate(rules.FIELDS) for k in range(3) for a in f[3 + k]]
     return "(VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d}, {e}, '{g}')" for a, b, c, d, e, g in rows) + ") AS t(kind, field, value_type, rule_ord, class_ord, akey)"
@@ -244,10 +352,26 @@ it0 AS (SELECT d.*, coalesce(continuation, 0)::DOUBLE AS cont FROM d LEFT JOIN g
 it1 AS (SELECT *, source_type <> 'page_table' OR (table_group_id <> '' AND cont < 0.85) AS crossing, {sql_strip('raw_value')} = '' OR (normalized_value IS NULL AND regexp_matches(raw_value, '\\d')) AS broken FROM it0),
 it AS (SELECT *, CASE WHEN crossing OR (broken AND table_group_id <> '') THEN 'cross_page_numeric_check' ELSE 'field_mapping_semantic_check' END AS review_type, list_filter([
   CASE WHEN crossing THEN printf('cross-page table confidence=%.2f', cont) END, CASE WHEN confidence < 0.75 THEN 'confidence<0.75' END, CASE class_ord WHEN 2 THEN 'weak alias match' END, CASE period WHEN 'unknown_period' THEN 'unknown period' END,
-  CASE unit WHEN 'unknown' THEN 'unknown unit' END, CASE WHEN requires_review THEN 'field requires review' END, CASE WHEN broken THEN 'raw or normalized value looks suspicious' END], lambda x: x IS NOT NULL) AS why FROM it1),
-pk AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY CASE review_type WHEN 'cross_page_numeric_check' THEN 5 ELSE 3 END DESC, 1 - confidence DESC, ord) AS rank FROM it WHERE len(why) > 0 QUALIFY rank <= 30)
+  CASE unit WHEN 'unknown' THEN 'unknown unit' END, CASE WHEN requires_review THEN 'field requires review' END, CASE WHEN broken THEN 'raw or normalized value looks suspicious' END], lambda x: x IS NOT NULL) AS why FROM it1)
 """
 
+DISCARDS = "SELECT document_id, count(*) AS n_fields, count(*) - count(DISTINCT (field, period, page)) AS n_discarded FROM f GROUP BY 1"
+ROLE_LINES = "['document_role=' || role.document_role, 'report_type=' || role.report_type, 'expected_extraction_strategy=' || role.strategy]"
+EXTRACTION_MODES = f"""SELECT document_id, override, CASE WHEN aux AND override THEN 'auxiliary_material_dry_run' WHEN aux OR (lost AND NOT override) THEN 'blocked_by_document_role' WHEN ok THEN 'eligible' WHEN override THEN 'dry_run_override' ELSE 'blocked' END AS extraction_mode,
+  array_to_string(CASE WHEN aux THEN list_concat(['auxiliary_material_no_three_statement_expected'], lines) WHEN lost AND NOT override THEN ['document_role_unknown_requires_review'] WHEN NOT ok AND NOT override THEN [reason]
+    ELSE list_concat(lines, CASE WHEN n_discarded > 0 THEN ['discarded_candidates_count=' || n_discarded] ELSE [] END, CASE WHEN ok THEN [] ELSE ['override_used', 'eligibility_block_reason=' || reason] END) END, '; ') AS warnings
+FROM (SELECT gt.*, n_discarded, {ROLE_LINES} AS lines, role.document_role = 'auxiliary_material' AS aux, role.document_role = 'unknown' AS lost FROM gt LEFT JOIN ({DISCARDS}) USING (document_id)), (VALUES (false), (true)) AS v(override)"""
+VALIDATION_CHECKS = f"""SELECT check_name, CASE n_failed WHEN 0 THEN 'passed' ELSE 'failed' END AS status, n_failed, coalesce(example, '') AS example, true AS machine_determined FROM (
+  SELECT 'blocking_decisions_are_not_eligible' AS check_name, count(*) AS n_failed, min(document_id) AS example FROM e WHERE NOT {APPROVED} AND len(why) = 0
+  UNION ALL SELECT 'approved_with_files_is_eligible', count(*), min(document_id) FROM e WHERE {APPROVED} AND level <> 'failed' AND len(missing) = 0 AND len(why) > 0
+  UNION ALL SELECT 'task_ids_are_unique', count(*), min(parse_task_id) FROM (SELECT parse_task_id FROM reg GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT 'pages_match_summary', count(*), min(document_id) FROM gate WHERE level <> 'failed' AND pages_count <> total
+  UNION ALL SELECT 'kept_fields_come_from_fields', count(*), min(document_id) FROM (SELECT document_id, n, k FROM (SELECT document_id, count(*) AS n FROM f GROUP BY 1) FULL JOIN (SELECT document_id, count(*) AS k FROM d GROUP BY 1) USING (document_id) WHERE n IS NULL OR k IS NULL OR k > n))"""
+NORMALIZED = inputs.NORMALIZED_SQL
+#: Queries that need chains beside CHAIN.
+GATED = ("candidate_gate", "candidate_sets", "gated_extraction", "extraction_modes", "validation_checks", "review_top30", "review_type_dist")
+PACKED = ("review_top30", "review_type_dist")
+
 ORACLES = {
     "cells_page": "SELECT document_id, table_id, CAST(r AS INT) AS row_index, CAST(col AS INT) AS col_index, txt AS text, r = 0 AS is_header FROM c JOIN o USING (o)",
     "sparse_rows": "SELECT table_id, CAST(dense_rank() OVER (PARTITION BY o ORDER BY r) - 1 AS INT) AS row_index, cells FROM (SELECT o, r, array_to_string(cells[:max(col) + 1], '|') AS cells FROM r JOIN c USING (o, r) WHERE txt <> '' GROUP BY o, r, r.cells) JOIN o USING (o)",
@@ -266,12 +390,23 @@ ORACLES = {
     "discard_log": "SELECT document_id, field AS canonical_field_name, period AS period_label, ord AS arrival, CASE WHEN (alias_score, confidence) > (best.a, best.c) THEN -best.o ELSE ord END AS discarded FROM (SELECT *, max(struct_pack(a := alias_score, c := confidence, o := -ord)) OVER (PARTITION BY document_id, field, period, page ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM f) WHERE best IS NOT NULL",
     "best_candidate": "SELECT document_id, ord, kind AS candidate_statement_type, field AS canonical_field_name, period AS period_label, raw_value, confidence FROM b",
     "discarded_counts": "SELECT document_id, count(*) AS n_fields, count(*) - count(DISTINCT (kind, field, period)) AS n_discarded FROM f GROUP BY 1",
+    "field_distribution": "SELECT field AS canonical_field_name, count(*) AS n_fields, avg(confidence) AS mean_confidence, count(*) FILTER (unit = 'unknown') AS unknown_unit, count(*) FILTER (period = 'unknown_period') AS unknown_period, count(*) FILTER (requires_review) AS n_review FROM f GROUP BY 1",
+    "mapping_warnings": f"SELECT document_id, n_fields, n_discarded, CASE WHEN n_discarded > 0 THEN 'discarded_candidates_count=' || n_discarded END AS warning FROM ({DISCARDS})",
+    "missing_tables": "SELECT document_id, 'canonical table not found for candidate table_id=' || table_id AS message FROM cand WHERE kind IN ('balance_sheet', 'income_statement', 'cash_flow_statement', 'shareholder_table') AND o % 9 = 0",
+    "readiness": "SELECT document_id, count(*) AS total_tables, count(*) FILTER (source_type = 'merged_cross_page_table') AS merged_cross_page_tables_count, count(*) FILTER (kind = 'balance_sheet') AS n_balance_sheet, count(*) FILTER (kind = 'income_statement') AS n_income_statement, count(*) FILTER (kind = 'cash_flow_statement') AS n_cash_flow_statement, count(*) FILTER (kind = 'shareholder_table') AS n_shareholder_table, count(*) FILTER (kind = 'unknown') AS n_unknown, array_to_string(list_sort(list(DISTINCT page)), ';') AS source_pages, coalesce(array_to_string(list_sort(list(DISTINCT table_group_id) FILTER (table_group_id <> '')), ';'), '') AS table_group_ids FROM t GROUP BY 1",
+    "three_statement_counts": "SELECT document_id, count(*) FILTER (kind IN ('balance_sheet', 'income_statement', 'cash_flow_statement')) AS n_three_statement FROM cand GROUP BY 1",
+    "normalized_documents": NORMALIZED,
+    "candidate_sets": "SELECT document_id, table_id, kind AS candidate_statement_type, 'eligible' AS extraction_mode FROM cand JOIN gt USING (document_id) WHERE ok",
+    "gated_extraction": "SELECT document_id, kind AS statement_type, 'eligible' AS extraction_mode, count(*) AS n_fields FROM b JOIN gt USING (document_id) WHERE ok AND role.document_role = 'primary_financial_report' GROUP BY 1, 2",
     "statements": "SELECT document_id, kind AS statement_type, string_agg(period || '=' || field || '=' || raw_value, ';' ORDER BY period, field) AS fields, array_to_string(list_sort(list(DISTINCT period)), ',') AS periods_detected, array_to_string(list_sort(list(DISTINCT page)), ',') AS source_pages, bool_or(requires_review) AS requires_review FROM b GROUP BY ALL",
     "mapping_stats": "SELECT count(*) AS n_fields, avg(confidence) AS mean_confidence, count(*) FILTER (unit = 'unknown') AS unknown_unit, count(*) FILTER (period = 'unknown_period') AS unknown_period, count(*) FILTER (requires_review) AS n_review FROM f",
-    "normalization_stats": "SELECT count(*) AS n_tables, count(*) FILTER (kind = 'unknown') AS n_unknown, count(*) FILTER (NOT has_header) AS n_headless, CAST(sum(cell_count) AS BIGINT) AS n_cells, count(DISTINCT document_id) AS n_documents, CAST(max(col_count) AS BIGINT) AS widest FROM t",
+    "normalization_stats": "SELECT count(*) AS n_tables, count(*) FILTER (kind = 'unknown') AS n_unknown, count(*) FILTER (NOT has_header) AS n_headless, CAST(0 AS BIGINT) AS source_pages_missing, count(*) FILTER (table_group_id <> '') AS table_group_id_count, CAST(sum(cell_count) AS BIGINT) AS n_cells, count(DISTINCT document_id) AS n_documents, CAST(max(col_count) AS BIGINT) AS widest FROM t",
     "continuation_min": "SELECT table_id, table_group_id, coalesce(continuation, 0)::DOUBLE AS continuation FROM t LEFT JOIN gp USING (document_id, table_group_id)",
     "review_items": "SELECT document_id, ord, review_type, array_to_string(why, '; ') AS reason, raw_field_name || ' = ' || raw_value AS evidence_excerpt FROM it WHERE len(why) > 0",
-    "review_top30": "SELECT document_id, ord, CAST(rank AS INT) AS rank, printf('hri_%05d', row_number() OVER (ORDER BY document_id, rank)) AS review_item_id FROM pk",
+    "review_top30": "SELECT document_id, review_type, ord, CAST(rank AS INT) AS rank, printf('hri_%05d', row_number() OVER (ORDER BY document_id, rank)) AS review_item_id, table_group_id, suggested_user_action FROM pk",
     "review_type_dist": "SELECT review_type, count(*) AS n FROM pk GROUP BY 1",
+    "candidate_gate": "SELECT document_id, false AS override, CASE WHEN ok THEN 'eligible' ELSE 'blocked' END AS extraction_mode, CASE WHEN ok THEN '' ELSE reason END AS warnings FROM gt UNION ALL SELECT document_id, true, CASE WHEN ok THEN 'eligible' ELSE 'dry_run_override' END, CASE WHEN ok THEN '' ELSE 'override_used; eligibility_block_reason=' || reason END FROM gt",
+    "extraction_modes": EXTRACTION_MODES,
+    "validation_checks": VALIDATION_CHECKS,
 }
-ORACLES = {name: f"{CHAIN}\n{sql}" for name, sql in ORACLES.items()}
+ORACLES = {name: f"{CHAIN}{GATE_SQL * (name in GATED)}{PACK_SQL * (name in PACKED)}{', ' * (sql is NORMALIZED)}\n{sql}" for name, sql in ORACLES.items()}

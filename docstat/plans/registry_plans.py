@@ -6,19 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstat.functions import rules, text
-from docstat.operators import quality, registry, review, review_pack, roles, tables, validation
+from docstat.operators import quality, registry, review, review_pack, roles, tables
 from docstat.plans import inputs
 from docstat.plans.inputs import DECISION_SQL, REGISTRY_SQL, TEXT_SQL
-from docstat.plans.line_plans import sql_any, sql_first, sql_key, sql_number, sql_numeric_like, sql_strip
-
-#: Roles of the test pages and turns: words that occur there, tried in this order.
-WEB_ROLES = (
-    ("auxiliary_material", "earnings_presentation", ("/a", "thanks")),
-    ("auxiliary_material", "other_announcement", ("index", "please")),
-    ("primary_financial_report", "annual_report", ("1", "the")),
-    ("primary_financial_report", "quarterly_report", ("2", "and")),
-)
-
+from docstat.plans.line_plans import APPROVED, ELIGIBILITY_SQL, sql_any, sql_first, sql_key, sql_number, sql_numeric_like, sql_role, sql_strip
+from docstat.sources import json_tables
 
 def _entries(spark, sf):
     return quality.assess(inputs.registry(spark, sf))
@@ -93,8 +85,8 @@ def eligibility(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def role_by_name(spark: SparkSession, sf: str) -> DataFrame:
-    pages = inputs.read(spark, sf, "pages").select("page_id", F.col("url").alias("pdf_name"))
-    return roles.assess(pages, table=WEB_ROLES).select("page_id", "document_role", "report_type", "strategy", "confidence", "evidence", "requires_review")
+    pages = inputs.read(spark, sf, "pages").select("page_id", inputs.named(F.col("url"), F.col("page_id")).alias("pdf_name"))
+    return roles.assess(pages).select("page_id", "document_role", "report_type", "strategy", "confidence", "evidence", "requires_review")
 
 
 def page_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,8 +94,9 @@ def page_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def role_by_content(spark: SparkSession, sf: str) -> DataFrame:
-    sample = page_sample(spark, sf).withColumn("pdf_name", F.concat(F.lit("conv "), (F.col("conv_id") % 10).cast("string")))
-    return roles.assess(sample, content="sample", table=WEB_ROLES).select("conv_id", "document_role", "report_type", "evidence")
+    n = F.col("conv_id")
+    sample = page_sample(spark, sf).withColumns({"pdf_name": F.when(n % 3 == 0, inputs.named(F.lit("conv"), n)).otherwise("conv"), "sample": inputs.named(F.col("sample"), n + 5)})
+    return roles.assess(sample, content="sample").select("conv_id", "document_role", "report_type", "evidence")
 
 
 def cells_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,11 +152,7 @@ def suspicious_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def visual_items(spark: SparkSession, sf: str) -> DataFrame:
-    pages = inputs.read(spark, sf, "documents").select(
-        (F.col("doc_id") % 50).cast("string").alias("document_id"), F.lit("x.pdf").alias("pdf_name"), F.col("doc_id").cast("int").alias("page_number"), (F.col("doc_id") % 9 == 0).alias("visual_table_route_triggered"),
-        ((F.col("n_chars") % 100) / F.lit(100.0)).alias("table_intent_score"), (F.col("doc_id") % 3).alias("n_tables"), F.col("text").alias("final_text"), F.col("doc_id").alias("ord"),
-    )
-    return review_pack.visual_items(pages).select("document_id", "ord", "review_type", "reason", "evidence_excerpt")
+    return review_pack.visual_items(inputs.visual_pages(spark, sf)).select("document_id", "ord", "review_type", "reason", "confidence", "table_group_id", "suggested_user_action", "evidence_excerpt")
 
 
 def role_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,24 +161,35 @@ def role_items(spark: SparkSession, sf: str) -> DataFrame:
     return review_pack.role_items(docs).select("document_id", "review_type", "reason", "confidence", "evidence_excerpt")
 
 
-def validation_checks(spark: SparkSession, sf: str) -> DataFrame:
-    known = _entries(spark, sf)
-    items = review.queue(known, inputs.decision_log(spark, sf))
-    fields = known.select("document_id")
-    return validation.suite(validation.consistency(items, _eligibility(spark, sf), fields, fields.where("document_id <> 'doc_1'").unionByName(fields.limit(0)), known))
-
-
 def task_manifests(spark: SparkSession, sf: str) -> DataFrame:
     """File paths of task results: those given, else the output folder's."""
     orders = inputs.read(spark, sf, "orders").select(F.concat(F.lit("/out/"), F.col("o_orderkey").cast("string")).alias("output_dir"), F.when(F.col("o_orderkey") % 2 == 0, F.create_map(F.lit("summary"), F.lit("/s.json"))).alias("output_files"), F.col("o_orderkey").alias("k"))
     return registry.manifest(orders).select("k", "summary_path", "pages_path", "merged_tables_path")
 
 
+def registry_manifests(spark: SparkSession, sf: str) -> DataFrame:
+    return registry.manifest_of(inputs.registry(spark, sf)).select("document_id", "task_id", "pdf_name", "summary_path")
+
+
+def ingest_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Task results with their summary files, registered and put into a registry that has every other task already."""
+    known = inputs.registry(spark, sf)
+    pages = lambda c: F.array_repeat(F.lit(1), F.col(c).cast("int")).alias(c.removesuffix("_count"))
+    text_of = F.to_json(F.struct("pdf_name", "total_pages", pages("failed_pages_count"), pages("empty_pages_count"), pages("visual_table_route_pages_count"), "cross_page_table_candidate_count", "heavy_parser_ratio", "ocr_ratio"))
+    files = known.where("has_summary").select(F.col("parse_task_id").alias("document_id"), text_of.alias("value"))
+    read = json_tables.summaries(files).join(known.select(F.col("parse_task_id").alias("document_id"), "flag_counts"), "document_id")
+    results = known.select("parse_task_id", F.concat(F.lit("/in/"), F.col("pdf_name")).alias("pdf_path"), "output_dir", F.create_map(F.lit("summary"), F.lit("/s.json")).alias("output_files"), "parse_status", "ord")
+    entries = registry.ingest(results, read, known.select("parse_task_id", "pages_count", "merged_md"), "2026-01-01T00:00:00Z")
+    columns = ("parse_task_id", "document_id", "pdf_name", "parse_quality_level", "summary_path", "ord")
+    old = entries.where("ord % 2 = 0").select(*columns).withColumn("parse_quality_level", F.lit("old"))
+    return registry.upsert(old, entries.select(*columns))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         registry_list, registry_upsert, registry_find, registry_duplicates, document_ids, quality_gate, latest_decision, decision_list, decision_upsert, review_queue, review_queue_latest, queue_summary, eligibility,
-        role_by_name, page_sample, role_by_content, cells_text, text_table_quality, statement_type, merged_tables, page_flags, parse_numbers, numeric_like, suspicious_values, visual_items, role_items, validation_checks, task_manifests,
+        role_by_name, page_sample, role_by_content, cells_text, text_table_quality, statement_type, merged_tables, page_flags, parse_numbers, numeric_like, suspicious_values, visual_items, role_items, task_manifests, registry_manifests, ingest_results,
     )
 }
 
@@ -202,26 +202,11 @@ queue AS (SELECT risk.*, CASE WHEN level = 'failed' OR parse_status = 'failed' O
   CASE WHEN level = 'failed' OR parse_status = 'failed' THEN 'parse_status=' || parse_status || ', parse_quality_level=' || level WHEN len(missing_outputs) > 0 THEN 'missing_outputs=[''' || array_to_string(missing_outputs, ''', ''') || ''']'
     WHEN len(risks) > 0 THEN array_to_string(risks, '; ') WHEN level = 'pass' THEN 'parse_quality_level=pass' ELSE 'parse_quality_level=pass_with_warnings without high-risk flags' END AS review_reasons,
   coalesce(last.review_decision, 'pending_review') AS review_decision FROM risk LEFT JOIN last USING (document_id))"""
-APPROVED = "review_decision IN ('approved_for_extraction', 'approved_with_warnings')"
-ELIGIBLE = f"""{RD}, want AS (SELECT document_id FROM reg UNION ALL SELECT unnest(['doc_0', 'nowhere'])),
-e0 AS (SELECT want.document_id, gate.k IS NOT NULL AS known, coalesce(level, '') AS level, coalesce(review_decision, 'pending_review') AS review_decision, CASE WHEN gate.k IS NULL THEN ['registry_entry'] ELSE missing_files END AS missing
-  FROM want LEFT JOIN gate USING (document_id) LEFT JOIN last USING (document_id)),
-e AS (SELECT *, list_filter([CASE WHEN NOT known THEN 'registry entry not found' END, CASE level WHEN 'failed' THEN 'parse_quality_level=failed' END, CASE WHEN NOT {APPROVED} THEN 'review_decision=' || review_decision END,
-  CASE WHEN NOT {APPROVED} THEN 'approved_for_extraction=false' END, CASE WHEN len(missing) > 0 THEN 'missing_required_files=[''' || array_to_string(missing, ''', ''') || ''']' END], lambda x: x IS NOT NULL) AS why FROM e0)"""
-
-
-def _sql_role(x: str, source: str) -> str:
-    key, cases = sql_key(x), []
-    for kind, report, patterns in WEB_ROLES:
-        strategy = "three_statement_extraction" if kind.startswith("primary") else "auxiliary_performance_extraction"
-        for p in patterns:
-            cases.append(f"WHEN contains({key}, '{p}') THEN {{'document_role': '{kind}', 'report_type': '{report}', 'strategy': '{strategy}', 'confidence': {0.88 if kind.startswith('primary') else 0.86}::DOUBLE, 'evidence': '{source}:{p}'}}")
-    none = "{'document_role': 'unknown', 'report_type': 'unknown', 'strategy': 'unknown', 'confidence': 0::DOUBLE, 'evidence': ''}"
-    return f"CASE {' '.join(cases)} ELSE {none} END"
+ELIGIBLE = f"{RD}, want AS (SELECT document_id FROM reg UNION ALL SELECT unnest(['doc_0', 'nowhere'])), {ELIGIBILITY_SQL}"
 
 
 SAMPLE = f"""WITH s AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY n) AS sample FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE {sql_strip("coalesce(text, '')")} <> '') WHERE n <= 3 GROUP BY 1)"""
-NAMED = f"WITH pr AS (SELECT page_id, {_sql_role('url', 'filename')} AS x FROM pages)"
+NAMED = f"WITH pr AS (SELECT page_id, {sql_role(inputs.sql_named('url', 'page_id'), 'filename')} AS x FROM pages)"
 NUMBERS = """WITH nb AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN '（' || s || '）' WHEN 1 THEN s || '%' WHEN 2 THEN ' (' || s || ') ' WHEN 3 THEN p_name WHEN 4 THEN '-' WHEN 5 THEN '１２' WHEN 6 THEN p_size || chr(10) || '1' ELSE s END AS raw
   FROM (SELECT *, format('{:,.2f}', p_retailprice) AS s FROM part))"""
 PLAIN = r"'^\(?-?[0-9,，]+(\.[0-9]+)?\)?%?$'"
@@ -242,7 +227,7 @@ ORACLES = {
     "eligibility": f"{ELIGIBLE} SELECT document_id, len(why) = 0 AS eligible_for_extraction, CASE WHEN len(why) = 0 THEN 'approved for extraction' ELSE array_to_string(why, '; ') END AS reason, level AS parse_quality_level, review_decision, len(missing) = 0 AS required_files_present FROM e",
     "role_by_name": f"{NAMED} SELECT page_id, x.document_role, x.report_type, x.strategy, x.confidence, x.evidence, x.document_role = 'unknown' AS requires_review FROM pr",
     "page_sample": f"{SAMPLE} SELECT conv_id, sample FROM s",
-    "role_by_content": f"{SAMPLE}, a AS (SELECT conv_id, sample, {_sql_role(chr(39) + 'conv ' + chr(39) + ' || (conv_id % 10)', 'filename')} AS x, {_sql_role('sample', 'content')} AS y FROM s) SELECT conv_id, CASE x.document_role WHEN 'unknown' THEN y.document_role ELSE x.document_role END AS document_role, CASE x.document_role WHEN 'unknown' THEN y.report_type ELSE x.report_type END AS report_type, CASE x.document_role WHEN 'unknown' THEN y.evidence ELSE x.evidence END AS evidence FROM a",
+    "role_by_content": f"{SAMPLE}, a AS (SELECT conv_id, {sql_role("CASE WHEN conv_id % 3 = 0 THEN " + inputs.sql_named("'conv'", "conv_id") + " ELSE 'conv' END", "filename")} AS x, {sql_role(inputs.sql_named("sample", "(conv_id + 5)"), "content")} AS y FROM s) SELECT conv_id, CASE x.document_role WHEN 'unknown' THEN y.document_role ELSE x.document_role END AS document_role, CASE x.document_role WHEN 'unknown' THEN y.report_type ELSE x.report_type END AS report_type, CASE x.document_role WHEN 'unknown' THEN y.evidence ELSE x.evidence END AS evidence FROM a",
     "cells_text": f"WITH {TEXT_SQL} SELECT 'text_table_' || doc_id AS table_id, CAST(r AS INT) AS row_index, CAST(col AS INT) AS col_index, txt AS text, r = 0 AS is_header FROM tc",
     "text_table_quality": f"WITH {TEXT_SQL}, a AS (SELECT doc_id, count(*) AS row_count, max(len(cells)) AS col_count FROM tr GROUP BY 1), b AS (SELECT doc_id, count(*) AS cells, count(*) FILTER ({sql_strip('txt')} = '') AS empty_cells, count(*) FILTER ({sql_numeric_like('txt')}) AS numeric_cells, bool_or(r = 0 AND {sql_strip('txt')} <> '') AS has_header FROM tc GROUP BY 1) SELECT 'text_table_' || doc_id AS table_id, row_count, CAST(col_count AS BIGINT) AS col_count, empty_cells, numeric_cells, has_header, empty_cells / (row_count * col_count) AS empty_ratio_exact, numeric_cells / cells AS numeric_ratio_exact FROM a JOIN b USING (doc_id)",
     "statement_type": f"SELECT doc_id, {sql_first('lower(body)', rules.STATEMENT_KEYWORDS)} AS statement_type FROM (SELECT doc_id, text || CASE doc_id % 6 WHEN 0 THEN chr(10) || 'Cash Flow' WHEN 1 THEN ' 分部' ELSE '' END AS body FROM documents)",
@@ -251,8 +236,9 @@ ORACLES = {
     "parse_numbers": f"{NUMBERS} SELECT p_partkey, raw, {sql_number('raw')} AS value FROM nb",
     "numeric_like": f"{NUMBERS} SELECT p_partkey, regexp_matches(raw, '^[\\s,，\\-—()（）.%％0-9０-９]+$') AND regexp_matches(raw, '[0-9０-９]') AS numeric_like, {sql_any(sql_key('raw'), text.PERIOD_MARKERS)} AS period_like FROM nb",
     "suspicious_values": f"{NUMBERS}, v AS (SELECT *, {sql_number('raw')} AS value, {sql_strip('raw')} AS s FROM nb) SELECT p_partkey, s = '' OR (contains(s, chr(10)) AND length(s) <= 4) OR value IS NULL OR NOT regexp_matches(replace(s, ' ', ''), {PLAIN}) AS suspicious, s = '' OR (contains(s, chr(10)) AND length(s) <= 4) OR (value IS NULL AND regexp_matches(raw, '[0-9０-９]')) AS broken FROM v",
-    "visual_items": "SELECT CAST(doc_id % 50 AS VARCHAR) AS document_id, doc_id AS ord, 'visual_table_check' AS review_type, CASE WHEN doc_id % 9 = 0 THEN 'visual table route triggered' ELSE 'high table intent with few tables' END AS reason, text[:300] AS evidence_excerpt FROM documents WHERE doc_id % 9 = 0 OR ((n_chars % 100) / 100.0 >= 0.8 AND doc_id % 3 <= 1)",
+    "visual_items": f"WITH {inputs.VISUAL_SQL} SELECT document_id, ord, 'visual_table_check' AS review_type, reason, score AS confidence, table_group_id, 'Open the original PDF page and confirm whether visual tables were recovered correctly.' AS suggested_user_action, excerpt AS evidence_excerpt FROM vi",
+    "registry_manifests": f"{R} SELECT document_id, parse_task_id AS task_id, pdf_name, '' AS summary_path FROM reg",
+    "ingest_results": f"{R} SELECT parse_task_id, 'parsed_doc_' || sha1('/in/' || pdf_name || '|' || parse_task_id)[:16] AS document_id, pdf_name, level AS parse_quality_level, '/s.json' AS summary_path, CASE WHEN k % 2 = 0 THEN k ELSE k + (SELECT max(k) FROM reg WHERE k % 2 = 0) + 1 END AS ord FROM gate",
     "role_items": f"{NAMED}, y AS (SELECT page_id, x.*, page_id % 20 AS c, page_id % 4 AS s FROM pr) SELECT CAST(page_id AS VARCHAR) AS document_id, 'auxiliary_material_role_check' AS review_type, CASE document_role WHEN 'unknown' THEN 'document role is unknown' WHEN 'auxiliary_material' THEN 'auxiliary material has many three-statement candidates: ' || c ELSE 'primary report has few extracted statements: ' || s END AS reason, confidence, evidence AS evidence_excerpt FROM y WHERE document_role = 'unknown' OR (document_role = 'auxiliary_material' AND c >= 10) OR (document_role = 'primary_financial_report' AND s < 2)",
-    "validation_checks": f"{ELIGIBLE} SELECT * FROM (SELECT 'blocking_decisions_are_not_eligible' AS check_name, count(*) FILTER (NOT {APPROVED} AND len(why) = 0) AS n_failed FROM e UNION ALL SELECT 'approved_with_files_is_eligible', count(*) FILTER ({APPROVED} AND level <> 'failed' AND len(missing) = 0 AND len(why) > 0) FROM e UNION ALL SELECT 'task_ids_are_unique', count(*) - count(DISTINCT parse_task_id) FROM reg UNION ALL SELECT 'pages_match_summary', count(*) FROM gate WHERE level <> 'failed' AND pages_count <> total UNION ALL SELECT 'kept_fields_come_from_fields', count(*) FROM reg WHERE document_id = 'doc_1'), LATERAL (SELECT CASE n_failed WHEN 0 THEN 'passed' ELSE 'failed' END AS status)",
     "task_manifests": "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN '/s.json' ELSE '/out/' || o_orderkey || '/summary.json' END AS summary_path, '/out/' || o_orderkey || '/pages.jsonl' AS pages_path, '/out/' || o_orderkey || '/merged_tables.json' AS merged_tables_path FROM orders",
 }

@@ -45,6 +45,11 @@ def row_cells(v: Column) -> Column:
     return F.transform(F.when(is_list(v), v.cast(VARIANTS)).otherwise(F.array(v)), cell_text)
 
 
+def place(part: int, outer: Column, inner: Column) -> Column:
+    """Order of a table in its document: page tables first, then by page and index, or by group."""
+    return F.struct(F.lit(part).alias("part"), outer.cast("int").alias("outer"), inner.cast("int").alias("inner"))
+
+
 def page_tables(files: DataFrame) -> DataFrame:
     """rows of tables.json. files: (document_id, value). Index and page of a table name it."""
     page = files.select("document_id", F.posexplode(items(F.try_parse_json("value"))).alias("page_ord", "p"))
@@ -53,7 +58,7 @@ def page_tables(files: DataFrame) -> DataFrame:
     rows = table.select(
         "document_id", "page_number", F.array_compact(F.array("page_number")).alias("source_pages"),
         F.concat_ws("_", F.lit("page_table"), F.coalesce(F.col("page_number").cast("string"), F.lit("unknown")), F.col("i").cast("string")).alias("table_id"),
-        (F.col("page_ord").cast("long") * 100_000 + F.col("i")).alias("table_ord"), F.posexplode(items(F.col("t"))).alias("row_index", "r"),
+        place(0, F.col("page_ord"), F.col("i")).alias("table_ord"), F.posexplode(items(F.col("t"))).alias("row_index", "r"),
     )
     return rows.select("document_id", "table_id", "table_ord", "page_number", "source_pages", F.lit("page_table").alias("source_type"), "row_index", row_cells(F.col("r")).alias("cells"))
 
@@ -68,7 +73,7 @@ def merged_tables(files: DataFrame) -> DataFrame:
     at = F.row_number().over(_window("document_id", "g_ord", order=("f", "i"))) - 1
     label = F.when(F.size("source_pages") > 0, F.array_join(F.col("source_pages").cast("array<string>"), "_")).otherwise("unknown")
     return rows.select(
-        "document_id", F.concat_ws("_", F.lit("merged_cross_page_table"), label, F.col("g_ord").cast("string")).alias("table_id"), (F.col("g_ord").cast("long") + 1_000_000_000_000).alias("table_ord"),
+        "document_id", F.concat_ws("_", F.lit("merged_cross_page_table"), label, F.col("g_ord").cast("string")).alias("table_id"), place(1, F.col("g_ord"), F.lit(0)).alias("table_ord"),
         "source_pages", F.lit("merged_cross_page_table").alias("source_type"), "table_group_id", "continuation_confidence", at.alias("row_index"), row_cells(F.col("r")).alias("cells"),
     )
 

@@ -9,8 +9,12 @@ from docstat.functions import text
 
 
 def filled_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, line_no, value) of each line that isn't blank; line_no orders the lines of a file."""
-    lines = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
+    """(path, line_no, value) of each line that isn't blank; line_no orders the lines of a file.
+
+    Files are split among tasks like any text, so a line's place is that of its block in the file and its place in the block.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), place.alias("line_no"), "value")
     return lines.where(text.strip(F.col("value")) != "")
 
 

@@ -94,7 +94,7 @@ def test_mapping_confidence(spark, class_ord, period, unit, merged, want):
 
 def from_json(spark, pages, merged=None):
     rows = json_tables.page_tables(spark.createDataFrame([("d", json.dumps(pages))], "document_id string, value string"))
-    made = tables.tables(rows)
+    made = mapping.table_rows(rows)
     origin = rows.select("table_id", "source_pages", "source_type").distinct()
     return rows, made.join(origin, "table_id").withColumns({"table_group_id": F.lit(""), "continuation_confidence": F.lit(0.0), "n_flags": F.lit(0)})
 
@@ -107,7 +107,7 @@ def test_income_table_end_to_end(spark):
     t = one(made)
     assert (t.table_id, t.candidate_statement_type, t.row_count, t.col_count, t.empty_cell_ratio, t.numeric_cell_ratio) == ("page_table_2_0", "income_statement", 4, 4, 0.1875, 0.3125)
     assert one(candidates.select_candidates(made)).confidence == 0.9
-    fields = mapping.map_fields(rows, made, rules.aliases(spark))
+    fields = mapping.map_fields(made)
     got = [(r.field_id, r.canonical_field_name, r.normalized_value, r.period_label, r.mapping_reason, r.confidence, r.requires_review, r.unit) for r in fields.orderBy("ord").collect()]
     assert got == [
         ("page_table_2_0_revenue_2_1_0", "revenue", 261347980.19, "本报告期", "row_alias_match:exact_aliases", 0.95, False, "yuan"),
@@ -120,7 +120,7 @@ def test_income_table_end_to_end(spark):
 
 def test_narrow_table_loses_its_first_rows(spark):
     rows, made = from_json(spark, [{"page_number": 1, "tables": [[["项目", "金额"], ["资产总计", "100"], ["负债合计", "40"], ["货币资金", "10"]]]}])
-    f = one(mapping.map_fields(rows, made, rules.aliases(spark)))
+    f = one(mapping.map_fields(made))
     assert (f.canonical_field_name, f.normalized_value, f.unit, f.period_label, f.confidence, f.requires_review) == ("cash_and_cash_equivalents", 10.0, "unknown", "unknown_period", 0.73, True)
 
 
@@ -194,15 +194,70 @@ def test_files(spark, tmp_path):
 
 def test_store_and_stream(spark, tmp_path):
     schema = "document_id string, review_decision string, ord long"
-    table = store.VersionedTable(spark, str(tmp_path / "t"), schema)
-    assert table.read().count() == 0
-    log = str(tmp_path / "log")
+    table, log, checkpoint = (str(tmp_path / x) for x in "tlc")
     spark.createDataFrame([("d1", "rejected", 0), ("d1", "ignored", 1), ("d2", "rejected", 2)], schema).write.parquet(log)
-    decisions.follow(spark, log, table, str(tmp_path / "c")).awaitTermination()
+    decisions.follow(spark, log, schema, table, checkpoint).awaitTermination()
     spark.createDataFrame([("d2", "pending_review", 3)], schema).write.mode("append").parquet(log)
-    decisions.follow(spark, log, table, str(tmp_path / "c")).awaitTermination()
-    assert sorted((r.document_id, r.review_decision) for r in table.read().collect()) == [("d1", "ignored"), ("d2", "pending_review")]
-    assert table.version() == 2 and "| d1 |" in store.to_markdown(table.read(), ["document_id"], "x")
+    decisions.follow(spark, log, schema, table, checkpoint).awaitTermination()
+    assert sorted((r.document_id, r.review_decision) for r in decisions.current(spark, table).collect()) == [("d1", "ignored"), ("d2", "pending_review")]
+    whole = store.VersionedTable(spark, str(tmp_path / "v"), schema)
+    assert whole.read().count() == 0
+    whole.append(decisions.current(spark, table).select("document_id", "review_decision", "ord"))
+    whole.append(spark.createDataFrame([("d3", "rejected", 0)], schema))
+    assert sorted((r.document_id, r.ord) for r in whole.read().collect()) == [("d1", 1), ("d2", 3), ("d3", 4)] and whole.version() == 2
+    assert "| d1 |" in store.to_markdown(whole.read(), ["document_id"], "x")
+
+
+def test_sinks(spark, tmp_path):
+    frame = spark.createDataFrame([("d1", "eligible", ["a", "b"], 'say "x"'), ("d2", "blocked", [], None)], "document_id string, extraction_mode string, source_pages array<string>, note string")
+    store.write_csv(frame, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv"))
+    assert sorted(tuple(r) for r in back.collect()) == [("d1", "eligible", '["a","b"]', 'say "x"'), ("d2", "blocked", "[]", None)]
+    store.write_by_mode(frame, str(tmp_path / "modes"))
+    assert sorted(p.name for p in (tmp_path / "modes").iterdir() if p.is_dir()) == ["extraction_mode=blocked", "extraction_mode=eligible"]
+    jsonl.write_lines(frame, str(tmp_path / "lines"))
+    assert jsonl.records(spark, str(tmp_path / "lines"), "document_id string, note string").count() == 2
+    counts = jsonl.line_counts(spark.createDataFrame([("nowhere",)], "path string").union(jsonl.filled_lines(spark, str(tmp_path / "lines")).select("path").distinct()), jsonl.filled_lines(spark, str(tmp_path / "lines")))
+    assert [r.n for r in counts.where("path = 'nowhere'").collect()] == [None] and counts.agg(F.sum("n")).first()[0] == 2
+
+
+def test_parser_json(spark):
+    flags = json_tables.quality_flags(spark.createDataFrame([("d", '{"pages": {"1": ["a", 2], "x": ["b"], "3": 4}}'), ("e", "{bad")], "document_id string, value string")).collect()
+    assert sorted((str(r.page_number), r.flags) for r in flags) == [("1", ["a", "2"]), ("3", []), ("None", ["b"])]
+    texts = [("d", '{"pdf_name": "a.pdf", "total_pages": 3, "failed_pages": [1], "ocr_ratio": 0.5}'), ("e", "{}"), ("f", "[1]"), ("g", None)]
+    got = {r.document_id: r for r in json_tables.summaries(spark.createDataFrame(texts, "document_id string, value string")).collect()}
+    assert got["d"].has_summary and (got["d"].total_pages, got["d"].failed_pages_count, got["d"].empty_pages_count, got["d"].ocr_ratio) == (3, 1, 0, 0.5)
+    assert not any(got[k].has_summary for k in "efg")
+    entries = spark.createDataFrame([("C:\\in\\a.pdf", 0), ("/b.pdf", 1)], "pdf_path string, ord long")
+    assert [r.ord for r in registry.by_pdf_path(entries, "C:/in/a.pdf").collect()] == [0]
+    pages = spark.createDataFrame([([1, 2], 0), ([], 1)], "p array<int>, i int").orderBy("i")
+    assert [r[0] for r in pages.select(tables.table_id(F.lit("page_table"), F.col("p"), F.col("i"))).collect()] == ["page_table_1_2_0", "page_table_unknown_1"]
+    assert one(spark.range(1).select(text.utc_text(F.lit("2026-01-02 03:04:05").cast("timestamp")).alias("t"))).t == "2026-01-02T03:04:05Z"
+
+
+def test_gates_and_warnings(spark):
+    docs = spark.createDataFrame([("d1", True, "ok"), ("d2", False, "no entry")], "document_id string, eligible_for_extraction boolean, reason string")
+    shown = lambda f: {r.document_id: (r.extraction_mode, r.warnings) for r in f.collect()}
+    assert shown(candidates.gate(docs)) == {"d1": ("eligible", []), "d2": ("blocked", ["no entry"])}
+    assert shown(candidates.gate(docs, True))["d2"] == ("dry_run_override", ["override_used", "eligibility_block_reason=no entry"])
+    rows = [("a", "auxiliary_material", True, 2), ("u", "unknown", True, None), ("p", "primary_financial_report", False, 3), ("q", "primary_financial_report", True, 0)]
+    full = spark.createDataFrame([(i, r, "t", "s", "", e, "why", n) for i, r, e, n in rows], "document_id string, document_role string, report_type string, strategy string, evidence string, eligible_for_extraction boolean, reason string, n_discarded int")
+    said = lambda role: [f"document_role={role}", "report_type=t", "expected_extraction_strategy=s"]
+    plain, forced = shown(statements.extraction_warnings(full)), shown(statements.extraction_warnings(full, True))
+    assert plain["a"] == ("blocked_by_document_role", ["auxiliary_material_no_three_statement_expected", *said("auxiliary_material")]) and forced["a"] == ("auxiliary_material_dry_run", plain["a"][1])
+    assert plain["u"] == ("blocked_by_document_role", ["document_role_unknown_requires_review"]) and plain["p"] == ("blocked", ["why"]) and plain["q"] == ("eligible", said("primary_financial_report"))
+    assert forced["p"] == ("dry_run_override", [*said("primary_financial_report"), "discarded_candidates_count=3", "override_used", "eligibility_block_reason=why"])
+
+
+def test_review_pack_texts(spark):
+    pages = spark.createDataFrame([("d", "p.pdf", 3, True, 0.25, 2, None, "x" * 400, 0), ("d", "p.pdf", 4, None, 0.9, 1, "g1", None, 1), ("d", "p.pdf", 5, False, 0.9, 2, "", "t", 2)], "document_id string, pdf_name string, page_number int, visual_table_route_triggered boolean, table_intent_score double, n_tables int, table_group_id string, final_text string, ord long")
+    items = review_pack.visual_items(pages).orderBy("ord").collect()
+    assert [(r.reason, r.confidence, r.table_group_id) for r in items] == [("visual_table_route_triggered=True; table_intent_score=0.25; table_count=2", 0.25, ""), ("visual_table_route_triggered=None; table_intent_score=0.9; table_count=1", 0.9, "g1")]
+    packed = review_pack.numbered(review_pack.pack(review_pack.visual_items(pages)))
+    first = packed.orderBy("rank").first()
+    assert set(review_pack.ITEM) <= set(packed.columns) and (first.confidence, first.canonical_field_name, first.unit, first.source_pages) == (0.25, "", "", [3])
+    shown = review_pack.markdown(packed)
+    assert "- total_review_items: 2" in shown and "### hri_00001 visual_table_check" in shown
 
 
 def fake_transport():
@@ -227,16 +282,22 @@ def test_plans(spark, sf):
     assert "WindowGroupLimit" in catalogue.QUERIES["dedup_fields"](spark, sf)._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize(("name", "scans", "exchanges"), [("map_fields", 1, 4), ("statements", 1, 5), ("dedup_fields", 1, 5), ("review_items", 2, 8)])
+def test_fields_are_made_in_one_pass(spark, sf, name, scans, exchanges):
+    plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= scans and plan.count("Exchange hashpartitioning") <= exchanges
+
+
 def test_order_does_not_matter(spark, sf):
     rows = inputs.line_rows(spark, sf).where("table_ord < 200")
-    made = inputs.line_origins(tables.tables(rows))
-    a = mapping.map_fields(rows, made, rules.aliases(spark)).collect()
-    b = mapping.map_fields(rows.repartition(7, "row_index"), made, rules.aliases(spark)).collect()
+    made = lambda r: inputs.line_origins(mapping.table_rows(r))
+    a = mapping.map_fields(made(rows)).collect()
+    b = mapping.map_fields(made(rows.repartition(7, "row_index"))).collect()
     key = lambda r: (r.document_id, r.ord)
     assert sorted(a, key=key) == sorted(b, key=key)
 
 
-@pytest.mark.parametrize("name", ["quality_gate", "eligibility", "table_quality", "unit_currency", "role_by_content", "parse_numbers", "suspicious_values", "registry_upsert", "merged_tables", "statements", "review_top30"])
+@pytest.mark.parametrize("name", ["quality_gate", "eligibility", "table_quality", "unit_currency", "role_by_content", "parse_numbers", "suspicious_values", "registry_upsert", "merged_tables", "statements", "review_top30", "map_columns", "normalized_documents", "extraction_modes", "validation_checks", "ingest_results"])
 def test_queries_equal_their_sql(spark, sf, name):
     db = duckdb.connect()
     for table in ("orders", "lineitem", "events", "pages", "conversations", "part", "documents"):
