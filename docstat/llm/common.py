@@ -2,45 +2,109 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
+#: Where a local session without spark.checkpoint.dir keeps its tables (tests).
 LOCAL_SHARED = "/tmp/docstat-shared"
+#: A key with more than this share of a table's rows is hot; a table has at most 1 / HOT_SHARE of them.
+HOT_SHARE = 0.001
+
+_recording: list[list[str]] = []
+_cleaned: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one is set only where that is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir. Only a local session may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", LOCAL_SHARED)
         found = LOCAL_SHARED
     return found.rstrip("/")
 
 
+def _file_system(path: str):
+    context = SparkContext._active_spark_context
+    p = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    conf = context._jsc.hadoopConfiguration() if context and context._jsc else SparkContext._jvm.org.apache.hadoop.conf.Configuration()
+    return p.getFileSystem(conf), p
+
+
+def exists(path: str) -> bool:
+    fs, p = _file_system(path)
+    return fs.exists(p)
+
+
+def delete(path: str) -> None:
+    fs, p = _file_system(path)
+    fs.delete(p, True)
+
+
+def _delete_at_exit(path: str) -> None:
+    if SparkContext._gateway is not None:
+        delete(path)
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the application's own folder, which goes when the driver's Python ends."""
+    root = f"{shared_dir(spark)}/docstat-{spark.sparkContext.applicationId}"
+    if root not in _cleaned:
+        _cleaned.add(root)
+        atexit.register(_delete_at_exit, root)
+    path = f"{root}/{tag}-{uuid.uuid4().hex}"
+    for paths in _recording:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The scratch paths that are taken inside, so that the caller can delete them once nothing reads them."""
+    paths: list[str] = []
+    _recording.append(paths)
+    try:
+        yield paths
+    finally:
+        _recording.remove(paths)
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     The written rows are the ones every later reader sees, even when executors are lost
     and the tasks that made them would deal them out differently a second time.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docstat-{tag}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that no later step reads."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/docstat-" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+            delete(name)
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of big, of `total` rows, with small, whose column n tells how many rows of big have the key.
+
+    The hot keys, at most 1 / HOT_SHARE, have their rows of small broadcast; the rest meets by a shuffle in which no
+    key has more than HOT_SHARE of big's rows. small has a few rows a key.
+    """
+    hot, rest = small.where(F.col("n") > HOT_SHARE * total).drop("n"), small.where(F.col("n") <= HOT_SHARE * total).drop("n")
+    return big.join(F.broadcast(hot), key).unionByName(big.join(rest.hint("merge"), key))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

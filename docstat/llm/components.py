@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstat.llm.common import drop_staged, stage
+from docstat.llm.common import drop_staged, join_hot, stage
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """(u, v, least) of directed pairs; least: the smallest of u and its neighbours."""
-    lows = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("least"))
-    return pairs.join(lows, "u")
+def _least(pairs: DataFrame, total: int) -> DataFrame:
+    """(u, v, least) of directed pairs; least: the smallest of u and its neighbours. A hub's pairs are not brought together."""
+    lows = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    return join_hot(pairs, lows.select("u", F.least("u", "m").alias("least"), "n"), "u", total)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _least(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u > v").distinct()
+    return _least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u > v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """edges: u > v."""
-    joined = _least(edges)
+    joined = _least(edges, total)
     moved = joined.where("v > least").select(F.col("v").alias("u"), F.col("least").alias("v"))
     return moved.union(joined.select("u", F.col("least").alias("v"))).distinct()
 
@@ -30,7 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node that has an edge (a, b); root: the smallest node it is connected with.
 
     Each step writes its edges to the shared folder and compares their checksum with the step
-    before; a step is two grouped minima and joins on single nodes, and no node's neighbours are gathered.
+    before; a step is two grouped minima and joins on single nodes. No node's neighbours are gathered: a hub's minimum is broadcast.
+
+    Defined results: an edge of a node with itself says nothing, repeated edges count once, edges with a null end are left out,
+    and no edges give no rows; other columns are not read.
     """
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
@@ -39,6 +42,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or state[0] == 0:
             break
         seen, before = state, now
-        now = stage(_small_star(_large_star(now)), "edges")
+        now = stage(_small_star(_large_star(now, state[0]), state[0]), "edges")
         drop_staged(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

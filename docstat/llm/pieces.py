@@ -5,12 +5,11 @@ crosses from a character to a mark, so words are segmented one by one. The disti
 batch are sorted, which visits their trie depth-first: the forward states of the prefix that a word shares with the one
 before it stay on a stack, and only its new characters are worked out.
 
-The forward state of a prefix is the last piece of its best segmentation. The model at hand is of
-the merging kind, in which the best segmentation is the one where no two neighbours would have
-been merged otherwise, not the one with the largest sum of scores. So a candidate piece extends
-a prefix when it and the prefix's last piece stand side by side in the merged form of
-their own text; that form decides each pair once and is remembered. Exactly one candidate passes, which gives
-the ids the library gives.
+The forward state of a prefix is its best segmentation's last piece and score, the sum of its pieces' scores. The model at hand is of
+the merging kind: of two neighbours that merging would have made one, no segmentation holds both. So a step from a prefix's last piece to a piece
+that merging wouldn't leave beside it costs infinitely much, where every other step adds the piece's score; the merged form of the two
+decides a step once and is remembered. Without those steps the largest sum is another segmentation than the library's; with them one
+candidate is left, whose sum is the forward score.
 
 Characters that are no piece become their bytes. Defined results: a null or empty text has
 no ids; words of any length are handled; repeated rows give equal rows; a null doc_id stays null;
@@ -83,7 +82,7 @@ class Model:
         """Ids of the distinct words, depth-first through the trie that their sorted order is."""
         if len(self.beside) > PAIRS:
             self.beside.clear()
-        last: list[str] = [""]  # last[n]: last piece of the best segmentation of the first n characters
+        last: list[tuple[str, float]] = [("", 0.0)]  # last[n]: last piece and score of the best segmentation of the first n characters
         before = ""
         for word in sorted(words):
             shared = 0
@@ -97,22 +96,22 @@ class Model:
             self.words[word] = self.walk(word, last)
             before = word
 
-    def extend(self, word: str, n: int, last: list[str]) -> str:
+    def extend(self, word: str, n: int, last: list[tuple[str, float]]) -> tuple[str, float]:
         for size in self.ends.get(word[n - 1], ()):
             if size <= n and (piece := word[n - size : n]) in self.ids:
-                left = last[n - size]
+                left, score = last[n - size]
                 if not left or left not in self.ids or self.fits(left, piece):
-                    return piece
-        return word[n - 1]
+                    return piece, score + self.score[piece]
+        return word[n - 1], last[n - 1][1]
 
-    def walk(self, word: str, last: list[str]) -> bytes:
+    def walk(self, word: str, last: list[tuple[str, float]]) -> tuple[bytes, float]:
         out, n = [], len(word)
         while n:
-            piece = last[n]
+            piece = last[n][0]
             i = self.ids.get(piece)
             out += [self.byte[b] for b in reversed(piece.encode())] if i is None else [i]
             n -= len(piece)
-        return array("I", reversed(out)).tobytes()
+        return array("I", reversed(out)).tobytes(), last[-1][1]
 
 
 _models: dict[str, Model] = {}
@@ -133,12 +132,13 @@ def marked_words(text: str) -> list[str]:
     return re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", MARK + text.replace(" ", MARK))
 
 
-def encode(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers."""
+def encode(path: str, texts: list[str]) -> list[tuple[bytes, float]]:
+    """Ids of each text as little-endian unsigned 32-bit integers, and their scores' sum; bytes score nothing."""
     m = model(path)
     split = [marked_words(text) for text in texts]
     m.learn(m.words.lacks(set().union(*split)))
-    return [b"".join(map(m.words.__getitem__, words)) for words in split]
+    found = [list(map(m.words.__getitem__, words)) for words in split]
+    return [(b"".join([ids for ids, _ in words]), sum([score for _, score in words])) for words in found]
 
 
 def decode(path: str, ids: bytes) -> str:
@@ -154,14 +154,14 @@ def encode_column(docs: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                ids = encode(model_path, part.column(1).to_pylist())
+                ids = [ids for ids, _ in encode(model_path, part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([decode(model_path, i) for i in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, ENCODED)
 
 
 def digest_columns(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_ids, ids_crc32, ids_sha256, decoded_sha256, round_trip of each row."""
+    """doc_id, n_ids, ids_crc32, ids_sha256, decoded_sha256, round_trip, score of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,14 +169,14 @@ def digest_columns(docs: DataFrame, model_path: str) -> DataFrame:
                 part = batch.slice(lo, 512)
                 texts = part.column(1).to_pylist()
                 rows = []
-                for text, ids in zip(texts, encode(model_path, texts)):
+                for text, (ids, score) in zip(texts, encode(model_path, texts)):
                     back = decode(model_path, ids)
-                    rows.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text))
-                n, crc, sha, decoded, same = zip(*rows)
+                    rows.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text, score))
+                n, crc, sha, decoded, same, scores = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha), pa.array(decoded), pa.array(same)],
-                    names=["doc_id", "n_ids", "ids_crc32", "ids_sha256", "decoded_sha256", "round_trip"],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha), pa.array(decoded), pa.array(same), pa.array(scores, pa.float64())],
+                    names=["doc_id", "n_ids", "ids_crc32", "ids_sha256", "decoded_sha256", "round_trip", "score"],
                 )
 
-    schema = "doc_id long, n_ids long, ids_crc32 long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+    schema = "doc_id long, n_ids long, ids_crc32 long, ids_sha256 string, decoded_sha256 string, round_trip boolean, score double"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)

@@ -1,16 +1,20 @@
 """Personal data by bootstrapped contextual extraction; DataFrame functions only.
 
 Regular expressions give the base spans, which are also the seeds. Candidates are runs of
-identifier-like words (they hold a digit or `@`); the words just left of a candidate
-are its pattern. Patterns and candidate strings (instances) form a graph. Each round scores a pattern
-by the mean score its distinct instances have for a kind, keeps the confident patterns that enough
-seeds support, and scores instances anew by the patterns they occur in. Candidates outside all
-base spans whose instance ends with a high score are added. All of it is joins and grouped sums on narrow rows, so
-a pattern or an instance that a third of the corpus shares is summed map-side.
+identifier-like words (they hold a digit or `@`). A candidate has up to two lexical patterns: the two words left of it,
+and the word on either side; digits in them are 0, and another candidate is `<id>`. Patterns and candidate strings
+(instances) form a graph. Each round scores a pattern for the kind that most of its known instances have: what they add up to over all of
+its known instances and a share of the unknown ones. Candidates that have the form of a kind and fail its check are known to be no identifiers.
+Patterns that are confident, and supported by enough seeds or instances found in earlier rounds, score the instances they
+occur with. At the end a candidate outside all base spans is added where both speak for the same kind: its instance, by its score, and
+a pattern at this very place.
+
+The tables hold hashes of instances and patterns, and positions, but no text. All of it is joins and grouped sums on narrow rows; a pattern or an
+instance that a third of the corpus shares is a hot key, whose one row of the other side is broadcast (`join_hot`).
 
 Defined results: a null text is empty; each row gives one row, repeated rows the same spans;
-a null doc_id stays null; an empty table gives an empty table; columns other than doc_id and text
-are not read by `find` and kept by `redact`.
+a null doc_id stays null; an empty table gives an empty table; texts of any length, and any number of matches in one, cost in proportion; columns other
+than doc_id and text are not read by `find` and kept by `redact`.
 """
 
 from __future__ import annotations
@@ -18,8 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docstat.llm.common import free_name, stage, text_or_empty
-from docstat.llm.spans import SPAN, joined, mask, spans
+from docstat.llm.common import free_name, join_hot, stage, text_or_empty
+from docstat.llm.spans import SPAN, joined, mask, matches, spans
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = r"[A-Za-z0-9._%+-]"
@@ -30,18 +34,20 @@ CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
-CANDIDATE = rf"(?<![^{SPACE}]){WORD}(?:\x20{WORD})*+"
+#: Between the words of a run may be spaces, and words of brackets, points and dashes, so that a base span is never cut.
+CANDIDATE = rf"(?<![^{SPACE}]){WORD}(?:\x20++(?:[().-]++\x20++)*+{WORD})*+"
 
-ROUNDS = 2
-#: A pattern needs so many distinct seeds and so high a mean score.
+ROUNDS = 3
+#: A pattern needs so many instances of its kind and so high a score.
 MIN_SEEDS = 5
 MIN_CONFIDENCE = 0.8
+#: What an unknown instance counts against a pattern, where a known one of another kind counts 1.
+UNKNOWN = 0.25
 #: Score from which an instance is taken.
 MIN_SCORE = 0.8
-#: Characters left of a candidate in which its pattern, its last two words, is looked for.
-REACH = 80
+NONE = "none"
 
-OCCURRENCE = "array<struct<pattern:string,instance:string,start:bigint,end:bigint,kinds:array<string>>>"
+SEEN = "array<struct<instance:string,start:bigint,end:bigint,kinds:array<string>,failed:boolean,patterns:array<bigint>>>"
 
 
 def digits(match: Column) -> Column:
@@ -57,71 +63,99 @@ def is_card(match: Column) -> Column:
     return F.length(digits(match)).between(13, 19) & F.call_function("luhn_check", digits(match))
 
 
+def is_phone(match: Column) -> Column:
+    return F.length(digits(match)).between(9, 15)
+
+
+CHECKED = (("ip", IP, is_ip), ("card", CARD, is_card), ("phone", PHONE, is_phone))
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     return {
         "email": spans(text, "email", EMAIL, may=text.contains("@")),
         "ip": spans(text, "ip", IP, is_ip, text.rlike(r"[0-9]\.[0-9]")),
         "card": spans(text, "card", CARD, is_card, text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}")),
-        "phone": spans(text, "phone", PHONE, lambda m: F.length(digits(m)).between(9, 15), text.contains("+")),
+        "phone": spans(text, "phone", PHONE, is_phone, text.contains("+")),
     }
 
 
-def occurrences(text: Column, base: Column) -> Column:
-    """Candidates with their pattern and the kinds of the base spans they overlap."""
-    gaps, found = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    pieces = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("match")), lambda p: p["match"].isNotNull())
+def kinds_of(instance: Column) -> Column:
+    """The kinds of the base spans in a candidate. No base span reaches out of one."""
+    found = lambda pattern: F.regexp_extract_all(instance, F.lit(pattern), F.lit(0))
+    return F.array_compact(F.array(F.when(instance.rlike(EMAIL), "email"), *[F.when(F.exists(found(p), ok), kind) for kind, p, ok in CHECKED]))
+
+
+def failed(instance: Column) -> Column:
+    """Whether a candidate holds what has the form of a kind and fails its check: an address out of range, or digits of a card's length."""
+    digit_runs = F.regexp_extract_all(instance, F.lit(CARD), F.lit(0))
+    return F.exists(F.regexp_extract_all(instance, F.lit(IP), F.lit(0)), lambda m: ~is_ip(m)) | F.exists(digit_runs, lambda m: F.length(digits(m)).between(13, 19) & ~is_card(m))
 
-    def step(state: Column, piece: Column) -> Column:
-        start = (state["at"] + F.char_length(piece["gap"])).cast("long")
-        end = (start + F.char_length(piece["match"])).cast("long")
-        left = F.lower(F.regexp_extract(F.right(piece["gap"], F.lit(REACH)), rf"(?:^|[{SPACE}])([^{SPACE}]++[{SPACE}]++[^{SPACE}]++)[{SPACE}]*+$", 1))
-        kinds = F.transform(F.filter(base, lambda s: (s["start"] < end) & (s["end"] > start)), lambda s: s["kind"])
-        one = F.struct(left.alias("pattern"), piece["match"].alias("instance"), start.alias("start"), end.alias("end"), F.array_distinct(kinds).alias("kinds"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(OCCURRENCE).alias("out"))
-    return F.when(text.rlike("[0-9@]"), F.aggregate(pieces, begin, step, lambda s: s["out"])).otherwise(F.array().cast(OCCURRENCE))
+def occurrences(text: Column) -> Column:
+    """Candidates with their patterns and the kinds they are known to have."""
+    word = lambda w: F.when(w.contains("@"), "<id>").otherwise(F.lower(F.regexp_replace(w, "[0-9]+", "0")))
+    left = rf"^[{SPACE}]*+([^{SPACE}]*+)(?:[{SPACE}]++([^{SPACE}]++))?"
+    right = rf"^[{SPACE}]*+([^{SPACE}]*+)"
+
+    def one(m: Column, end: Column, i: Column, gaps: Column) -> Column:
+        back, edge = F.reverse(F.get(gaps, i)), F.when(i == 0, "<start>").otherwise("<id>")
+        pick = lambda g: F.reverse(F.regexp_extract(back, left, g))
+        near = F.when(pick(1) == "", edge).otherwise(word(pick(1)))
+        far = F.when(pick(1) == "", "").when(pick(2) == "", edge).otherwise(word(pick(2)))
+        after = F.regexp_extract(F.get(gaps, i + 1), right, 1)
+        after = F.when(after == "", F.when(i + 2 < F.size(gaps), "<id>").otherwise("<end>")).otherwise(word(after))
+        patterns = F.array(F.xxhash64(F.lit("left"), far, near), F.xxhash64(F.lit("around"), near, after))
+        hashed = F.substring(F.sha2(m, 256), 1, 32)
+        return F.struct(hashed.alias("instance"), (end - F.char_length(m)).alias("start"), end.alias("end"), kinds_of(m).alias("kinds"), failed(m).alias("failed"), patterns.alias("patterns"))
+
+    return F.when(text.rlike("[0-9@]"), matches(text, CANDIDATE, one).cast(SEEN)).otherwise(F.array().cast(SEEN))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One narrow row per row: doc_id, key (of the text), base, seen (candidates). Written once."""
     text = text_or_empty()
-    by_kind = docs.select(F.col("doc_id"), F.xxhash64(text).alias("key"), text.alias("t"), *(c.alias(k) for k, c in base_spans(text).items()))
-    based = by_kind.select("doc_id", "key", "t", F.concat(*KINDS).alias("base"))
-    return stage(based.select("doc_id", "key", "base", occurrences(F.col("t"), F.col("base")).alias("seen")), "pii")
-
-
-def learn(occ: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Instances with a high score for a kind: (instance, kind, score)."""
-    named = occ.where(F.col("pattern") != "")
-    edges = named.select("pattern", "instance").distinct()
-    seeds = occ.select("instance", F.explode("kinds").alias("kind")).distinct().withColumns({"score": F.lit(1.0), "seed": F.lit(1)})
-    degree = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("degree"))
-    scores = seeds
+    base = F.concat(*base_spans(text).values())
+    return stage(docs.select("doc_id", F.xxhash64(text).alias("key"), base.alias("base"), occurrences(text).alias("seen")), "pii")
+
+
+def counted(rows: DataFrame, by: str) -> DataFrame:
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def learn(occ: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(instance, kind, score) and (pattern, kind, confidence) of what is confident after the last round."""
+    edges = stage(occ.select(F.explode("patterns").alias("pattern"), "instance").distinct(), "pii-edges")
+    total = edges.count()
+    of_instance, of_pattern = counted(edges, "instance"), counted(edges, "pattern")
+    known = F.when(F.size("kinds") > 0, F.col("kinds")).when(F.col("failed"), F.array(F.lit(NONE)))
+    seeds = stage(occ.select("instance", F.explode(known).alias("kind")).distinct().withColumn("score", F.lit(1.0)), "pii-seeds")
+    scores, patterns = seeds, None
     for _ in range(rounds):
-        sums = edges.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("total"), F.sum("seed").alias("seeds"))
-        confident = (
-            sums.where(F.col("seeds") >= MIN_SEEDS)
-            .join(degree, "pattern")
-            .withColumn("confidence", F.col("total") / F.col("degree"))
-            .where(F.col("confidence") >= MIN_CONFIDENCE)
-            .select("pattern", "kind", "confidence")
-        )
-        reached = edges.join(confident, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1.001 - F.col("confidence"))))).alias("score")).withColumn("seed", F.lit(0))
-        scores = seeds.unionByName(reached).groupBy("instance", "kind").agg(F.max("score").alias("score"), F.max("seed").alias("seed"))
-        scores = stage(scores, "pii-scores")
-    return scores.where(F.col("score") >= MIN_SCORE)
+        reached = join_hot(edges, scores.join(of_instance.hint("merge"), "instance"), "instance", total)
+        sums = reached.groupBy("pattern", "kind").agg(F.sum("score").alias("total"), F.count_if(F.col("score") >= MIN_SCORE).alias("support"))
+        best = F.max_by(F.struct("kind", "total", "support"), F.col("total")).alias("best")
+        judged = sums.groupBy("pattern").agg(best, F.sum("total").alias("known")).join(of_pattern.hint("merge"), "pattern")
+        confidence = F.col("best.total") / (F.col("known") + UNKNOWN * F.greatest(F.col("n") - F.col("known"), F.lit(0.0)))
+        judged = judged.select("pattern", F.col("best.kind").alias("kind"), F.col("best.support").alias("support"), confidence.alias("confidence"), "n")
+        patterns = stage(judged.where((F.col("kind") != NONE) & (F.col("support") >= MIN_SEEDS) & (F.col("confidence") >= MIN_CONFIDENCE)).drop("support"), "pii-patterns")
+        found = join_hot(edges, patterns, "pattern", total).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1.001 - F.col("confidence"))))).alias("score"))
+        scores = stage(seeds.unionByName(found).groupBy("instance", "kind").agg(F.max("score").alias("score")), "pii-scores")
+    return scores.where((F.col("score") >= MIN_SCORE) & (F.col("kind") != NONE)), patterns.drop("n")
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, key, base and added spans of each row of docs."""
     rows = scan(docs)
     occ = rows.select("doc_id", "key", F.inline("seen"))
-    taken = learn(occ, rounds).where(F.col("seed") == 0)
-    span = F.struct("kind", "start", "end", F.col("instance").alias("match"))
-    added = occ.where(F.size("kinds") == 0).join(taken, "instance").groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.array_sort(F.collect_set(span)).alias("added"))
-    joined_rows = rows.drop("seen").join(added, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
-    return joined_rows.select("doc_id", "key", "base", F.coalesce("added", F.array().cast(SPAN)).alias("added"))
+    taken, patterns = learn(occ, rounds)
+    unknown = occ.where((F.size("kinds") == 0) & ~F.col("failed")).select("doc_id", "key", "instance", "start", "end", F.explode("patterns").alias("pattern"))
+    total = unknown.count()
+    spoken = join_hot(unknown, patterns.join(counted(unknown, "pattern").hint("merge"), "pattern").drop("confidence"), "pattern", total).withColumnRenamed("kind", "said")
+    spoken = stage(spoken.drop("pattern"), "pii-spoken")
+    both = join_hot(spoken, taken.drop("score").join(counted(spoken, "instance").hint("merge"), "instance"), "instance", spoken.count()).where("kind = said")
+    added = both.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
+    joined_rows = rows.drop("seen").join(added.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+    return joined_rows.select("doc_id", "key", "base", F.coalesce("added", F.array()).cast(SPAN).alias("added"))
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
@@ -138,7 +172,7 @@ def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     d, k, s = (free_name(docs, x) for x in ("doc", "key", "spans"))
     marks = found.where((F.size("base") > 0) | (F.size("added") > 0)).select(F.col("doc_id").alias(d), F.col("key").alias(k), F.concat("base", "added").alias(s)).dropDuplicates([d, k])
     text = F.col("text")
-    out = docs.join(marks, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64(text_or_empty()) == F.col(k)), "left")
+    out = docs.join(marks.hint("merge"), F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64(text_or_empty()) == F.col(k)), "left")
     out = out.withColumn("text", F.when(F.col(s).isNotNull(), mask(text, F.col(s))).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(s).isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -17,6 +17,7 @@ empty table gives an empty table; labels, lang, source and doc_id are never inpu
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +27,8 @@ from pyspark.sql import functions as F
 
 from docstat.llm.common import text_or_empty
 
-#: Rows of each label that training may use, and the bytes of one training text: at most 2 * 1500 * 32 KiB.
+#: Rows of each label that training may use, and chunks of one of their texts, drawn over its whole length: at most 2 * 1500 * 6 chunks of 512 bytes.
 SAMPLE_A_LABEL = 1500
-SAMPLE_BYTES = 1 << 15
-#: Chunks of one training text that a pass over the sample uses.
 CHUNKS_A_TEXT = 6
 CHUNK, OVERLAP = 512, 64
 WIDTH, STRIDE = 8, 2
@@ -74,11 +73,11 @@ class Network:
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def train(self, texts: list[bytes], labels: list[int]) -> None:
+    def train(self, drawn: list[np.ndarray], labels: list[int]) -> None:
+        """drawn: chunks of each text."""
         rng, p = np.random.default_rng(SEED), self.p
-        cut = [chunks(t) for t in texts]
-        x = np.concatenate([c[rng.permutation(len(c))[:CHUNKS_A_TEXT]] for c in cut])
-        y = np.repeat(np.array(labels, np.float32), [min(len(c), CHUNKS_A_TEXT) for c in cut])
+        x = np.concatenate(drawn)
+        y = np.repeat(np.array(labels, np.float32), [len(c) for c in drawn])
         weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
         used = np.maximum(WIDTH, CHUNK - (x[:, ::-1] != PAD).argmax(1))
         short = np.maximum(WIDTH, (used * rng.random(len(x)) ** 2).astype(int))  # a part of a text has the text's label
@@ -159,20 +158,33 @@ class Network:
         return np.round(1 / (1 + np.exp(-np.clip(mean, -30, 30))), 6).tolist()
 
 
+def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of each text, drawn by its own bytes, so that a text of any length sends a bounded few."""
+    for batch in batches:
+        doc_id, quality, drawn = [], [], []
+        for i, q, text in zip(*(c.to_pylist() for c in batch.columns)):
+            cut = chunks(text.encode())
+            doc_id.append(i)
+            quality.append(q)
+            drawn.append(cut[np.random.default_rng(zlib.crc32(text.encode())).permutation(len(cut))[:CHUNKS_A_TEXT]].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(quality, pa.int32()), pa.array(drawn, pa.binary())], names=["doc_id", "quality", "drawn"])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     """Train on a bounded sample of the labelled rows that are not held out; None without both labels."""
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").cast("int").alias("most"))
     known = known.where((F.col("quality") == F.col("most")) & F.col("doc_id").isNotNull() & ~held_out())
-    texts = docs.select("doc_id", "text").where(F.octet_length(text_or_empty()) <= SAMPLE_BYTES)
     sample = None
     for label in (0, 1):
         pick = known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_A_LABEL).select("doc_id", "quality")
         sample = pick if sample is None else sample.unionByName(pick)
-    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min(text_or_empty()).alias("text")).orderBy("doc_id").collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", text_or_empty().alias("text"))
+    drawn = texts.mapInArrow(draw, "doc_id long, quality int, drawn binary")
+    rows = drawn.groupBy("doc_id", "quality").agg(F.min("drawn").alias("drawn")).orderBy("doc_id").collect()
     if len({r.quality for r in rows}) < 2:
         return None
     network = Network()
-    network.train([r.text.encode() for r in rows], [r.quality for r in rows])
+    network.train([np.frombuffer(r.drawn, np.uint8).reshape(-1, CHUNK) for r in rows], [r.quality for r in rows])
     return network
 
 

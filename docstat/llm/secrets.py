@@ -1,9 +1,10 @@
 """Secret scan over a ledger of content-addressed blobs; DataFrame functions only.
 
-Every version of a path is addressed by the SHA-256 of its text. The ledger has one row
-for each (blob, rule version) pair that has been scanned, with its findings, also when there are
-none. A run scans only the pairs that the ledger lacks, appends them, and joins the findings back to all
-paths, so copies of a text and texts known from earlier runs are not searched again.
+Every version of a path is addressed by the SHA-256 of its text. The ledger is a table of files at a path, with one row
+for each (blob, rule version) pair that has been scanned and the spans found in it, also when there are
+none; it holds no text. A run scans only the pairs that the ledger lacks, appends them, and joins the findings back to all
+paths, so copies of a text and texts known from earlier runs are not searched again. `find` takes a history in
+instalments, each of which skips what the ones before have scanned.
 
 Rules (leftmost, non-overlapping per kind; a match that fails its test is dropped and not retried):
 assign  a keyword in either case, an optional quote, `:` or `=`, an optional quote, and a value of 6 or more characters
@@ -11,23 +12,25 @@ access  AKIA and capitals or digits, 20 or more characters in all
 hex     a run of lower-case hexadecimal digits, 24 or longer
 
 Defined results: a null text is the empty text; each row of the input gives one row, repeated
-rows too; a null doc_id stays null; an empty table gives an empty table; other columns are not read.
+rows too; a null doc_id stays null; an empty table gives an empty table and leaves the ledger as it is; other columns are not read. A pair
+that two runs at once have appended counts once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstat.llm.common import stage, text_or_empty
-from docstat.llm.spans import joined, mask, spans
+from docstat.llm.common import exists, scratch, text_or_empty
+from docstat.llm.spans import SPAN, joined, mask, spans
 
 RULE_VERSION = "v1"
 KINDS = ("assign", "access", "hex")
 VALUE = r"[A-Za-z0-9+/_.=-]"
 ASSIGN_HEAD = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?"""
 ASSIGN = ASSIGN_HEAD + VALUE + "++"
-LEDGER = "blob_id string, rule_version string, findings array<struct<kind:string,start:bigint,end:bigint,match:string>>"
+LEDGER = f"blob_id string, rule_version string, findings {SPAN}"
+INSTALMENTS = 2
 
 
 def findings(text: Column) -> Column:
@@ -46,27 +49,34 @@ def versions(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("path"), F.sha2(text, 256).alias("blob_id"), text.alias("text"))
 
 
-def scan_unseen(seen_versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
+def ledger_at(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger's rows; one without files is empty."""
+    return spark.read.schema(LEDGER).parquet(path) if exists(path) else spark.createDataFrame([], LEDGER)
+
+
+def scan_unseen(seen_versions: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
     """Ledger rows of the (blob, rule version) pairs that ledger lacks."""
-    fresh = seen_versions
-    if ledger is not None:
-        fresh = fresh.join(ledger.where(F.col("rule_version") == rule_version).select("blob_id"), "blob_id", "left_anti")
-    blobs = fresh.select("blob_id", "text").dropDuplicates(["blob_id"])
+    known = ledger.where(F.col("rule_version") == rule_version).select("blob_id")
+    blobs = seen_versions.join(known.hint("merge"), "blob_id", "left_anti").select("blob_id", "text").dropDuplicates(["blob_id"])
     return blobs.select("blob_id", F.lit(rule_version).alias("rule_version"), findings(F.col("text")).alias("findings"))
 
 
-def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
-    """The ledger after this run: old rows and those of all pairs it lacked, written to the shared folder."""
-    new = scan_unseen(versions(docs), ledger, rule_version)
-    return stage(new if ledger is None else ledger.unionByName(new), "ledger")
+def update_ledger(docs: DataFrame, path: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Append what the ledger at path lacks; nothing that is there is read again or rewritten. The ledger after this run."""
+    spark = docs.sparkSession
+    scan_unseen(versions(docs), ledger_at(spark, path), rule_version).write.mode("append").parquet(path)
+    return ledger_at(spark, path)
 
 
-def find(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
-    """doc_id and findings of each row of docs."""
-    known = update_ledger(docs, ledger, rule_version).where((F.col("rule_version") == rule_version) & (F.size("findings") > 0))
+def find(docs: DataFrame, path: str | None = None, rule_version: str = RULE_VERSION, instalments: int = INSTALMENTS) -> DataFrame:
+    """doc_id and findings of each row of docs. path: of the ledger to keep; without one the run has its own."""
+    path = path or scratch(docs.sparkSession, "ledger")
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(instalments))
+    for i in range(instalments):
+        ledger = update_ledger(docs.where(turn == i), path, rule_version)
+    known = ledger.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).groupBy("blob_id").agg(F.first("findings").alias("findings"))
     paths = versions(docs).select(F.col("path").alias("doc_id"), "blob_id")
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,match:string>>")
-    return paths.join(known.select("blob_id", "findings"), "blob_id", "left").withColumn("findings", F.coalesce("findings", none))
+    return paths.join(known.hint("merge"), "blob_id", "left").withColumn("findings", F.coalesce("findings", F.array()).cast(SPAN))
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
@@ -74,7 +84,7 @@ def digest_columns(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(joined(F.col("findings")), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
 
 
-__all__ = ["find", "findings", "mask", "scan_unseen", "update_ledger", "versions"]
+__all__ = ["find", "findings", "ledger_at", "mask", "scan_unseen", "update_ledger", "versions"]
 
 _SPANS_SQL = """
   SELECT doc_id, '{kind}' AS kind, {rank} AS rank, m, s + 0 AS start, s + length(m) AS stop FROM (

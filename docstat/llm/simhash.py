@@ -10,14 +10,16 @@ all pairs of a group; the links' connected components are the near-duplicate gro
 Trees aren't gathered and broadcast by the driver, which would have to hold the fingerprints of all
 documents: the rows that may match come to their tree by one shuffle on the shard. A shard with more than
 MOST_NODES fingerprints is, at radius 2, dealt again by three parts of its other bits, of which two
-within the radius agree in one at least, so the trees stay small for any input and no pair is lost.
-
-`wide` is the setting for whole documents: two texts link when the Jaccard similarity of their sets of five-word
-shingles is at least 0.8. No choice of blocks is certain for that, so hits only propose: SimHash hits (256 bits, TABLES random choices of bits
-as shards) and texts that share one of BANDS groups of ROWS minimal hashes, which a pair at 0.8 does with a
-probability of 0.9996, make candidate clusters, and in a cluster the shingle sets themselves decide. A cluster is compared in blocks of
+within the radius agree in one at least. What is still larger is split without loss: into blocks of about MOST_NODES
+fingerprints, each with a tree of its own, which the fingerprints of all later blocks of the shard search too. So a task holds one bounded tree whatever the
+input, and no pair of a shard is lost.
+
+`wide` is the setting for whole documents. Words are compared in lower case and without ASCII punctuation, and two texts link when their sets
+of five-word shingles have a cosine similarity, which is what SimHash estimates, of at least 0.8. No choice of blocks is certain for that, so hits only
+propose: SimHash hits (256 bits, TABLES random choices of bits
+as shards) and texts that share one of BANDS groups of ROWS minimal hashes make candidate clusters, and in a cluster the shingle sets themselves decide. A cluster is compared in blocks of
 about BLOCK texts: each block with itself and a few anchors, then what isn't in the cluster's largest part with
-every block. A shard over MOST_NODES is proposed as a whole, so its size doesn't change results.
+every block.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; text under a
 shingle's words is one shingle; a null doc_id is never a component's name unless all are null; rows that share a
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstat.llm.common import drop_staged, free_name, stage, text_or_empty
+from docstat.llm.common import drop_staged, free_name, join_hot, stage, text_or_empty
 from docstat.llm.components import components
 
 SEED = 42
@@ -44,13 +46,15 @@ LANE = 64
 #: Shingles hashed at a time, for texts of any length.
 AT_ONCE = 1 << 16
 MOST_NODES = 4096
+#: Deleted before words are compared, where the setting says so: ASCII punctuation.
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 FINGERPRINTS = "doc_id long, key long, fp binary"
 LANES = tuple(np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 class Setting:
-    """words: of a shingle; lanes: of 64 bits; radius: in bits; masks, again: bits that deal fingerprints to shards; exact: shingle sets decide."""
+    """words: of a shingle; lanes: of 64 bits; radius: in bits; masks, again: bits that deal fingerprints to shards; exact: shingle sets, of plain words, decide."""
 
     def __init__(self, words: int, lanes: int, radius: int, masks: list[int], again: list[list[int]], exact: bool = False):
         self.words, self.lanes, self.radius, self.masks, self.again, self.exact = words, lanes, radius, masks, again, exact
@@ -67,15 +71,15 @@ def contract() -> Setting:
     return Setting(3, 1, 2, masks, again)
 
 
-TABLES, TABLE_BITS, WIDE_RADIUS = 48, 20, 45
-BANDS, ROWS = 26, 6
+TABLES, TABLE_BITS, WIDE_RADIUS = 48, 20, 58
+BANDS, ROWS = 39, 4
 MINIMA = np.random.default_rng(SEED).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Texts of a cluster that one task holds at a time, and those of a cluster that every block sees first; about.
 BLOCK, ANCHORS = 256, 32
 
 
 def wide() -> Setting:
-    """Five words and a similarity of 0.8; 256 bits, of which WIDE_RADIUS may differ, propose (expected distance 39 at 0.8, 50 at 0.7)."""
+    """Five words and a cosine of 0.8; 256 bits, of which WIDE_RADIUS may differ, propose (a pair at 0.8 is expected to differ in 52)."""
     rng = np.random.default_rng(SEED)
     masks = []
     for _ in range(TABLES):
@@ -88,9 +92,16 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, LANE).sum(axis=0, dtype=np.int64)
 
 
-def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
+def words_of(text: str, plain: bool) -> list[bytes]:
+    """Words in lower case; plain: without punctuation, unless nothing else is there."""
+    if plain:
+        return text.lower().encode().translate(None, PUNCTUATION).split() or text.lower().encode().split()
+    return text.encode().lower().split()
+
+
+def shingle_hashes(text: str, words: int, plain: bool = False) -> Iterator[np.ndarray]:
     """The hashes of a text's shingles in order, AT_ONCE at a time."""
-    split = text.encode().lower().split()
+    split = words_of(text, plain)
     if split:
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         stops = np.cumsum(sizes + 1) - 1
@@ -140,7 +151,7 @@ def fingerprints(docs: DataFrame, setting: Setting) -> DataFrame:
                 part = batch.slice(lo, 512)
                 found, groups = [], []
                 for text in part.column(2).to_pylist():
-                    hashes = shingle_hashes(text, words)
+                    hashes = shingle_hashes(text, words, exact)
                     if exact:
                         hashes = list(hashes)
                         groups.append(bands(hashes))
@@ -211,67 +222,82 @@ class Tree:
             i = up[i]
         return i
 
-    def add(self, value: int) -> list[int]:
-        """Insert; the places of one fingerprint within the radius for each part it newly joins."""
-        nodes, kids, radius, near = self.nodes, self.kids, self.radius, []
-        place = len(nodes)
-        nodes.append(value)
-        kids.append({})
-        self.up.append(place)
-        if not place:
-            return near
-        open_ = [0]
+    def near(self, value: int) -> list[int]:
+        """The places of one fingerprint within the radius in each part of the tree."""
+        nodes, kids, radius, parts = self.nodes, self.kids, self.radius, {}
+        open_ = [0] if nodes else []
         while open_:
             i = open_.pop()
             distance = (nodes[i] ^ value).bit_count()
-            if distance <= radius and self.top(i) != self.top(place):
-                self.up[self.top(i)] = self.top(place)
-                near.append(i)
+            if distance <= radius:
+                parts.setdefault(self.top(i), i)
             for edge, child in kids[i].items():
                 if distance - radius <= edge <= distance + radius:
                     open_.append(child)
+        return list(parts.values())
+
+    def add(self, value: int) -> list[int]:
+        """Insert; the places of one fingerprint within the radius for each part it newly joins."""
+        near, place = self.near(value), len(self.nodes)
+        self.nodes.append(value)
+        self.kids.append({})
+        self.up.append(place)
+        self.join([place, *near])
         i = 0
-        while True:
-            distance = (nodes[i] ^ value).bit_count()
-            if distance not in kids[i]:
-                kids[i][distance] = place
-                return near
-            i = kids[i][distance]
+        while i != place:
+            distance = (self.nodes[i] ^ value).bit_count()
+            if distance not in self.kids[i]:
+                self.kids[i][distance] = place
+                break
+            i = self.kids[i][distance]
+        return near
 
+    def join(self, places: list[int]) -> None:
+        for i in places[1:]:
+            self.up[self.top(i)] = self.top(places[0])
 
-def link(shards: DataFrame, setting: Setting) -> DataFrame:
-    """(a, b): a spanning forest of the links in each shard."""
-    radius = setting.radius
+    def probe(self, value: int) -> list[int]:
+        """The same for a fingerprint that only searches: the parts it links become one."""
+        near = self.near(value)
+        self.join(near)
+        return near
+
+
+def in_blocks(shards: DataFrame, large: DataFrame) -> DataFrame:
+    """(shard, block, probe, fp): shards as one block, or, those of large (shard, n), as several of about MOST_NODES.
+
+    A fingerprint is a node of its own block's tree and only searches the trees of the blocks before, so each pair of blocks meets once.
+    """
+    blocks = F.ceil(F.col("n") / MOST_NODES).cast("int")
+    rows = shards.join(large, "shard", "left").select("shard", "fp", F.coalesce(blocks, F.lit(1)).alias("blocks"))
+    own = F.pmod(F.hash("fp"), F.col("blocks"))
+    each = F.explode(F.sequence(F.lit(0), own))
+    return rows.select("shard", "fp", own.alias("own"), each.alias("block")).select("shard", "block", (F.col("block") != F.col("own")).alias("probe"), "fp")
 
-    def links(values: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        tree = Tree(radius)
-        for value in values:
-            for i in tree.add(int.from_bytes(value, "big")):
-                yield value, values[i]
+
+def link(rows: DataFrame, setting: Setting) -> DataFrame:
+    """(a, b): a spanning forest of the links in each block of each shard. A task holds one block's tree."""
+    radius = setting.radius
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, out = None, [], []
+        group, tree, values, out = None, None, [], []
         for batch in batches:
-            names = batch.column(0).to_numpy()
-            values = batch.column(1).to_pylist()
-            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if names[a] != shard:
-                    if len(held) > 1:
-                        out += links(held)
-                    shard, held = names[a], []
-                held += values[a:b]
+            for shard, block, probe, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if (shard, block) != group:
+                    group, tree, values = (shard, block), Tree(radius), []
+                number = int.from_bytes(value, "big")
+                found = tree.probe(number) if probe else tree.add(number)
+                if not probe:
+                    values.append(value)
+                for i in found:
+                    out.append((value, values[i]))
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
                 out = []
-        if len(held) > 1:
-            out += links(held)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
 
-    return shards.select("shard", "fp").repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(run, "a binary, b binary")
+    return rows.select("shard", "block", "probe", "fp").repartition("shard", "block").sortWithinPartitions("shard", "block", "probe", "fp").mapInArrow(run, "a binary, b binary")
 
 
 def stars(shards: DataFrame) -> DataFrame:
@@ -287,7 +313,7 @@ def shingle_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                found = [np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(t, words)])).tobytes() for t in part.column(1).to_pylist()]
+                found = [np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(t, words, True)])).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["key", "shingles"])
 
     texts = docs.select(F.xxhash64(text_or_empty()).alias("key"), text_or_empty().alias("text")).join(members.select("key"), "key", "left_semi")
@@ -296,15 +322,15 @@ def shingle_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets have a Jaccard similarity of at least 0.8; two empty ones have."""
+    """Whether two sorted sets have a cosine of at least 0.8; two empty ones have."""
     if len(a) > len(b):
         a, b = b, a
-    if 5 * len(a) < 4 * len(b):
+    if 25 * len(a) < 16 * len(b):
         return False
     if not len(a):
         return True
     both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-    return 5 * both >= 4 * (len(a) + len(b) - both)
+    return 25 * both * both >= 16 * len(a) * len(b)
 
 
 def compare(rows: DataFrame, inside: bool) -> DataFrame:
@@ -369,13 +395,19 @@ def verified(docs: DataFrame, rows: DataFrame, clusters: DataFrame, words: int)
     return links.unionByName(stage(compare(open_.withColumn("probe", F.lit(False)).unionByName(probes), False), "verified"))
 
 
+def over(shards: DataFrame, tag: str) -> DataFrame:
+    """(shard, n) of shards with more than MOST_NODES fingerprints."""
+    return stage(shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_NODES), tag)
+
+
 def _candidates(rows: DataFrame, nodes: DataFrame, setting: Setting) -> DataFrame:
     shards = deal(nodes, setting)
-    large = stage(shards.groupBy("shard").count().where(F.col("count") > MOST_NODES).select("shard"), "large-shards")
-    edges = link(shards.join(large, "shard", "left_anti"), setting)
-    if not large.isEmpty():
-        rest = shards.join(large, "shard", "left_semi").select("shard", "mask", "fp")
-        edges = edges.unionByName(stars(rest) if setting.exact else link(deal_again(rest, setting).distinct(), setting))
+    large = over(shards, "large-shards")
+    if setting.again and not large.isEmpty():
+        parts = stage(deal_again(shards.join(large.select("shard"), "shard", "left_semi").select("shard", "mask", "fp"), setting).distinct(), "parts-of-shards")
+        shards = shards.join(large.select("shard"), "shard", "left_anti").unionByName(parts)
+        large = over(parts, "large-parts")
+    edges = link(in_blocks(shards, large), setting)
     if setting.exact:
         edges = edges.unionByName(stars(rows.select(F.explode("bands").alias("shard"), "fp")))
     return stage(edges, "links")
@@ -385,18 +417,21 @@ def near_components(docs: DataFrame, setting: Setting | None = None) -> DataFram
     """doc_id, key, fp, component_id of each row; component_id: the smallest doc_id that links lead to."""
     setting = setting or contract()
     rows = fingerprints(docs, setting)
-    nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    total = rows.count()
+    counted = (F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    nodes = stage(rows.groupBy("fp").agg(*counted), "nodes")
     edges = _candidates(rows, nodes, setting)
     found = components(edges)
     drop_staged(edges)
     name = "fp"
     if setting.exact:
         name, found = "key", components(verified(docs, rows, found.select(F.col("node").alias("fp"), F.col("root").alias("cluster")), setting.words))
-        nodes = stage(rows.groupBy("key").agg(F.min("doc_id").alias("first")), "nodes")
+        nodes = stage(rows.groupBy("key").agg(*counted), "nodes")
     members = nodes.join(found.withColumnRenamed("node", name), name)
-    least = members.groupBy("root").agg(F.min("first").alias("least"))
-    named = nodes.join(members.join(least, "root").select(name, "least"), name, "left").select(name, F.coalesce("least", "first").alias("component_id"))
-    return rows.join(named, name).select("doc_id", "key", "fp", "component_id")
+    parts = members.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))
+    least = join_hot(members.drop("n"), parts, "root", members.count()).select(name, "least")
+    named = nodes.join(least, name, "left").select(name, F.coalesce("least", "first").alias("component_id"), "n")
+    return join_hot(rows, named, name, total).select("doc_id", "key", "fp", "component_id")
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

@@ -12,11 +12,13 @@ hashes, so a passage that a third of the corpus shares costs one entry a slice:
 
 1. each slice sends its distinct block hashes, cut to a few bits over what tells random blocks apart and
    coded by their differences; each range answers every slice with a bit for each hash: indexed, and seen in another document too;
-2. each slice sends the 96-bit hashes of the windows around its hits with the least doc_id that has
+2. each slice sends the 128-bit hashes of the windows around its hits with the least doc_id that has
    them; each range answers with the hashes of which another slice has a smaller doc_id;
 3. each slice drops the words under those windows, and under windows that a smaller document of the same slice has.
 
-Cut block hashes only let in candidates by chance; they lose none.
+A row names only the documents that its own windows have, and a slice looks only at the ranges its hashes fall in, so what travels grows with
+the windows. Cut block hashes only let in candidates by chance; they lose none. Windows count as equal when both of their 64-bit hashes are, which are made
+of two different hashes of each word; the words themselves don't travel.
 
 Defined results: a null text has no words; texts under WINDOW words lose none; a row without doc_id neither takes nor loses
 words; rows that share a doc_id are versions of one document and take nothing from each other; an empty table gives an empty table;
@@ -49,13 +51,14 @@ SPARE_BITS = 6
 SENT_BLOCKS = "range int, slice long, n int, keys binary, flags binary"
 ANSWER_BLOCKS = "slice long, range int, hits binary"
 SENT_WINDOWS = "range int, slice long, ids binary, high binary, low binary, least binary"
-ANSWER_WINDOWS = "slice long, range int, taken binary"
+ANSWER_WINDOWS = "slice long, range int, taken binary, taken_low binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_OTHER = np.uint64(0xE7037ED1A0B428DB)
 _HIGH, _LOW, _SHORT = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -94,7 +97,10 @@ class Slice:
         edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
         start, stop = edge[::2], edge[1::2]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), dtype=np.uint64)])
-        self.words = _mixed((sums[stop] - sums[start]) * _powers(_INVERSE, len(data) + 1)[start] + (stop - start).astype(np.uint64))
+        shift = _powers(_INVERSE, len(data) + 1)[start]
+        self.words = _mixed((sums[stop] - sums[start]) * shift + (stop - start).astype(np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data ^ 255] * _powers(_BASE, len(data)), dtype=np.uint64)])
+        self.others = _mixed((sums[stop] - sums[start]) * shift * _OTHER + (stop - start).astype(np.uint64))
         text_ends = np.cumsum([len(t) + 1 for _, t in self.rows])
         self.first = np.searchsorted(start, np.concatenate([[0], text_ends]))  # first word of each row
         self.row = np.repeat(np.arange(len(self.rows)), np.diff(self.first))  # row of each word
@@ -144,14 +150,17 @@ class Plan:
         self.ranges = max(1, math.ceil(words / RANGE_ENTRIES))
         self.bits = min(62, max(24, words.bit_length() + SPARE_BITS))
 
-    def cuts(self, keys: np.ndarray, bits: int) -> np.ndarray:
-        """Where each range starts in ascending keys of so many bits."""
-        return np.searchsorted(keys, [np.uint64((r << bits) // self.ranges) for r in range(self.ranges)]).tolist() + [len(keys)]
+    def cuts(self, keys: np.ndarray, bits: int) -> dict[int, tuple[int, int]]:
+        """Where each range that ascending keys of so many bits fall in starts and ends."""
+        top = min(bits, 32)
+        found = (keys >> np.uint64(bits - top)) * np.uint64(self.ranges) >> np.uint64(top)
+        starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))[: len(keys)]
+        return dict(zip(found[starts].tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(keys)])))
 
     def send_blocks(self, key: tuple, table: pa.Table) -> pa.Table:
         keys, flags, _, _ = _group(table).blocks(self.bits)
         cuts = self.cuts(keys, self.bits)
-        rows = [(r, key[0].as_py(), b - a, _coded(keys[a:b]), zstandard.compress(flags[a:b].tobytes(), 1)) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        rows = [(r, key[0].as_py(), b - a, _coded(keys[a:b]), zstandard.compress(flags[a:b].tobytes(), 1)) for r, (a, b) in cuts.items()]
         return _table(rows, SENT_BLOCKS)
 
     def send_windows(self, key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -161,22 +170,25 @@ class Plan:
         keys, _, at, inverse = part.blocks(self.bits)
         cuts, hit = self.cuts(keys, self.bits), np.zeros(len(keys), bool)
         for r, bits in zip(right["range"].to_pylist(), right["hits"].to_pylist()):
-            hit[cuts[r] : cuts[r + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=cuts[r + 1] - cuts[r])
+            a, b = cuts[r]
+            hit[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
         anchored = np.zeros(len(part.words) + 1, np.int64)
         anchored[at[hit[inverse]] + 1] = 1
         anchored = np.cumsum(anchored)
         high, places = part.runs(WINDOW, _HIGH)
         near = anchored[places + WINDOW - BLOCK + 1] > anchored[places]
         high, places = high[near], places[near]
-        low = _rolled(part.words, WINDOW, _LOW)[places] >> np.uint64(32)
+        low = _rolled(part.others, WINDOW, _LOW)[places]
         order = np.lexsort((part.doc[places], low, high))
         high, low, least = high[order], low[order], part.doc[places][order]
         new = np.ones(len(high), bool)
         new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
         high, low, least = high[new], low[new], least[new]
-        cuts, ids = self.cuts(high, 64), zstandard.compress(np.diff(part.ids, prepend=np.int64(0)).tobytes(), 1)
-        width = np.uint16 if len(part.ids) < 1 << 16 else np.uint32
-        rows = [(r, key[0].as_py(), ids, high[a:b].tobytes(), low[a:b].astype("<u4").tobytes(), least[a:b].astype(width).tobytes()) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        rows = []
+        for r, (a, b) in self.cuts(high, 64).items():
+            used, place = np.unique(least[a:b], return_inverse=True)
+            width = np.uint8 if len(used) < 1 << 8 else np.uint16 if len(used) < 1 << 16 else np.uint32
+            rows.append((r, key[0].as_py(), part.ids[used].tobytes(), high[a:b].tobytes(), low[a:b].tobytes(), place.astype(width).tobytes()))
         return _table(rows, SENT_WINDOWS)
 
 
@@ -202,11 +214,10 @@ def answer_blocks(key: tuple, table: pa.Table) -> pa.Table:
 
 def answer_windows(key: tuple, table: pa.Table) -> pa.Table:
     highs = [np.frombuffer(b, "<u8") for b in table["high"].to_pylist()]
-    high, low = np.concatenate(highs), np.concatenate([np.frombuffer(b, "<u4") for b in table["low"].to_pylist()])
-    least = []
+    lows = [np.frombuffer(b, "<u8") for b in table["low"].to_pylist()]
+    high, low, least = np.concatenate(highs), np.concatenate(lows), []
     for ids, b, h in zip(table["ids"].to_pylist(), table["least"].to_pylist(), highs):
-        ids = np.cumsum(np.frombuffer(zstandard.decompress(ids), np.int64))
-        least.append(ids[np.frombuffer(b, np.uint16 if len(b) == 2 * len(h) else np.uint32)])
+        least.append(np.frombuffer(ids, np.int64)[np.frombuffer(b, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(b) // len(h)])])
     doc = np.concatenate(least)
     order = np.lexsort((doc, low, high))
     new = np.ones(len(order), bool)
@@ -215,7 +226,11 @@ def answer_windows(key: tuple, table: pa.Table) -> pa.Table:
     taken = np.zeros(len(order), bool)
     taken[order] = first < doc[order]
     ends = np.cumsum([len(h) for h in highs])
-    rows = [(s, r, h[taken[e - len(h) : e]].tobytes()) for s, r, h, e in zip(table["slice"].to_pylist(), table["range"].to_pylist(), highs, ends) if taken[e - len(h) : e].any()]
+    rows = []
+    for s, r, h, other, e in zip(table["slice"].to_pylist(), table["range"].to_pylist(), highs, lows, ends):
+        own = taken[e - len(h) : e]
+        if own.any():
+            rows.append((s, r, h[own].tobytes(), other[own].tobytes()))
     return _table(rows, ANSWER_WINDOWS)
 
 
@@ -224,12 +239,20 @@ def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         return _table([], RESULT)
     part = _group(left)
     high, places = part.runs(WINDOW, _HIGH)
-    elsewhere = np.unique(np.concatenate([np.frombuffer(b, "<u8") for b in right["taken"].to_pylist()] or [np.zeros(0, np.uint64)]))
-    found = np.searchsorted(elsewhere, high)
+    low = _rolled(part.others, WINDOW, _LOW)[places]
+    whole = lambda c: np.concatenate([np.frombuffer(b, "<u8") for b in right[c].to_pylist()] or [np.zeros(0, np.uint64)])
+    elsewhere, other = whole("taken"), whole("taken_low")
+    sort = np.argsort(elsewhere, kind="stable")
+    elsewhere, other = elsewhere[sort], other[sort]
+    found = np.minimum(np.searchsorted(elsewhere, high), max(0, len(elsewhere) - 1))
     taken = np.zeros(len(high), bool)
-    inside = found < len(elsewhere)
-    taken[inside] = elsewhere[found[inside]] == high[inside]
-    low = _rolled(part.words, WINDOW, _LOW)[places]
+    if len(elsewhere):
+        same = np.flatnonzero(elsewhere[found] == high)
+        taken[same[other[found[same]] == low[same]]] = True
+        shared = np.flatnonzero(elsewhere[1:] == elsewhere[:-1])  # windows that agree in one half only: looked up by both
+        if len(shared):
+            pairs = set(zip(elsewhere.tolist(), other.tolist()))
+            taken[same] = [pair in pairs for pair in zip(high[same].tolist(), low[same].tolist())]
     order = np.lexsort((part.doc[places], low, high))
     new = np.ones(len(order), bool)
     new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
@@ -270,11 +293,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     plan = Plan(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(plan.slices / 4))
+    range_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(plan.ranges / 2))
     named = rows.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(plan.slices)).alias("slice"), "doc_id", "text")
     texts = named.mapInArrow(_compressed, "slice long, doc_id long, z binary").repartition(parts, "slice")
-    hits = texts.groupBy("slice").applyInArrow(lambda key, table: plan.send_blocks(key, table), SENT_BLOCKS).groupBy("range").applyInArrow(answer_blocks, ANSWER_BLOCKS)
+    hits = texts.groupBy("slice").applyInArrow(lambda key, table: plan.send_blocks(key, table), SENT_BLOCKS).repartition(range_parts, "range").groupBy("range").applyInArrow(answer_blocks, ANSWER_BLOCKS)
     windows = texts.groupBy("slice").cogroup(hits.groupBy("slice")).applyInArrow(lambda key, left, right: plan.send_windows(key, left, right), SENT_WINDOWS)
-    taken = windows.groupBy("range").applyInArrow(answer_windows, ANSWER_WINDOWS)
+    taken = windows.repartition(range_parts, "range").groupBy("range").applyInArrow(answer_windows, ANSWER_WINDOWS)
     done = texts.groupBy("slice").cogroup(taken.groupBy("slice")).applyInArrow(remove, RESULT)
     return done.unionByName(rows.where("doc_id is null").select("text").mapInArrow(_unchanged, RESULT))
 

@@ -117,11 +117,11 @@ def test_near_copies_go_and_clean_documents_stay(spark):
 
 
 def planted_pairs():
-    """(rows, links): pairs at similarities of 0.70, 0.80 and 0.85, and a family of near copies whose members chain; links by brute force."""
+    """(rows, links): pairs at cosines of 0.75, 0.80 and 0.85, and a family of near copies whose members chain; links by brute force."""
     rng = random.Random(9)
     new = lambda n: ["".join(rng.choices("abcdefghij", k=8)) for _ in range(n)]
     bodies = []
-    for common, tail in [(70, 15), (80, 10), (170, 15)]:
+    for common, tail in [(75, 25), (80, 20), (85, 15)]:
         for _ in range(60):
             body = new(common + 4)
             bodies += [body + new(tail), body + new(tail)]
@@ -132,8 +132,9 @@ def planted_pairs():
             near[at] = new(1)[0]
         bodies.append(near)
     sets = [{tuple(b[j : j + 5]) for j in range(len(b) - 4)} for b in bodies]
-    links = [(i, j) for i, j in combinations(range(len(sets)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
-    return [(i, " ".join(b)) for i, b in enumerate(bodies)], links
+    links = [(i, j) for i, j in combinations(range(len(sets)), 2) if 25 * len(sets[i] & sets[j]) ** 2 >= 16 * len(sets[i]) * len(sets[j])]
+    marks = lambda b, i: " ".join(w.title() + "." if (k + i) % 7 == 0 else w for k, w in enumerate(b))
+    return [(i, marks(b, i)) for i, b in enumerate(bodies)], links
 
 
 @pytest.mark.parametrize("change", [{}, {"MOST_NODES": 3}, {"BLOCK": 8, "ANCHORS": 2}])
@@ -142,8 +143,8 @@ def test_wide_links_by_shingle_similarity(spark, monkeypatch, change):
         monkeypatch.setattr(simhash, name, value, raising=False)
     rows, links = planted_pairs()
     assert sum(i < 120 for i, _ in links) == 0 and sum(120 <= i < 360 for i, _ in links) == 120
-    rows += [(5000, None), (5001, " \t"), (5002, "same words here " * 9), (5003, "SAME words here " * 9), (5004, "two words"), (5005, "two Words")]
-    want = least_reachable([i for i, _ in rows], [*links, (5000, 5001), (5002, 5003), (5004, 5005)])
+    rows += [(5000, None), (5001, " \t"), (5002, "same words here " * 9), (5003, "SAME words here " * 9), (5004, "two words"), (5005, "two, Words!"), (5006, "?!"), (5007, "?!")]
+    want = least_reachable([i for i, _ in rows], [*links, (5000, 5001), (5002, 5003), (5004, 5005), (5006, 5007)])
     found = simhash.near_components(spark.createDataFrame(rows, SHORT).repartition(3), simhash.wide())
     assert {r.doc_id: r.component_id for r in found.collect()} == want
 
@@ -192,6 +193,35 @@ def test_substring_edges(spark):
     assert substring.deduplicate(spark.createDataFrame([(1, None), (2, "")], SHORT)).count() == 2
 
 
+def sent_bytes(spark, n):
+    """Bytes that the window step of op7 sends for n documents half of which repeat others' passages."""
+    rng = random.Random(5)
+    passages = [" ".join(rng.choices("abcdefghij", k=1) [0] + str(rng.randrange(10**9)) for _ in range(30)) for _ in range(n // 4)]
+    rows = [(i, " ".join([*(str(rng.randrange(10**9)) for _ in range(30)), passages[i % len(passages)] if i % 2 else ""])) for i in range(n)]
+    plan = substring.Plan(sum(len(t) for _, t in rows))
+    slices = defaultdict(list)
+    for i, t in rows:
+        slices[i % plan.slices].append((i, t.encode()))
+    raw = lambda part: substring.pa.table({"doc_id": [i for i, _ in part], "z": [substring.zstandard.compress(t) for _, t in part]})
+    key = lambda k: (substring.pa.scalar(k),)
+    blocks = substring.pa.concat_tables([plan.send_blocks(key(k), raw(part)) for k, part in slices.items()])
+    answers = [substring.answer_blocks((r,), blocks.filter(substring.pa.compute.equal(blocks["range"], r))) for r in set(blocks["range"].to_pylist())]
+    hits = substring.pa.concat_tables(answers)
+    sent = [plan.send_windows(key(k), raw(part), hits.filter(substring.pa.compute.equal(hits["slice"], k))) for k, part in slices.items()]
+    size = lambda *columns: sum(len(v.as_py()) for t in sent for c in columns for v in t[c])
+    return plan, size("ids", "high", "low", "least"), size("high") // 8
+
+
+def test_substring_traffic_is_linear(spark, monkeypatch):
+    import pyarrow.compute  # noqa: F401
+
+    monkeypatch.setattr(substring, "SLICE_BYTES", 4000)
+    monkeypatch.setattr(substring, "RANGE_ENTRIES", 400)
+    for n in (200, 400, 800):
+        plan, sent, windows = sent_bytes(spark, n)
+        assert plan.slices > n / 10 and windows > 10 * n / 2 and sent <= 26 * windows
+
+
 def test_lines_equal_brute_force(spark):
     rng = random.Random(6)
     pool = ["\n".join(f"line {rng.randrange(10**6)}" for _ in range(6)) for _ in range(5)]
@@ -217,6 +247,21 @@ def test_lines_equal_brute_force(spark):
     assert removed > 100
 
 
+def test_line_chunks_equal_an_independent_chunker():
+    rng = random.Random(12)
+    for n in (0, 1, 2, 3, 40, 700):
+        own = [rng.choice([b"", b"a", str(rng.random()).encode()]) for _ in range(n)]
+        hashes = [xxhash.xxh64_intdigest(line) for line in own]
+        cut, ends = 0, []
+        for i in range(n):
+            value = (hashes[i] + (hashes[i - 1] * 0x9E3779B97F4A7C15 if i else 0)) % 2**64
+            mixed = (value ^ (value >> 31)) * 0xD6E8FEB86659FD93 % 2**64
+            if i + 1 - cut == 32 or (i + 1 - cut >= 2 and mixed // 2**40 < 2**24 // 3):
+                ends.append((cut, i + 1))
+                cut = i + 1
+        assert lines.chunks(own) == ends + [(cut, n)] * (cut < n)
+
+
 def test_line_chunks_move_with_their_lines():
     rng = random.Random(1)
     body = [f"{rng.random()}".encode() for _ in range(400)]
@@ -243,6 +288,9 @@ def test_pieces_equal_the_library_and_round_trip(spark):
     for i, t in rows:
         assert np.frombuffer(got[i].ids, "<u4").tolist() == library.encode(t or ""), t
         assert got[i].decoded == ((t or "").replace("▁", " ") if not (t or "").startswith("▁") else got[i].decoded)
+    digest = {r.doc_id: r.score for r in pieces.digest_columns(spark.createDataFrame(rows, SHORT), PIECE_BPE).collect()}
+    for i, t in rows:
+        assert abs(digest[i] - sum(library.get_score(k) for k in library.encode(t or "") if not library.is_byte(k))) < 1e-6 * (1 + abs(digest[i])), t
     digest = {r.doc_id: r for r in pieces.digest_columns(odd_columns(spark, rows[:5]), PIECE_BPE).collect()}
     assert digest[3].round_trip and digest[3].n_ids == len(library.encode(TEXTS[3])) and digest[3].decoded_sha256 == hashlib.sha256(TEXTS[3].encode()).hexdigest()
 
@@ -309,6 +357,32 @@ def test_quality_learns_and_ignores_held_out_labels(spark):
     assert kept.columns == extra.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted}
 
 
+def test_quality_score_equals_a_plain_convolution():
+    net, text = quality.Network(3), "Some text, é and more. ".encode() * 60
+    p, scores = {k: v.astype(float) for k, v in net.p.items()}, []
+    step = quality.CHUNK - quality.OVERLAP
+    for sample in (text, b"short one", b""):
+        logits = []
+        for lo in range(0, max(1, len(sample) - quality.OVERLAP), step):
+            chunk = sample[lo : lo + quality.CHUNK]
+            used, padded = max(len(chunk), quality.WIDTH), chunk + b"\0" * (quality.CHUNK - len(chunk))
+            response = []
+            for at in range(0, used - quality.WIDTH + 1, quality.STRIDE):
+                patch = np.concatenate([p["embed"][b] for b in padded[at : at + quality.WIDTH]])
+                response.append([np.tanh(sum(patch * p["filters"][:, f]) + p["bias"][f]) for f in range(quality.FILTERS)])
+            pools = np.concatenate([np.max(response, 0), np.mean(response, 0), [used / quality.CHUNK]])
+            logits.append(np.tanh(pools @ p["hidden"] + p["hidden_bias"]) @ p["out"] + p["out_bias"][0])
+        scores.append(1 / (1 + np.exp(-np.mean(logits))))
+    assert np.allclose(net.scores([text, b"short one", b""], net.tables()), scores, atol=2e-5)
+
+
+def test_quality_draws_from_whole_texts():
+    long = ("a" * 200_000 + "z" * 200_000).encode().decode()
+    batch = quality.pa.RecordBatch.from_arrays([quality.pa.array([1, 2], quality.pa.int64()), quality.pa.array([1, 0], quality.pa.int32()), quality.pa.array([long, ""])], names=["doc_id", "quality", "text"])
+    drawn = next(quality.draw(iter([batch])))["drawn"].to_pylist()
+    assert len(drawn[0]) == quality.CHUNKS_A_TEXT * quality.CHUNK and set(drawn[0]) <= {97, 122} and len(drawn[1]) == quality.CHUNK
+
+
 def test_quality_chunks_cover_the_text_and_no_labels_give_a_half(spark):
     for n in (0, 1, 511, 512, 513, 5000):
         text = bytes(random.Random(n).choices(range(1, 256), k=n))

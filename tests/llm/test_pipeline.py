@@ -60,3 +60,16 @@ def test_entry_lists_everything():
     names = set(__spark_entry__.queries())
     assert {"pipeline", *(f"op{n}" for n in range(1, 11))} <= {n.split("_")[0] if n.startswith("op") else n for n in names}
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_a_run_deletes_what_it_wrote(spark, sf):
+    from pathlib import Path
+
+    from docstat.llm import common
+
+    common.scratch(spark, "x")
+    root = Path(common.shared_dir(spark)) / f"docstat-{spark.sparkContext.applicationId}"
+    names = lambda: {p.name for p in root.glob("*")} if root.exists() else set()
+    before = names()
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() > 0 and {n.rsplit("-", 1)[0] for n in names() - before} == {"PII", "pieces", "open-pieces"}

@@ -69,15 +69,20 @@ def test_secret_spans_equal_brute_force(spark):
         assert got[i].spans == want, t
 
 
-def test_ledger_scans_only_unseen_pairs(spark):
+def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     old = spark.createDataFrame([(1, "token=abcdef1"), (2, "none")], "doc_id long, text string")
     new = spark.createDataFrame([(1, "token=abcdef1"), (3, "secret: zzzzzz9"), (4, "secret: zzzzzz9"), (None, None)], "doc_id long, text string")
-    ledger = secrets.update_ledger(old)
-    assert ledger.count() == 2
-    assert secrets.scan_unseen(secrets.versions(new), ledger).count() == 2
-    assert secrets.scan_unseen(secrets.versions(new), ledger, "v2").count() == 3
-    got = secrets.find(new, ledger).collect()
+    path = str(tmp_path / "ledger")
+    assert secrets.update_ledger(old, path).count() == 2
+    assert secrets.scan_unseen(secrets.versions(new), secrets.ledger_at(spark, path)).count() == 2
+    assert secrets.scan_unseen(secrets.versions(new), secrets.ledger_at(spark, path), "v2").count() == 3
+    before = {p.name for p in (tmp_path / "ledger").glob("*.parquet")}
+    got = secrets.find(new, path).collect()
     assert sorted((str(r.doc_id), len(r.findings)) for r in got) == [("1", 1), ("3", 1), ("4", 1), ("None", 0)]
+    assert before < {p.name for p in (tmp_path / "ledger").glob("*.parquet")} and secrets.ledger_at(spark, path).count() == 4
+    assert secrets.scan_unseen(secrets.versions(new), secrets.ledger_at(spark, path)).count() == 0
+    assert secrets.find(new, path).count() == 4 and secrets.ledger_at(spark, path).count() == 4
+    assert "abcdef1" not in str(secrets.ledger_at(spark, path).collect())
 
 
 def test_contexts_discover_unseen_identifiers(spark):
@@ -116,3 +121,61 @@ def test_exact_dedup_equals_brute_force(spark):
                 assert (r.keep_id, r.group_size, r.kept) == (min(members)[1], len(members), i == min(members)[1])
                 assert r.text_sha256 == hashlib.sha256(key.encode()).hexdigest()
         assert sorted(r.doc_id for r in exact_dedup.deduplicate(docs, share).collect()) == sorted(min(m)[1] for m in groups.values())
+
+
+def test_planted_identifiers_are_found_and_others_are_not(spark):
+    rng = random.Random(4)
+    kinds = {"email": lambda: f"u{rng.randrange(10**6)}@mail.example", "phone": lambda: f"+1 555 {rng.randrange(100, 999)} {rng.randrange(1000, 9999)}"}
+    lead = {"email": "reach them under", "phone": "her mobile is"}
+    rows, hidden = [], {}
+    for kind, make in kinds.items():
+        for _ in range(20):
+            rows.append(f"{lead[kind]} {make()} or later")
+        for _ in range(5):
+            odd = f"x{rng.randrange(10**6)}-at-home" if kind == "email" else f"555-{rng.randrange(1000, 9999)}"
+            hidden[len(rows)] = (kind, odd)
+            rows.append(f"{lead[kind]} {odd} or later")
+    later = hidden[22][1]
+    again = [hidden[i][1] for i in (20, 21, 22, 23, 24)]
+    for odd in again:  # known from the first round, in a context of their own
+        hidden[len(rows)] = ("email", odd)
+        rows.append(f"handle on chat {odd} , he said")
+    hidden[len(rows)] = ("email", "y77-at-work")  # only that context shows it
+    rows.append("handle on chat y77-at-work , he said")
+    decoys = [f"see section {rng.randrange(99)} for more" for _ in range(20)] + [f"pay with 411111111111111{d} now" for d in (0, 2)] + [f"unlike {later} elsewhere"] + ["her mobile is 300.1.1.1 or later"]
+    docs = spark.createDataFrame(list(enumerate(rows + decoys)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    for i, text in enumerate(rows + decoys):
+        want = [(hidden[i][0], text.index(hidden[i][1]), text.index(hidden[i][1]) + len(hidden[i][1]))] if i in hidden else []
+        assert [tuple(s) for s in got[i].added] == want, text
+
+
+def test_candidates_side_by_side_have_contexts(spark):
+    rows = [(i, f"write to or call {i}@a.bc and {i}x@d.ef now") for i in range(9)] + [(100, "write to or call u-1 and u-2 now")]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got[100].added) == 2
+
+
+def test_cost_is_linear_in_matches(spark):
+    text = "a@b.cd 10.0.0.1 " * 6000
+    found = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert found == "<EMAIL> <IP> " * 6000
+    assert len(pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().base) == 12_000
+
+
+def test_every_query_takes_odd_rows(spark):
+    from docstat.llm import lines, media, packing, pieces, simhash, substring
+    import public_tokenizers as p
+
+    words, marks = p.path("word_bpe_49k.json"), p.path("piece_bpe_32k.model")
+    every = {
+        "pii": lambda d: pii.digest_columns(pii.find(d)), "exact": exact_dedup.decide, "simhash": lambda d: simhash.digest_columns(simhash.near_components(d)), "lines": lines.digest_columns,
+        "media": lambda d: media.describe(media.encode(d)), "substring": substring.deduplicate, "pieces": lambda d: pieces.digest_columns(d, marks), "secrets": lambda d: secrets.digest_columns(secrets.find(d)),
+    }
+    rows = [(1, "long word " * 30_000), (2, None), (3, ""), (3, ""), (None, "x"), (None, None), (4, "x" * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("key", "blob_id", "path", "findings", "instance", "fp", "n", "media", "start", "TOP")})
+    for name, run in every.items():
+        got = run(docs).collect()
+        assert len(got) == 7 and sum(r.doc_id is None for r in got) == 2, name
+        assert run(docs.limit(0)).count() == 0, name
+    assert {r.doc_id for r in packing.pack(docs, words).collect()} == {1, 2, 3, 4, None}
