@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docstat.llm import exact_dedup, packing, pii, quality, simhash
-from docstat.llm.common import documents, stage
+from docstat.llm.common import delete, documents, recorded, scratch
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five words, a similarity of about 0.8 or more."""
+    """One document of each group of near duplicates stays: five-word shingles, a cosine of 0.8 or more."""
     return simhash.deduplicate(docs, simhash.wide())
 
 
@@ -49,8 +49,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, applied to documents; each result but the last is written once for the next to read."""
-    docs = documents(spark, sf_dir)
+    """The stages, applied to documents; each result but the last is written once for the next to read.
+
+    What a stage wrote on its way, and what it read, is deleted as soon as its result is written.
+    """
+    docs, done = documents(spark, sf_dir), []
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        with recorded() as made:
+            out = step(spark, docs, sf_dir)
+        path = scratch(spark, name.replace(" ", "-"))
+        out.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        for old in (*made, *done):
+            delete(old)
+        done = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
