@@ -1,10 +1,14 @@
 """Lossless WebP: a decoder in numpy, and the writer that stores payloads with it.
 
 The decoder reads prefix codes (simple, run-length coded, one group or many), back-references,
-the colour cache, and inverts the predictor, cross-colour, subtract-green and palette transforms. Images
-whose pixels are all literals of one group, as the writer makes them, take a vectorised path: code lengths
+the colour cache, and inverts the predictor, cross-colour, subtract-green and palette transforms. Literals of an image with one group
+of codes take a vectorised path up to the first pixel that is none: code lengths
 are looked up at every bit position at once, composed to whole pixels, and only the chain of
-pixel starts is followed step by step. All others are decoded pixel by pixel.
+pixel starts is followed step by step. From there on it is decoded pixel by pixel.
+
+The writer estimates, file by file, how many bits its samples take as they are, with a predictor (the pixel above), with a predictor and then green subtracted, with
+a cross-colour transform of red and blue by green, and by a palette, and writes the smallest. The run of equal pixels
+that ends a file, as padding does, is one back-reference.
 
 A stored payload is one file, or several one after another when it has more than TILE_PIXELS pixels, so
 that memory stays bounded whatever the length of a text.
@@ -33,6 +37,12 @@ CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 1
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 LENGTH_CODES, DISTANCE_CODES = 24, 40
 CACHE_MULTIPLIER = 0x1E35A7BD
+#: The short distance of the pixel to the left, and the predictor that takes the pixel above.
+LEFT, ABOVE = 2, 2
+#: A transform is tried where one pixel in so many shows its sign: it equals the one above, or its red equals its green.
+SIGN = 8
+#: Blocks of the writer's transforms: as large as the format has them.
+BLOCK_BITS = 9
 
 
 @lru_cache(1)
@@ -54,23 +64,35 @@ class Bits:
         return int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7) & (1 << n) - 1
 
 
+#: Longest code of the format, and all numbers of so many bits with their bits turned round.
+MOST_BITS = 15
+TURNED = sum((np.arange(1 << MOST_BITS) >> k & 1) << (MOST_BITS - 1 - k) for k in range(MOST_BITS))
+
+
+def by_length(lengths: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols with a code in the order of their codes, and their lengths."""
+    every = np.frombuffer(lengths, np.uint8)
+    used = np.flatnonzero(every)
+    order = used[np.argsort(every[used], kind="stable")]
+    return order, every[order].astype(np.int64)
+
+
 class Code:
     """A canonical prefix code as a table over the next `bits` bits: symbol and code length."""
 
     def __init__(self, lengths: bytes):
-        used = [s for s, n in enumerate(lengths) if n]
-        self.single = used[0] if len(used) == 1 else 0 if not used else None
-        self.bits = 0 if self.single is not None else max(lengths)
-        self.symbol = np.zeros(1 << self.bits, np.int32)
-        self.length = np.zeros(1 << self.bits, np.int32)
+        order, sizes = by_length(lengths)
+        self.single = int(order[0]) if len(order) == 1 else 0 if not len(order) else None
+        self.bits = 0 if self.single is not None else int(sizes[-1])
         if self.single is not None:
-            self.symbol[0] = self.single
+            self.symbol, self.length = np.full(1, self.single, np.int32), np.zeros(1, np.int32)
             return
-        if sum(1 << (self.bits - lengths[s]) for s in used) != 1 << self.bits:
+        share = 1 << self.bits - sizes
+        if share.sum() != 1 << self.bits:
             raise ValueError("prefix code is not complete")
-        for s, stored in zip(used, codes(lengths)[used].tolist()):
-            self.symbol[stored :: 1 << lengths[s]] = s
-            self.length[stored :: 1 << lengths[s]] = lengths[s]
+        place = TURNED[: 1 << self.bits] >> (MOST_BITS - self.bits)
+        self.symbol = np.repeat(order.astype(np.int32), share)[place]
+        self.length = np.repeat(sizes.astype(np.int32), share)[place]
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
@@ -157,8 +179,8 @@ def extended(bits: Bits, k: int) -> int:
     return ((2 + (k & 1)) << extra) + bits.read(extra) + 1
 
 
-def literal_pixels(bits: Bits, group: list[Code], n: int) -> np.ndarray | None:
-    """n pixels of one group without back-references or cache; None if one turns up."""
+def literal_pixels(bits: Bits, group: list[Code], n: int) -> np.ndarray:
+    """The first pixels of one group, at most n, up to the first that is no literal; bits then stands before that."""
     green, red, blue, alpha, _ = group
     data = np.frombuffer(bits.data, np.uint8)[bits.at >> 3 :]
     data = np.concatenate([data, np.zeros(16, np.uint8)]).astype(np.int32)
@@ -192,17 +214,30 @@ def literal_pixels(bits: Bits, group: list[Code], n: int) -> np.ndarray | None:
             starts.append(end)
             end = follow[end]
         here = np.array(starts, np.int32)
-    out = np.empty((n, 4), np.uint8)
+    if len(green.symbol) and int(green.symbol.max()) > 255:
+        other = np.flatnonzero(green.symbol[windows[here] & (1 << green.bits) - 1] > 255)
+        if len(other):
+            end, here = int(here[other[0]]), here[: other[0]]
+    out = np.empty((len(here), 4), np.uint8)
     for channel, code, step in ((1, green, g), (0, red, r), (2, blue, b), (3, alpha, a)):
-        symbols = code.symbol[windows[here] & (1 << code.bits) - 1]
-        if channel == 1 and n and symbols.max() > 255:
-            return None
-        out[:, channel] = symbols
+        out[:, channel] = code.symbol[windows[here] & (1 << code.bits) - 1]
         here = step[here]
     bits.at += end - (bits.at & 7)
     return out
 
 
+def repeated_tail(bits: Bits, group: list[Code], at: int, n: int) -> int:
+    """Pixels of a back-reference that repeats the last pixel up to the image's end; 0, and nothing read, if there is another token."""
+    start = bits.at
+    s = group[0].read(bits)
+    if at and 256 <= s < 256 + LENGTH_CODES:
+        length = extended(bits, s - 256)
+        if at + length == n and extended(bits, group[4].read(bits)) == LEFT:
+            return length
+    bits.at = start
+    return 0
+
+
 def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded image as rows of red, green, blue, alpha."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -215,14 +250,16 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         groups_at = (image[:, :, 0].astype(int) << 8 | image[:, :, 1]).ravel().tolist()
     groups = [read_group(bits, cache_size) for _ in range(1 + max(groups_at, default=0) if groups_at else 1)]
     n = width * height
+    out, cache, at = [0] * n, [0] * cache_size, 0
     if len(groups) == 1 and not cache_size:
-        start = bits.at
         found = literal_pixels(bits, groups[0], n)
-        if found is not None:
+        at = len(found)
+        if at == n:
             return found.reshape(height, width, 4)
-        bits.at = start
-    out, cache = [0] * n, [0] * cache_size
-    at = 0
+        if tail := repeated_tail(bits, groups[0], at, n):
+            return np.concatenate([found, np.repeat(found[-1:], tail, axis=0)]).reshape(height, width, 4)
+        wide = found.astype(np.int64)
+        out[:at] = (wide[:, 3] << 24 | wide[:, 0] << 16 | wide[:, 1] << 8 | wide[:, 2]).tolist()
     group = groups[0]
     while at < n:
         if groups_at:
@@ -294,6 +331,11 @@ def predicted(mode: int, left, top, right_top, left_top) -> np.ndarray:
 
 def undo_predictor(image: np.ndarray, modes: np.ndarray, block_bits: int) -> np.ndarray:
     height, width, _ = image.shape
+    if (modes[:, :, 1] == ABOVE).all():  # sums along the first row, then down the columns
+        out = image.copy()
+        out[0, :1, 3] -= 1  # and 255
+        out[0] = np.cumsum(out[0], axis=0, dtype=np.uint8)
+        return np.cumsum(out, axis=0, dtype=np.uint8)
     out = image.astype(np.int64).reshape(-1, 4)
     black = np.array([0, 0, 0, 255])
     for at in range(height * width):
@@ -407,12 +449,11 @@ def code_lengths(counts: list[int], longest: int = LONGEST_CODE) -> bytes:
 
 def codes(lengths: bytes) -> np.ndarray:
     """Codes with their bits in the order they are stored."""
-    out, code, before = np.zeros(len(lengths), np.int64), 0, 0
-    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
-        code <<= n - before
-        before = n
-        out[s] = int(f"{code:0{n}b}"[::-1], 2)
-        code += 1
+    order, sizes = by_length(lengths)
+    out = np.zeros(len(lengths), np.int64)
+    if len(order):
+        room = 1 << MOST_BITS - sizes
+        out[order] = TURNED[(np.cumsum(room) - room) & (1 << MOST_BITS) - 1] if len(order) > 1 else 0
     return out
 
 
@@ -467,37 +508,179 @@ class Writer:
         return self.value.to_bytes((self.at + 7) // 8, "little")
 
 
+def size_of(counts: np.ndarray) -> float:
+    """Bits that symbols with these counts take, about, with their code."""
+    used = counts[counts > 0].astype(np.float64)
+    return float((used * np.log2(used.sum() / used)).sum()) + 6.0 * len(used) if len(used) > 1 else 10.0
+
+
+def put_small(out: Writer, pixels: np.ndarray) -> None:
+    """A small image of literals, rows of red, green, blue, alpha, in place: what a transform needs to know."""
+    out.put(0, 1)
+    every = []
+    for channel, rest in ((1, LENGTH_CODES), (0, 0), (2, 0), (3, 0)):
+        every.append(code_lengths(np.bincount(pixels[:, channel], minlength=256).tolist()) + bytes(rest))
+        out.lengths(every[-1])
+    out.lengths(bytes(DISTANCE_CODES))
+    stored = [(codes(lengths).tolist(), sum(map(bool, lengths)) > 1, lengths) for lengths in every]
+    for pixel in pixels[:, [1, 0, 2, 3]].tolist():
+        for value, (code, many, lengths) in zip(pixel, stored):
+            if many:
+                out.put(code[value], lengths[value])
+
+
+def above(pixels: np.ndarray, width: int) -> np.ndarray:
+    """What is left of pixels after each is predicted by the one above it, and the first row by the one to the left."""
+    out = pixels.copy()
+    out[width:] -= pixels[:-width]
+    out[1:width] -= pixels[: width - 1]
+    out[:1, 3] += 1  # less 255
+    return out
+
+
+def less_green(pixels: np.ndarray, share: int) -> np.ndarray:
+    """pixels with share / 32 of green taken from red and blue."""
+    out = pixels.copy()
+    delta = (share * pixels[:, 1].view(np.int8).astype(np.int16) >> 5).astype(np.uint8)
+    out[:, 0] -= delta
+    out[:, 2] -= delta
+    return out
+
+
 def encode_pixels(samples: np.ndarray, width: int) -> bytes:
-    """A VP8L stream of literals; samples: bytes of whole rows of red, green, blue, alpha."""
-    height = len(samples) // (4 * width)
+    """A VP8L stream; samples: bytes of whole rows of red, green, blue, alpha."""
+    pixels = samples.reshape(-1, 4)
+    height = len(pixels) // width
     head = Writer()
     head.put(SIGNATURE, 8)
     head.put(width - 1, 14)
     head.put(height - 1, 14)
     head.put(1, 1)
     head.put(0, 3)
-    head.put(0, 1)  # no transform
+    whole = samples.view("<u4")
+    other = np.flatnonzero(whole != whole[-1])
+    tail = len(whole) - 1 - (int(other[-1]) + 1 if len(other) else 0)  # pixels that only repeat the one before
+    plain = np.bincount(samples, minlength=256)
+    best, kind, made, counts = size_of(plain), None, pixels, plain
+    tries = []
+    if SIGN * np.count_nonzero(whole[width:] == whole[:-width]) > len(whole):
+        lifted = above(pixels, width)
+        tries += [(PREDICTOR, lifted), (SUBTRACT_GREEN, less_green(lifted, 32))]
+    if SIGN * np.count_nonzero(samples[::4] == samples[1::4]) > len(whole):
+        tries.append((CROSS_COLOUR, less_green(pixels, 16)))
+    for name, changed in tries:
+        found = np.bincount(changed.ravel(), minlength=256)
+        bits = size_of(found) + 80
+        if bits < best:
+            best, kind, made, counts = bits, name, changed, found
+    few = np.unique(whole[:256])
+    if len(few) <= 128 and len(few := np.unique(whole)) <= 256:
+        each = np.bincount(np.searchsorted(few, whole))
+        if size_of(each) + 36 * len(few) + 60 < best:
+            kind = PALETTE
+    if kind == PALETTE:
+        table = few.view(np.uint8).reshape(-1, 4)
+        head.put(1, 1)
+        head.put(PALETTE, 2)
+        head.put(len(few) - 1, 8)
+        put_small(head, np.diff(table, axis=0, prepend=np.zeros((1, 4), np.uint8)))
+        pack = palette_bits(len(few))
+        index = np.searchsorted(few, whole).reshape(height, width)
+        packed = np.zeros((height, -(-width // (1 << pack)) << pack), np.int64)
+        packed[:, :width] = index
+        green = (packed.reshape(height, -1, 1 << pack) << (8 >> pack) * np.arange(1 << pack)).sum(2).ravel()
+        head.put(0, 1)
+        return finish(head, green[:, None], np.bincount(green, minlength=256), 0)
+    if kind in (PREDICTOR, SUBTRACT_GREEN):
+        head.put(1, 1)
+        head.put(PREDICTOR, 2)
+        put_blocks(head, (0, ABOVE, 0, 255), width, height)
+    if kind == SUBTRACT_GREEN:
+        head.put(1, 1)
+        head.put(SUBTRACT_GREEN, 2)
+    if kind == CROSS_COLOUR:
+        head.put(1, 1)
+        head.put(CROSS_COLOUR, 2)
+        put_blocks(head, (0, 16, 16, 255), width, height)
+    head.put(0, 1)
+    if kind is not None:
+        last = made.view("<u4").ravel() if made.flags.c_contiguous else np.ascontiguousarray(made).view("<u4").ravel()
+        other = np.flatnonzero(last != last[-1])
+        tail = len(last) - 1 - (int(other[-1]) + 1 if len(other) else 0)
+    if tail > 1:
+        made = made[: len(made) - tail]
+        counts = np.bincount(made.ravel(), minlength=256)
+    return finish(head, made, counts, tail if tail > 1 else 0)
+
+
+def put_blocks(out: Writer, element: tuple[int, int, int, int], width: int, height: int) -> None:
+    """A transform's image, whose blocks all have the same element."""
+    out.put(BLOCK_BITS - 2, 3)
+    side = lambda n: (n + (1 << BLOCK_BITS) - 1) >> BLOCK_BITS
+    put_small(out, np.full((side(width) * side(height), 4), element, np.uint8))
+
+
+def prefixed(value: int) -> tuple[int, int, int]:
+    """(symbol, extra, bits of extra) of a length or distance."""
+    value -= 1
+    if value < 4:
+        return value, 0, 0
+    bits = value.bit_length() - 2
+    return 2 * bits + (value >> bits), value & (1 << bits) - 1, bits
+
+
+def with_lengths(lengths: bytes, symbols: set[int]) -> bytes:
+    """The code with further symbols, each of which takes half the place of the one with the longest code."""
+    out = bytearray(lengths + bytes(LENGTH_CODES))
+    for s in symbols:
+        used = [i for i, n in enumerate(out) if n]
+        longest = max(used, key=out.__getitem__, default=None)
+        if len(used) > 1:
+            out[longest] += 1
+        out[s] = out[longest] if used else 1
+    return bytes(out)
+
+
+def finish(head: Writer, pixels: np.ndarray, counts: np.ndarray, tail: int) -> bytes:
+    """The image itself: literals (red, green, blue, alpha, or green alone, whose others are 0), then a back-reference over `tail` pixels."""
     head.put(0, 1)  # no colour cache
     head.put(0, 1)  # one group of codes
-    lengths = code_lengths(np.bincount(samples, minlength=256).tolist())
-    code = Writer()
-    code.lengths(lengths)
-    one = Writer()
-    one.lengths(lengths + bytes(LENGTH_CODES))
-    for part in (one, code, code, code):
+    alone = pixels.shape[1] == 1
+    most = 4096
+    runs = [most] * (tail // most) + [tail % most] * (tail % most > 0)
+    whole = code_lengths(counts.tolist())
+    first = with_lengths(whole, {256 + prefixed(run)[0] for run in runs})
+    head.lengths(first)
+    rest = bytes([1]) + bytes(255) if alone else whole
+    part = Writer()
+    part.lengths(rest)
+    for _ in range(3):
         head.put(part.value, part.at)
-    head.lengths(bytes(DISTANCE_CODES))
-    if sum(map(bool, lengths)) == 1:
-        return head.to_bytes()
-    ordered = samples.reshape(-1, 4)[:, [1, 0, 2, 3]].ravel()
-    sizes = np.frombuffer(lengths, np.uint8)[ordered].astype(np.int64)
+    distance = bytearray(DISTANCE_CODES)
+    distance[prefixed(LEFT)[0]] = bool(runs)
+    head.lengths(bytes(distance))
+    many = [sum(map(bool, x)) > 1 for x in (first, rest)]
+    tables = [np.where(many[i], np.frombuffer(x, np.uint8)[:256], 0).astype(np.int64) for i, x in enumerate((first, rest))]
+    stored = [codes(x) for x in (first, rest)]
+    if alone:
+        sizes, values = tables[0][pixels[:, 0]], stored[0][pixels[:, 0]]
+    else:
+        ordered = pixels[:, [1, 0, 2, 3]]
+        sizes, values = tables[1][ordered], stored[1][ordered]
+        sizes[:, 0], values[:, 0] = tables[0][ordered[:, 0]], stored[0][ordered[:, 0]]
+        sizes, values = sizes.ravel(), values.ravel()
     ends = np.cumsum(sizes)
-    total = int(ends[-1])
+    total = int(ends[-1]) if len(ends) else 0
     shift = np.arange(total) - np.repeat(ends - sizes, sizes)
-    body = (np.repeat(codes(lengths)[ordered], sizes) >> shift & 1).astype(np.uint8)
-    start = np.frombuffer(head.to_bytes(), np.uint8)
-    start = np.unpackbits(start, bitorder="little")[: head.at]
-    return np.packbits(np.concatenate([start, body]), bitorder="little").tobytes()
+    body = (np.repeat(values, sizes) >> shift & 1).astype(np.uint8)
+    end = Writer()
+    for run in runs:
+        symbol, extra, bits = prefixed(run)
+        if many[0]:
+            end.put(int(stored[0][256 + symbol]), first[256 + symbol])
+        end.put(extra, bits)
+    unpacked = lambda w: np.unpackbits(np.frombuffer(w.to_bytes(), np.uint8), bitorder="little")[: w.at]
+    return np.packbits(np.concatenate([unpacked(head), body, unpacked(end)]), bitorder="little").tobytes()
 
 
 def store(payload: bytes) -> bytes:
