@@ -4,7 +4,8 @@ Every version of a path is addressed by the SHA-256 of its text. The ledger is a
 for each (blob, rule version) pair that has been scanned and the spans found in it, also when there are
 none; it holds no text. A run scans only the pairs that the ledger lacks, appends them, and joins the findings back to all
 paths, so copies of a text and texts known from earlier runs are not searched again. `find` takes a history in
-instalments, each of which skips what the ones before have scanned.
+instalments, each of which skips what the ones before have scanned. Every path has its blob in the ledger; one that a large share of the paths
+have is a hot key, whose findings are broadcast (`join_hot`).
 
 Rules (leftmost, non-overlapping per kind; a match that fails its test is dropped and not retried):
 assign  a keyword in either case, an optional quote, `:` or `=`, an optional quote, and a value of 6 or more characters
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstat.llm.common import exists, scratch, text_or_empty
+from docstat.llm.common import exists, join_hot, scratch, stage, text_or_empty
 from docstat.llm.spans import SPAN, joined, mask, spans
 
 RULE_VERSION = "v1"
@@ -74,9 +75,10 @@ def find(docs: DataFrame, path: str | None = None, rule_version: str = RULE_VERS
     turn = F.pmod(F.xxhash64("doc_id"), F.lit(instalments))
     for i in range(instalments):
         ledger = update_ledger(docs.where(turn == i), path, rule_version)
-    known = ledger.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).groupBy("blob_id").agg(F.first("findings").alias("findings"))
-    paths = versions(docs).select(F.col("path").alias("doc_id"), "blob_id")
-    return paths.join(known.hint("merge"), "blob_id", "left").withColumn("findings", F.coalesce("findings", F.array()).cast(SPAN))
+    known = ledger.where(F.col("rule_version") == rule_version).groupBy("blob_id").agg(F.first("findings").alias("findings"))
+    paths = stage(versions(docs).select(F.col("path").alias("doc_id"), "blob_id"), "paths")
+    copies = paths.groupBy("blob_id").agg(F.count(F.lit(1)).alias("n"))
+    return join_hot(paths, known.join(copies.hint("merge"), "blob_id"), "blob_id", paths.count()).select("doc_id", "blob_id", "findings")
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
