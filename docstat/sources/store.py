@@ -16,7 +16,10 @@ LOCAL_SHARED = "/tmp/docstat-shared"
 def written(frame: DataFrame, tag: str) -> DataFrame:
     """frame as a table in the folder that spark.checkpoint.dir names: all readers see the same rows, whatever is lost meanwhile."""
     spark = frame.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or LOCAL_SHARED}/docstat-{tag}-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{shared or LOCAL_SHARED}/docstat-{tag}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
