@@ -100,11 +100,12 @@ def drop_staged(df: DataFrame) -> None:
 def join_hot(big: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
     """Inner join of big, of `total` rows, with small, whose column n tells how many rows of big have the key.
 
-    The hot keys, at most 1 / HOT_SHARE, have their rows of small broadcast; the rest meets by a shuffle in which no
+    The hot keys, at most 1 / HOT_SHARE, have their rows of small broadcast and leave big before the shuffle; the rest meets by a shuffle in which no
     key has more than HOT_SHARE of big's rows. small has a few rows a key.
     """
     hot, rest = small.where(F.col("n") > HOT_SHARE * total).drop("n"), small.where(F.col("n") <= HOT_SHARE * total).drop("n")
-    return big.join(F.broadcast(hot), key).unionByName(big.join(rest.hint("merge"), key))
+    cold = big.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return big.join(F.broadcast(hot), key).unionByName(cold.join(rest.hint("merge"), key))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
