@@ -18,6 +18,8 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 LOCAL_SHARED = "/tmp/docstat-shared"
 #: A key with more than this share of a table's rows is hot; a table has at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
+#: A key with this many rows or fewer is no burden to a task, whatever its share.
+FEW_ROWS = 1000
 
 _recording: list[list[str]] = []
 _cleaned: set[str] = set()
@@ -76,7 +78,7 @@ def recorded() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _recording.remove(paths)
+        _recording.pop()
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
@@ -97,13 +99,18 @@ def drop_staged(df: DataFrame) -> None:
             delete(name)
 
 
+def is_hot(total: int) -> Column:
+    """Whether a key with n of a table's `total` rows is hot."""
+    return F.col("n") > max(HOT_SHARE * total, FEW_ROWS)
+
+
 def join_hot(big: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
     """Inner join of big, of `total` rows, with small, whose column n tells how many rows of big have the key.
 
     The hot keys, at most 1 / HOT_SHARE, have their rows of small broadcast and leave big before the shuffle; the rest meets by a shuffle in which no
-    key has more than HOT_SHARE of big's rows. small has a few rows a key.
+    key has more than HOT_SHARE of big's rows, or FEW_ROWS. small has a few rows a key.
     """
-    hot, rest = small.where(F.col("n") > HOT_SHARE * total).drop("n"), small.where(F.col("n") <= HOT_SHARE * total).drop("n")
+    hot, rest = small.where(is_hot(total)).drop("n"), small.where(~is_hot(total)).drop("n")
     cold = big.join(F.broadcast(hot.select(key)), key, "left_anti")
     return big.join(F.broadcast(hot), key).unionByName(cold.join(rest.hint("merge"), key))
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstat.llm.common import drop_staged, join_hot, stage
+from docstat.llm.common import delete, drop_staged, is_hot, join_hot, recorded, stage
 
 
 def _least(pairs: DataFrame, total: int) -> DataFrame:
     """(u, v, least) of directed pairs; least: the smallest of u and its neighbours. A hub's pairs are not brought together."""
-    lows = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    return join_hot(pairs, lows.select("u", F.least("u", "m").alias("least"), "n"), "u", total)
+    lows = stage(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "lows")
+    lows = lows.select("u", F.least("u", "m").alias("least"), "n")
+    if lows.where(is_hot(total)).isEmpty():
+        return pairs.join(lows.drop("n").hint("merge"), "u")
+    return join_hot(pairs, lows, "u", total)
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
@@ -29,8 +32,8 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node that has an edge (a, b); root: the smallest node it is connected with.
 
-    Each step writes its edges to the shared folder and compares their checksum with the step
-    before; a step is two grouped minima and joins on single nodes. No node's neighbours are gathered: a hub's minimum is broadcast.
+    Each half of a step writes its minima and its edges to the shared folder, so that plans stay small, and a step compares its edges' checksum with
+    the step before; a step is two grouped minima and joins on single nodes. No node's neighbours are gathered: a hub's minimum is broadcast.
 
     Defined results: an edge of a node with itself says nothing, repeated edges count once, edges with a null end are left out,
     and no edges give no rows; other columns are not read.
@@ -42,6 +45,10 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or state[0] == 0:
             break
         seen, before = state, now
-        now = stage(_small_star(_large_star(now, state[0]), state[0]), "edges")
+        with recorded() as made:
+            large = stage(_large_star(now, state[0]), "large-star")
+            now = stage(_small_star(large, state[0]), "edges")
+        for old in made[:-1]:
+            delete(old)
         drop_staged(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -427,10 +427,10 @@ def near_components(docs: DataFrame, setting: Setting | None = None) -> DataFram
     if setting.exact:
         name, found = "key", components(verified(docs, rows, found.select(F.col("node").alias("fp"), F.col("root").alias("cluster")), setting.words))
         nodes = stage(rows.groupBy("key").agg(*counted), "nodes")
-    members = nodes.join(found.withColumnRenamed("node", name), name)
-    parts = members.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))
+    members = stage(nodes.join(found.withColumnRenamed("node", name), name), "members")
+    parts = stage(members.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n")), "parts")
     least = join_hot(members.drop("n"), parts, "root", members.count()).select(name, "least")
-    named = nodes.join(least, name, "left").select(name, F.coalesce("least", "first").alias("component_id"), "n")
+    named = stage(nodes.join(least, name, "left").select(name, F.coalesce("least", "first").alias("component_id"), "n"), "named")
     return join_hot(rows, named, name, total).select("doc_id", "key", "fp", "component_id")
 
 
