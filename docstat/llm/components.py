@@ -18,8 +18,9 @@ def _least(pairs: DataFrame, total: int) -> DataFrame:
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """At most two edges for each one; what repeats goes in the small star."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u > v").distinct()
+    return _least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u > v")
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
@@ -47,7 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen, before = state, now
         with recorded() as made:
             large = stage(_large_star(now, state[0]), "large-star")
-            now = stage(_small_star(large, state[0]), "edges")
+            now = stage(_small_star(large, large.count()), "edges")
         for old in made[:-1]:
             delete(old)
         drop_staged(before)

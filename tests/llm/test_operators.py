@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from docstat.llm import components, lines, packing, pieces, quality, simhash, substring
+from docstat.llm import common, components, lines, packing, pieces, quality, simhash, substring
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -154,7 +154,10 @@ def test_equal_fingerprints_of_unlike_texts_stay_apart(spark):
     assert {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, SHORT)).collect()} == set(range(4))
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("few", [5, 1000])
+def test_components_of_paths_and_stars(spark, monkeypatch, few):
+    """few: with 5, the star's hub is a hot key."""
+    monkeypatch.setattr(common, "FEW_ROWS", few)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 200), (5, 5)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
