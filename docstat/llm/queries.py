@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docstat.llm import exact_dedup, lines, media, packing, pieces, pii, quality, secrets, simhash, substring
+from docstat.llm import clusters, decontaminate, exact_dedup, lines, media, packing, pieces, pii, quality, search, secrets, simhash, substring
 from docstat.llm.common import documents
 
 
@@ -49,6 +49,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest_columns(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -60,9 +72,15 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
+    "op11_search": op11_search,
+    "op12_clusters": op12_clusters,
+    "op13_decontaminate": op13_decontaminate,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op7_substring": substring.ORACLE,
     "op9_secrets": secrets.ORACLE,
+    "op11_search": search.ORACLE,
+    "op12_clusters": clusters.ORACLE,
+    "op13_decontaminate": decontaminate.ORACLE,
 }
