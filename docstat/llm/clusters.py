@@ -187,7 +187,7 @@ def summed(state: DataFrame, dims: int) -> dict[int, dict]:
     parts = state.where("cluster_n is not null")
     sums = F.array(*(F.sum(F.get("sums", F.lit(i))) for i in range(dims))).alias("sums")
     totals = (F.sum("cluster_n").alias("n"), F.max("radius").alias("radius"), F.sum("inertia").alias("inertia"), F.sum("scanned").alias("scanned"))
-    return {r["own"]: r.asDict() for r in parts.groupBy("own").agg(*totals, sums).collect()}
+    return {r["own"]: r.asDict() for r in parts.groupBy("own").agg(*totals, sums).collect() if r["n"] or r["scanned"]}
 
 
 def cluster(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, dims: int = DIMS, scale: float = SCALE, salt: int = SALT, log: list | None = None) -> DataFrame:
@@ -210,7 +210,7 @@ def cluster(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, dims: int = DI
         if log is not None:
             log.append(sum(t["scanned"] for t in totals.values()))
         if i < rounds:
-            moved = [[s // totals[c]["n"] for s in totals[c]["sums"]] if c in totals else old for c, old in enumerate(now)]
+            moved = [[s // totals[c]["n"] for s in totals[c]["sums"]] if c in totals and totals[c]["n"] else old for c, old in enumerate(now)]
             step = Step(moved, now, [totals[c]["radius"] if c in totals else 0.0 for c in range(len(now))], last=i == rounds - 1)
             now = moved
     sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in now]
