@@ -4,7 +4,7 @@
 are stored as slices: one bitmap over its documents for each bit. The index also has the number of documents of each term.
 
 `search` ranks the documents for some items. For a term, the AND of its slices is a bitmap that overestimates the documents that have it, and hence, by level, its
-occurrences in them; summed with the terms' weights these give an upper bound of each document's score. The documents with the highest bounds, at most TOP an item, are scored exactly; the TOP-th of their scores
+occurrences in them; summed with the terms' weights these give an upper bound of each document's score. The documents with the highest bounds, TRIED times TOP an item, are scored exactly; the TOP-th of their scores
 is the item's bar. Then every document whose bound reaches the bar of an item is scored exactly from its text, whatever their number. A document that is left out has a bound, and so a score, below that
 of TOP others, so results are exact.
 
@@ -32,9 +32,9 @@ from docstat.llm.terms import SQL_TERMS, terms_of
 
 TOP = 50
 #: Occurrences at which a term has one more pair in the signature.
-LEVELS = (1, 2, 3, 5, 9, 17)
+LEVELS = (1, 2, 3, 4, 5, 6, 8, 10, 13, 18, 27, 50)
 #: Slices that a pair sets, and slices for each pair that the largest document of a block may have.
-PROBES, SLICES_A_PAIR = 4, 20
+PROBES, SLICES_A_PAIR = 10, 30
 #: Blocks hold documents of up to FIRST, FIRST * RATIO, ... pairs, and up to CELLS bits. A longer document shares MOST_SLICES, which only loosens its bound.
 FIRST, RATIO, CELLS, MOST_SLICES = 16, 1.5, 1 << 25, 1 << 22
 DOCUMENTS = 4096
@@ -42,8 +42,10 @@ DOCUMENTS = 4096
 TERMS_HELD, ITEM_TERMS = 1 << 17, 1 << 15
 #: Cells of the term by document matrix at a time.
 MATRIX = 1 << 22
-FEW = 100_000
+FEW = 300_000
 SPREAD = 64
+#: Documents scored for an item's bar, for each that is wanted.
+TRIED = 3
 
 INDEX = "term binary, df long, docs array<long>, keys array<long>, lengths array<long>, width int, slices binary"
 _KINDS = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary())
@@ -51,15 +53,18 @@ _NAMES = [field.split()[0] for field in INDEX.split(", ")]
 
 
 def row_key(docs: DataFrame) -> Column:
-    """Names a document's id and text; other documents may share it, which costs time only."""
-    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+    """Names a document's text: copies are scored by one name. Other texts may share it, which costs time only."""
+    return F.xxhash64(docs["text"])
 
 
-def places(hashes: np.ndarray, level: int, width: int) -> np.ndarray:
-    """(PROBES, n): the slices of each term hash at a level, in signatures of width slices."""
+def places(hashes: np.ndarray, level: int, width: int) -> Iterator[np.ndarray]:
+    """The slices of each term hash at a level, one array for each of PROBES, in signatures of width slices."""
     mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * level)
     step = (mixed >> np.uint64(32)) | np.uint64(1)
-    return np.stack([((mixed ^ (mixed >> np.uint64(29))) + np.uint64(i) * step) % np.uint64(width) for i in range(PROBES)]).astype(np.int64)
+    at = mixed ^ (mixed >> np.uint64(29))
+    for _ in range(PROBES):
+        yield (at % np.uint64(width)).astype(np.int64)
+        at = at + step
 
 
 def term_hash(term: bytes) -> int:
@@ -70,19 +75,24 @@ class Block:
     """Documents of like size, until they are written as slices."""
 
     def __init__(self, width: int):
-        self.width, self.docs, self.keys, self.lengths, self.pairs = width, [], [], [], []
+        self.width, self.docs, self.keys, self.lengths, self.hashes, self.counts = width, [], [], [], [], []
         self.room = max(8, min(DOCUMENTS, CELLS // width // 8 * 8))
 
     def add(self, doc: int | None, key: int, length: int, hashes: np.ndarray, counts: np.ndarray) -> None:
         self.docs.append(doc)
         self.keys.append(key)
         self.lengths.append(length)
-        self.pairs.append(np.concatenate([places(hashes[counts >= least], j, self.width).ravel() for j, least in enumerate(LEVELS) if j == 0 or (counts >= least).any()]))
+        self.hashes.append(hashes)
+        self.counts.append(counts)
 
     def batch(self) -> pa.RecordBatch:
         bits = np.zeros((self.width, -(-len(self.docs) // 8) * 8), np.uint8)
-        for i, own in enumerate(self.pairs):
-            bits[own, i] = 1
+        own, hashes, counts = np.repeat(np.arange(len(self.docs)), [len(h) for h in self.hashes]), np.concatenate(self.hashes), np.concatenate(self.counts)
+        for level, least in enumerate(LEVELS):
+            some = counts >= least
+            own, hashes, counts = own[some], hashes[some], counts[some]
+            for at in places(hashes, level, self.width) if len(own) else ():
+                bits[at, own] = 1
         values = (None, None, self.docs, self.keys, self.lengths, self.width, np.packbits(bits, axis=1).tobytes())
         return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, _KINDS)], names=_NAMES)
 
@@ -162,8 +172,9 @@ class Items:
             own, damp = lengths[lo : lo + at_once].astype(float), m[lo : lo + at_once]
             out, held, before = np.zeros((len(self.rows), len(own))), None, 0.0
             for level, least in enumerate(LEVELS):
-                bits = np.bitwise_and.reduce(slices[:, lo // 8 : (lo + at_once) // 8][places(self.hashes, level, width)], axis=0)
-                held = bits if held is None else held & bits
+                mine = slices[:, lo // 8 : (lo + at_once) // 8]
+                for at in places(self.hashes, level, width):
+                    held = mine[at] if held is None else held & mine[at]
                 some = held.any(axis=1)
                 if not some.any():
                     break
@@ -259,7 +270,7 @@ def _search(docs: DataFrame, made: DataFrame, totals, items: list, top: int) ->
     context, block = spark.sparkContext, Items(names, terms, {bytes(t): n for t, n in counts.collect()}, *totals)
     blocks = made.where("slices is not null")
     held = context.broadcast(block)
-    probes = highest(_over_blocks(blocks, held, top), [F.col("bound").desc(), F.col("key")], top, "key")
+    probes = highest(_over_blocks(blocks, held, TRIED * top), [F.col("bound").desc(), F.col("key")], TRIED * top, "key")
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
     bars = highest(_scored(docs, probes, held), order, top, "doc_id").groupBy("item").agg(F.min("score").alias("bar"), F.count(F.lit(1)).alias("n"))
     for row in bars.where(F.col("n") == top).collect():
