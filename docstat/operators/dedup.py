@@ -46,3 +46,18 @@ def discard_log(rows: DataFrame, key: list[str], rank: Column, order: str = "ord
     ranked = rows.withColumn("__rank", rank).withColumn("__best", F.max(F.struct(F.col("__rank").alias("r"), (-F.col(order)).alias("o"))).over(w))
     lost = F.when(F.col("__rank") > F.col("__best.r"), -F.col("__best.o")).otherwise(F.col(order))
     return ranked.where("__best is not null").select(*key, F.col(order).alias("arrival"), lost.alias("discarded"))
+
+
+def first_discards(rows: DataFrame, key: list[str], rank: Column, columns: list[str], by: str, n: int = 10, order: str = "ord") -> DataFrame:
+    """The first n rows that the running best of each key displaces or turns away, of each value of `by`: (by, place, columns), place from 0 in the order of the arrivals.
+
+    The running best carries the columns, so what an arrival displaces is at hand in the same window; of each task and value no more than n rows go on.
+    """
+    own = F.struct(*columns)
+    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.withColumns({"__rank": rank, "__own": own})
+    ranked = ranked.withColumn("__best", F.max(F.struct(F.col("__rank").alias("r"), (-F.col(order)).alias("o"), F.col("__own").alias("own"))).over(w))
+    lost = F.when(F.col("__rank") > F.col("__best.r"), F.col("__best.own")).otherwise(F.col("__own"))
+    each = ranked.where("__best is not null").select(by, F.col(order).alias("__at"), lost.alias("__lost"))
+    first = each.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("__at"))).where(F.col("place") <= n)
+    return first.select(by, (F.col("place") - 1).alias("place"), "__lost.*")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docstat.functions import rules, text
+from docstat.operators import rule_tables
 from docstat.operators import tables as table_ops
 from docstat.operators.tables import TABLE
 
@@ -114,6 +115,12 @@ def first_value(cells: Column, nums: Column, value_type: Column) -> Column:
     return F.struct(col.alias("col"), F.coalesce(F.get(cells, col), F.lit("")).alias("value"))
 
 
+def period_values(cells: Column, nums: Column, value_type: Column) -> Column:
+    """(col, value) of each cell right of the first column that is below a period and has a number, or text."""
+    columns = F.filter(F.sequence(F.lit(1), F.greatest(F.size(cells), F.lit(2)) - 1), lambda i: F.when(value_type == "number", F.get(nums, i).isNotNull()).otherwise(F.coalesce(F.get(cells, i), F.lit("")) != "") & period_at(i).isNotNull())
+    return F.transform(columns, lambda i: F.struct(i.alias("col"), F.get(cells, i).alias("value")))
+
+
 def _hit(m: Column, label: Column, col: Column, value: Column, part: int, *place: Column) -> Column:
     return F.struct(
         F.lit(part).alias("part"), F.array(*place).alias("place"), m["field"].alias("field"), m["value_type"].alias("value_type"), m["class_ord"].alias("class_ord"),
@@ -121,8 +128,11 @@ def _hit(m: Column, label: Column, col: Column, value: Column, part: int, *place
     )
 
 
-def row_hits(label_col: int, fields=rules.FIELDS) -> Column:
-    """Fields that the cell in label_col names: not in a header, no number itself, with a value to its right."""
+def row_hits(label_col: int, fields=rules.FIELDS, matched: Column | None = None, all_periods: bool = False) -> Column:
+    """Fields that the cell in label_col names: not in a header, no number itself, with a value to its right.
+
+    matched: the rules its key matches, where they are known already. all_periods: one field for each column under a period that has a value, the first value only where there is none.
+    """
     kind, cells, nums, row_index = (F.col(c) for c in ("candidate_statement_type", "cells", "nums", "row_index"))
     label = F.get(cells, F.lit(label_col))
     rest = lambda x, after: F.slice(x, after + 2, F.greatest(F.size(x), F.lit(1)))
@@ -130,13 +140,19 @@ def row_hits(label_col: int, fields=rules.FIELDS) -> Column:
     valued = F.when(kind == HOLDERS, F.exists(rest(cells, label_col), lambda c: text.strip(c) != "")).otherwise(numeric_right)
     named = label.isNotNull() & (text.match_key(label) != "") & F.get(nums, F.lit(label_col)).isNull() & (F.lit(label_col == 0) | numeric_right)
     weak_ok = weak_context(kind, text.match_key(F.array_join(F.slice(cells, 1, 2), " "))) & F.exists(rest(nums, 0), lambda x: x.isNotNull())
-    found = F.filter(match_rules(kind, text.match_key(label), fields), lambda m: (m["class_ord"] < 2) | weak_ok)
+    found = F.filter(match_rules(kind, text.match_key(label), fields) if matched is None else matched, lambda m: (m["class_ord"] < 2) | weak_ok)
 
     def hit(m: Column) -> Column:
         v = first_value(cells, nums, m["value_type"])
         return _hit(m, label, v["col"], v["value"], 0, row_index, F.lit(label_col), m["rule_ord"])
 
-    return F.when(~is_header(F.col("likely"), row_index) & named & valued, F.transform(found, hit))
+    def each_period(m: Column) -> Column:
+        at = period_values(cells, nums, m["value_type"])
+        shown = lambda v: _hit(m, label, v["col"], v["value"], 0, row_index, F.lit(label_col), m["rule_ord"], v["col"])
+        return F.transform(F.when(F.size(at) > 0, at).otherwise(F.array(first_value(cells, nums, m["value_type"]))), shown)
+
+    hits = F.flatten(F.transform(found, each_period)) if all_periods else F.transform(found, hit)
+    return F.when(~is_header(F.col("likely"), row_index) & named & valued, hits)
 
 
 def column_rules(fields=rules.FIELDS) -> Column:
@@ -158,14 +174,49 @@ def column_hits() -> Column:
     return F.when(row_index > 0, F.transform(filled, lambda t: _hit(t["rule"], t["label"], t["col"], at(t), 1, t["col"], t["rule"]["rule_ord"], row_index)))
 
 
-def map_fields(tables: DataFrame, fields=rules.FIELDS) -> DataFrame:
-    """Field candidates of all mappable tables, with ord, their order in the document."""
+SOURCE = ("candidate_statement_type", "unit", "currency", "numeric_cell_ratio", "source_type", "source_pages", "table_group_id")
+
+
+def map_fields(tables: DataFrame, fields=rules.FIELDS, all_periods: bool = False) -> DataFrame:
+    """Field candidates of all mappable tables, with ord, their order in the document. all_periods: one for each period of a row, see `row_hits`."""
     kinds = tuple(dict.fromkeys(f[0] for f in fields))
     typed = units(tables.where(F.col("candidate_statement_type").isin(*kinds))).withColumn("column_rules", column_rules(fields))
-    source = ("candidate_statement_type", "unit", "currency", "numeric_cell_ratio", "source_type", "source_pages", "table_group_id")
-    each = typed.select(*KEY, *source, "any_likely", "head_periods", "column_rules", F.inline("rows"))
+    each = typed.select(*KEY, *SOURCE, "any_likely", "head_periods", "column_rules", F.inline("rows"))
+    return _fields(each, row_hits(0, fields, all_periods=all_periods), row_hits(1, fields, all_periods=all_periods), column_hits())
+
+
+MATCHES = "array<struct<rule_ord:int,field:string,value_type:string,class_ord:int>>"
+
+
+def map_fields_by(tables: DataFrame, rule_rows: DataFrame, all_periods: bool = False) -> DataFrame:
+    """`map_fields` with rules as a table (rules.aliases, rule_file.mapping_rules) of any size: each different label meets the rules once, and its rows meet what it matched.
+
+    tables are read three times: for the labels, for the shareholder tables' first rows and for the rows; write them first if they are dear to make.
+    """
+    typed = units(tables.join(F.broadcast(rule_rows.select(F.col("statement_type").alias("candidate_statement_type")).distinct()), "candidate_statement_type", "left_semi"))
+    key = lambda i: text.match_key(F.get("cells", F.lit(i)))
+    each = typed.select(*KEY, *SOURCE, "any_likely", "head_periods", F.inline("rows")).withColumns({"key0": key(0), "key1": key(1)})
+    top = typed.where(F.col("candidate_statement_type") == HOLDERS).select(*KEY, F.explode(F.filter("rows", lambda r: r["row_index"] == 0)).alias("r"))
+    top = top.select(*KEY, F.posexplode("r.cells").alias("col", "label")).withColumn("key", text.match_key(F.col("label")))
+    used = each.select(F.col("candidate_statement_type").alias("statement_type"), F.explode(F.array("key0", "key1")).alias("key")).unionByName(top.select(F.lit(HOLDERS).alias("statement_type"), "key"))
+    labels = used.where("key is not null and key <> ''").distinct()
+    one = F.struct("rule_ord", "field", "value_type", "class_ord")
+    matched = rule_tables.alias_matches(labels, rule_rows).groupBy("statement_type", "key").agg(F.sort_array(F.collect_list(one)).cast(MATCHES).alias("found"))
+    near = F.broadcast(matched) if rule_tables.small(matched) else matched
+    for i in (0, 1):
+        own = near.select(F.col("statement_type").alias("candidate_statement_type"), F.col("key").alias(f"key{i}"), F.col("found").alias(f"found{i}"))
+        each = each.join(own, ["candidate_statement_type", f"key{i}"], "left")
+    strong = F.filter("found", lambda m: m["class_ord"] < 2)
+    named = top.join(near.where(F.col("statement_type") == HOLDERS).select("key", strong.alias("found")), "key").select(*KEY, "col", "label", F.explode("found").alias("rule"))
+    columns = named.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("col", "rule", "label"))).alias("column_rules"))
+    each = each.join(columns, KEY, "left")
+    return _fields(each, row_hits(0, (), F.col("found0"), all_periods), row_hits(1, (), F.col("found1"), all_periods), column_hits())
+
+
+def _fields(each: DataFrame, *hits: Column) -> DataFrame:
+    """The field candidates of table rows, from the hits of each."""
     none = lambda hits: F.coalesce(hits, F.array())
-    found = each.select(*KEY, *source, "head_periods", F.col("row_index").alias("source_row_index"), F.inline(F.concat(*map(none, (row_hits(0, fields), row_hits(1, fields), column_hits())))))
+    found = each.select(*KEY, *SOURCE, "head_periods", F.col("row_index").alias("source_row_index"), F.inline(F.concat(*map(none, hits))))
     period = F.coalesce(period_at(F.col("source_col_index")), F.lit(UNKNOWN_PERIOD))
     value = F.when(F.col("value_type") == "number", text.parse_number(F.col("raw_value")))
     how = F.when(F.col("part") == 0, "row_alias_match").otherwise("shareholder_column_alias_match")
@@ -190,8 +241,9 @@ def map_fields(tables: DataFrame, fields=rules.FIELDS) -> DataFrame:
     )
 
 
-def missing_tables(candidates: DataFrame, tables: DataFrame) -> DataFrame:
-    """(document_id, message) of mappable candidates whose table isn't there."""
-    mappable = candidates.where(F.col("candidate_statement_type").isin(*rules.MAPPED_TYPES)).select("document_id", "table_id")
+def missing_tables(candidates: DataFrame, tables: DataFrame, ordered: bool = False) -> DataFrame:
+    """(document_id, message) of mappable candidates whose table isn't there; ordered: with table_ord, where the table stood."""
+    place = ["table_ord"] if ordered else []
+    mappable = candidates.where(F.col("candidate_statement_type").isin(*rules.MAPPED_TYPES)).select("document_id", "table_id", *place)
     gone = mappable.join(tables.select("document_id", "table_id"), ["document_id", "table_id"], "left_anti")
-    return gone.select("document_id", F.concat(F.lit("canonical table not found for candidate table_id="), F.col("table_id")).alias("message"))
+    return gone.select("document_id", *place, F.concat(F.lit("canonical table not found for candidate table_id="), F.col("table_id")).alias("message"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docstat.functions import rules, text
 from docstat.operators import quality
+from docstat.sources.file_probe import contents
 
 
 def newest(entries: DataFrame, limit: int, level: str | None = None, time: str = "registered_at", by: str = "parse_quality_level") -> DataFrame:
@@ -78,12 +79,12 @@ def manifest_of(entries: DataFrame) -> DataFrame:
     return entries.select(*[have(c).alias(name) for name, c in MANIFEST])
 
 
-def ingest(results: DataFrame, summaries: DataFrame, files: DataFrame, as_of: str) -> DataFrame:
+def ingest(results: DataFrame, summaries: DataFrame, files: DataFrame, probes: DataFrame, as_of: str) -> DataFrame:
     """Task results to assessed registry entries, ready for `upsert`.
 
     results: (parse_task_id, pdf_path, output_dir, output_files, parse_status, ord); summaries: by document_id = parse_task_id, as
-    json_tables.summaries gives them, with flag_counts; files: (parse_task_id, pages_count, merged_md).
+    json_tables.summaries gives them, with flag_counts; files: (parse_task_id, pages_count); probes: (path, filled) of the merged.md files, as file_probe.probe gives them.
     """
     read = summaries.withColumnRenamed("document_id", "parse_task_id").drop("pdf_name", "summary_text")
     whole = manifest(results).join(read, "parse_task_id", "left").join(files, "parse_task_id", "left").withColumn("has_summary", F.coalesce("has_summary", F.lit(False)))
-    return quality.assess(entries(whole, as_of))
+    return quality.assess(entries(contents(whole, probes, "merged_path", "merged_md"), as_of))

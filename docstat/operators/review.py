@@ -58,11 +58,8 @@ def queue_summary(items: DataFrame) -> DataFrame:
     return items.groupBy("review_status", "parse_quality_level").agg(F.count(F.lit(1)).alias("n"))
 
 
-def eligibility(requested: DataFrame, entries: DataFrame, log: DataFrame) -> DataFrame:
-    """Whether each requested document may be extracted, and why not. entries have missing_files, an array."""
-    first = entries.groupBy("document_id").agg(F.min_by(F.struct("parse_quality_level", "output_dir", "missing_files"), "ord").alias("e"))
-    last = latest_decisions(log).select("document_id", F.col("review_decision").alias("d"), F.col("approved_for_extraction").alias("ok"))
-    joined = requested.join(first, "document_id", "left").join(last, "document_id", "left")
+def eligibility_columns() -> list[Column]:
+    """All but document_id of `eligibility`, of rows with e (the document's entry, or null), d and ok (its decision and approval, or null)."""
     decision = F.coalesce("d", F.lit("pending_review"))
     missing = F.when(F.col("e").isNull(), F.array(F.lit("registry_entry"))).otherwise(F.col("e.missing_files"))
     why = text.reasons(
@@ -72,15 +69,22 @@ def eligibility(requested: DataFrame, entries: DataFrame, log: DataFrame) -> Dat
         (~F.coalesce("ok", F.lit(False)), "approved_for_extraction=false"),
         (F.size(missing) > 0, F.concat(F.lit("missing_required_files="), text.quoted_list(missing))),
     )
-    return joined.select(
-        "document_id",
+    return [
         (F.size(why) == 0).alias("eligible_for_extraction"),
         F.when(F.size(why) == 0, "approved for extraction").otherwise(F.array_join(why, "; ")).alias("reason"),
         F.coalesce("e.parse_quality_level", F.lit("")).alias("parse_quality_level"),
         decision.alias("review_decision"),
         (F.size(missing) == 0).alias("required_files_present"),
         missing.alias("missing_required_files"),
-    )
+    ]
+
+
+def eligibility(requested: DataFrame, entries: DataFrame, log: DataFrame) -> DataFrame:
+    """Whether each requested document may be extracted, and why not. entries have missing_files, an array."""
+    first = entries.groupBy("document_id").agg(F.min_by(F.struct("parse_quality_level", "output_dir", "missing_files"), "ord").alias("e"))
+    last = latest_decisions(log).select("document_id", F.col("review_decision").alias("d"), F.col("approved_for_extraction").alias("ok"))
+    joined = requested.join(first, "document_id", "left").join(last, "document_id", "left")
+    return joined.select("document_id", *eligibility_columns())
 
 
 def decide(entries: DataFrame, log: DataFrame, requests: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:

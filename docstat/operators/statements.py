@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docstat.functions import rules
-from docstat.operators.dedup import extraction_rank, keep_best, mapping_rank
+from docstat.operators.dedup import extraction_rank, first_discards, keep_best, mapping_rank
 
 
 def deduplicate_fields(fields: DataFrame) -> DataFrame:
@@ -75,6 +75,15 @@ def mapping_discards(fields: DataFrame) -> DataFrame:
     return found.withColumn("warning", F.when(F.col("n_discarded") > 0, F.concat(F.lit("discarded_candidates_count="), F.col("n_discarded").cast("string"))))
 
 
+#: What the mapping result says of a discarded candidate.
+DISCARDED = ["canonical_field_name", "raw_field_name", "raw_value", "table_id", "confidence", "mapping_reason"]
+
+
+def discard_examples(fields: DataFrame, n: int = 10) -> DataFrame:
+    """The first n candidates of each document that the mapping's de-duplication discards, in the order in which it does."""
+    return first_discards(fields, ["document_id", "canonical_field_name", "period_label", "source_pages"], mapping_rank(), DISCARDED, "document_id", n)
+
+
 def extract(documents: DataFrame, fields: DataFrame, override: bool = False) -> DataFrame:
     """Statements of the documents whose mode lets them through; the gate is joined before any other work."""
     passing = extraction_mode(documents, override).where(F.col("extraction_mode").isin("eligible", "dry_run_override")).select("document_id", "extraction_mode")

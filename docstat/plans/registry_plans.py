@@ -179,7 +179,8 @@ def ingest_results(spark: SparkSession, sf: str) -> DataFrame:
     files = known.where("has_summary").select(F.col("parse_task_id").alias("document_id"), text_of.alias("value"))
     read = json_tables.summaries(files).join(known.select(F.col("parse_task_id").alias("document_id"), "flag_counts"), "document_id")
     results = known.select("parse_task_id", F.concat(F.lit("/in/"), F.col("pdf_name")).alias("pdf_path"), "output_dir", F.create_map(F.lit("summary"), F.lit("/s.json")).alias("output_files"), "parse_status", "ord")
-    entries = registry.ingest(results, read, known.select("parse_task_id", "pages_count", "merged_md"), "2026-01-01T00:00:00Z")
+    probes = known.where("merged_md <> 'missing'").select(F.concat("output_dir", F.lit("/merged.md")).alias("path"), (F.col("merged_md") == "ok").alias("filled"))
+    entries = registry.ingest(results, read, known.select("parse_task_id", "pages_count"), probes, "2026-01-01T00:00:00Z")
     columns = ("parse_task_id", "document_id", "pdf_name", "parse_quality_level", "summary_path", "ord")
     old = entries.where("ord % 2 = 0").select(*columns).withColumn("parse_quality_level", F.lit("old"))
     return registry.upsert(old, entries.select(*columns))

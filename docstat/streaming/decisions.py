@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from docstat.operators.review import latest_decisions
+from docstat.sources.segments import Latest
 
 
-def follow(spark: SparkSession, log_path: str, schema: str, table_path: str, checkpoint: str):
-    """Start a query that appends each new batch's last decisions to the table at table_path.
+def follow(spark: SparkSession, log_path: str, into: Latest, checkpoint: str) -> StreamingQuery:
+    """Start a query that puts the last decisions, by ord, of the documents that a batch touches into the table.
 
-    A batch writes a folder of its own and nothing else, so its cost doesn't grow with the table, and one that is run again
-    replaces itself.
+    A batch writes a folder of its own and nothing else, so its cost doesn't grow with the table. A decision that comes late, after one with a higher ord, changes nothing.
     """
-
-    def put(batch: DataFrame, number: int) -> None:
-        latest_decisions(batch).select(*batch.columns).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
-
-    stream = spark.readStream.schema(schema).parquet(log_path)
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def current(spark: SparkSession, table_path: str) -> DataFrame:
-    """The decisions that hold: of each document the one of its last batch."""
-    table = spark.read.option("basePath", table_path).parquet(table_path)
-    at = F.struct("batch", "ord")
-    return table.groupBy("document_id").agg(F.max_by(F.struct(*[c for c in table.columns if c != "document_id"]), at).alias("d")).select("document_id", "d.*")
-
-
-def decision_rates(events: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Decisions per window and kind; rows later than the watermark are left out on a stream."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", every), "review_decision").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), "review_decision", "n")
+    rows = latest_decisions(spark.readStream.schema(StructType(into.fields)).parquet(log_path)).select(*into.columns)
+    return rows.writeStream.outputMode("update").foreachBatch(into.put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

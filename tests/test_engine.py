@@ -11,6 +11,7 @@ from docstat.functions import rules, text
 from docstat.operators import candidates, dedup, mapping, quality, registry, review, review_pack, roles, statements, tables
 from docstat.plans import catalogue, inputs
 from docstat.sources import inventory, json_tables, jsonl, parse_service, store
+from docstat.sources.segments import Latest
 from docstat.streaming import decisions
 
 
@@ -194,17 +195,18 @@ def test_files(spark, tmp_path):
 
 def test_store_and_stream(spark, tmp_path):
     schema = "document_id string, review_decision string, ord long"
-    table, log, checkpoint = (str(tmp_path / x) for x in "tlc")
+    log, checkpoint = (str(tmp_path / x) for x in "lc")
+    table = Latest(spark, str(tmp_path / "t"), "document_id", schema)
     spark.createDataFrame([("d1", "rejected", 0), ("d1", "ignored", 1), ("d2", "rejected", 2)], schema).write.parquet(log)
-    decisions.follow(spark, log, schema, table, checkpoint).awaitTermination()
-    spark.createDataFrame([("d2", "pending_review", 3)], schema).write.mode("append").parquet(log)
-    decisions.follow(spark, log, schema, table, checkpoint).awaitTermination()
-    assert sorted((r.document_id, r.review_decision) for r in decisions.current(spark, table).collect()) == [("d1", "ignored"), ("d2", "pending_review")]
+    decisions.follow(spark, log, table, checkpoint).awaitTermination()
+    spark.createDataFrame([("d2", "pending_review", 3), ("d1", "rejected", -1)], schema).write.mode("append").parquet(log)
+    decisions.follow(spark, log, table, checkpoint).awaitTermination()
+    assert sorted((r.document_id, r.review_decision) for r in table.read().collect()) == [("d1", "ignored"), ("d2", "pending_review")]
     whole = store.VersionedTable(spark, str(tmp_path / "v"), schema)
     assert whole.read().count() == 0
-    whole.append(decisions.current(spark, table).select("document_id", "review_decision", "ord"))
+    whole.replace(table.read())
     whole.append(spark.createDataFrame([("d3", "rejected", 0)], schema))
-    assert sorted((r.document_id, r.ord) for r in whole.read().collect()) == [("d1", 1), ("d2", 3), ("d3", 4)] and whole.version() == 2
+    assert sorted((r.document_id, r.ord) for r in whole.read().collect()) == [("d1", 1), ("d2", 3), ("d3", 4)] and whole.version() == 1 and whole.compact() == 2
     assert "| d1 |" in store.to_markdown(whole.read(), ["document_id"], "x")
 
 
