@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstat.llm.common import stage, text_or_empty
+from docstat.llm.common import join_hot, stage, text_or_empty
 
 LEAST_LINES, MOST_LINES = 2, 32
 ROLLED = 2
@@ -79,10 +79,10 @@ def _rows(with_bytes: bool):
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(h, keep): chunks, equal byte by byte, of several documents, and the smallest doc_id that has them."""
+    """(h, keep, n): chunks, equal byte by byte, of several documents, the smallest doc_id that has them, and how many rows do."""
     chunk_rows = docs.select("doc_id", "text").mapInArrow(_rows(True), "doc_id long, h binary, chunk binary")
-    texts = chunk_rows.groupBy("h", "chunk").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    return texts.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("low").alias("keep"), F.max("high").alias("high")).where("texts = 1 and high > keep").select("h", "keep")
+    texts = chunk_rows.groupBy("h", "chunk").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
+    return texts.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("low").alias("keep"), F.max("high").alias("high"), F.sum("n").alias("n")).where("texts = 1 and high > keep").select("h", "keep", "n")
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +113,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = rows.where("doc_id is not null")
     hashes = stage(repeated(known), "chunks")
-    own = known.select("doc_id", "text").mapInArrow(_rows(False), "doc_id long, h binary").join(hashes, "h").distinct()
+    places = stage(known.select("doc_id", "text").mapInArrow(_rows(False), "doc_id long, h binary"), "places")
+    own = join_hot(places, hashes, "h", places.count()).distinct()
     marks = own.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("h", "keep")).alias("marks"))
     return rows.join(marks, F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", "marks").mapInArrow(_remove, RESULT)
 

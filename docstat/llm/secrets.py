@@ -56,9 +56,10 @@ def ledger_at(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_unseen(seen_versions: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
-    """Ledger rows of the (blob, rule version) pairs that ledger lacks."""
-    known = ledger.where(F.col("rule_version") == rule_version).select("blob_id")
-    blobs = seen_versions.join(known.hint("merge"), "blob_id", "left_anti").select("blob_id", "text").dropDuplicates(["blob_id"])
+    """Ledger rows of the (blob, rule version) pairs that ledger lacks. Each task passes on one text a blob, so no blob's copies meet in one place, and the ledger is looked up for what is left."""
+    known = ledger.where(F.col("rule_version") == rule_version).select("blob_id").distinct().withColumn("known", F.lit(True))
+    # An anti join would be moved below the grouping, and the copies of a text with it.
+    blobs = seen_versions.groupBy("blob_id").agg(F.first("text").alias("text")).join(known.hint("merge"), "blob_id", "left").where("known is null")
     return blobs.select("blob_id", F.lit(rule_version).alias("rule_version"), findings(F.col("text")).alias("findings"))
 
 

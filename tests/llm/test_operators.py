@@ -250,6 +250,17 @@ def test_lines_equal_brute_force(spark):
     assert removed > 100
 
 
+def test_a_chunk_that_most_documents_have_is_not_brought_together(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW_ROWS", 50)
+    block = "\n".join(f"licence line {i}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"own {i}\n{block}\ntail {i}") for i in range(200)], SHORT).repartition(4)
+    got = {r.doc_id: r.n_removed_lines for r in lines.deduplicate(docs).collect()}
+    assert got[0] == 0 and all(got[i] >= 30 for i in range(1, 200))
+    places = lines.stage(docs.select("doc_id", "text").mapInArrow(lines._rows(False), "doc_id long, h binary"), "places")
+    joined = common.join_hot(places, lines.repeated(docs), "h", places.count())
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == sum(1 for _ in joined.collect())
+
+
 def test_line_chunks_equal_an_independent_chunker():
     rng = random.Random(12)
     for n in (0, 1, 2, 3, 40, 700):

@@ -85,6 +85,18 @@ def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     assert "abcdef1" not in str(secrets.ledger_at(spark, path).collect())
 
 
+def test_copies_of_a_blob_are_one_before_the_shuffle_in_every_instalment(spark, tmp_path):
+    rows = [(i, "token=hothot9 in very many rows" if i % 3 == 0 else f"own {i} secret: value{i}") for i in range(300)]
+    docs, path = spark.createDataFrame(rows, "doc_id long, text string").repartition(6), str(tmp_path / "ledger")
+    secrets.update_ledger(docs.where("doc_id < 100"), path)
+    unseen = secrets.scan_unseen(secrets.versions(docs), secrets.ledger_at(spark, path))
+    plan = unseen._jdf.queryExecution().executedPlan().toString()
+    exchanges = re.findall(r"Exchange hashpartitioning\(blob_id[^\n]*\n([^\n]*)", plan)
+    assert any("partial_first(text" in x for x in exchanges) and all("Aggregate(key" in x for x in exchanges), plan
+    found = secrets.find(docs, path)
+    assert sorted((r.doc_id, len(r.findings)) for r in found.collect()) == [(i, 1) for i in range(300)] and secrets.ledger_at(spark, path).count() == 201
+
+
 def test_contexts_discover_unseen_identifiers(spark):
     seeds = [(i, f"write to contact me: user{i}@site.example now") for i in range(12)]
     hidden = [(100, "please contact me: u9-at-site now"), (101, "see section b2 now")]
