@@ -79,6 +79,19 @@ def manifest_of(entries: DataFrame) -> DataFrame:
     return entries.select(*[have(c).alias(name) for name, c in MANIFEST])
 
 
+# The names under which a manifest may give its task and its table files, first come first.
+MANIFEST_KEYS = (
+    ("document_id", ("document_id",)), ("task_id", ("task_id", "parse_task_id")), ("pdf_name", ("pdf_name",)), ("tables_path", ("tables_json_path", "tables_json")),
+    ("merged_tables_path", ("merged_tables_json_path", "merged_tables_json")), ("quality_flags_path", ("quality_flags_path", "quality_flags_json")), ("pages_path", ("pages_jsonl_path", "pages_jsonl")),
+)
+
+
+def manifest_files(manifests: DataFrame) -> DataFrame:
+    """What normalisation reads of manifests, which name it in either of two ways: the first that is there and not empty, else an empty text."""
+    have = lambda names: [F.nullif(F.col(c), F.lit("")) for c in names if c in manifests.columns]
+    return manifests.select(*[F.coalesce(*have(names), F.lit("")).alias(name) for name, names in MANIFEST_KEYS])
+
+
 def ingest(results: DataFrame, summaries: DataFrame, files: DataFrame, probes: DataFrame, as_of: str) -> DataFrame:
     """Task results to assessed registry entries, ready for `upsert`.
 

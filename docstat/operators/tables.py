@@ -80,6 +80,34 @@ def cells(rows: DataFrame) -> DataFrame:
     return rows.select(*TABLE, "row_index", F.posexplode("cells").alias("col_index", "text")).withColumn("is_header", F.col("row_index") == 0)
 
 
+def canonical(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """One record a table, as the canonical contract has it: table_id, title, source, quality, cells, raw_text, raw_markdown, candidate_statement_type, from one grouping of its rows.
+
+    sources: (table, source_type, source_pages, and, where they are known, title, source_file, parser_source, table_group_id, continuation_confidence, table_intent_score, quality_flags). Parsers
+    tell no spans and no confidence of a cell: both are 1. A title counts for the statement type.
+    """
+    known = {c.lower() for c in sources.columns}
+    or_else = lambda c, kind, none: F.coalesce(F.col(c), F.lit(none)).cast(kind).alias(c) if c in known else F.lit(none).cast(kind).alias(c)
+    flags = F.coalesce("quality_flags", F.array()) if "quality_flags" in known else F.array()
+    made = tables(rows, none=F.lit(None).cast("string")).join(sources, list(TABLE))
+    one = lambda r, c, i: F.struct(
+        r["row_index"].alias("row_index"), i.alias("col_index"), c.alias("text"), text.strip(c).alias("normalized_text"), (r["row_index"] == 0).alias("is_header"),
+        F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), F.lit(1.0).alias("confidence"),
+    )
+    cell_list = F.flatten(F.transform("rows", lambda r: F.transform(r["cells"], lambda c, i: one(r, c, i))))
+    padded = F.transform("rows", lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r["cells"], F.array_repeat(F.lit(""), (F.col("col_count") - F.size(r["cells"])).cast("int"))), " | "), F.lit(" |")))
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("col_count").cast("int")), " | "), F.lit(" |"))
+    shown = F.array_join(F.concat(F.slice(padded, 1, 1), F.array(rule), F.slice(padded, 2, F.greatest(F.size("rows"), F.lit(1)))), "\n")
+    title = or_else("title", "string", "")
+    return made.select(
+        *TABLE, title,
+        F.struct(or_else("source_file", "string", ""), "source_pages", or_else("parser_source", "string", ""), or_else("table_group_id", "string", ""), "source_type").alias("source"),
+        F.struct("has_header", "row_count", "col_count", "empty_cell_ratio", "numeric_cell_ratio", or_else("continuation_confidence", "double", 0.0), or_else("table_intent_score", "double", 0.0), flags.alias("quality_flags")).alias("quality"),
+        cell_list.alias("cells"), "raw_text", F.when(F.col("col_count") > 0, shown).otherwise("").alias("raw_markdown"),
+        statement_type(F.concat_ws("\n", title, "raw_text")).alias("candidate_statement_type"),
+    )
+
+
 def rows_of(cell_rows: DataFrame) -> DataFrame:
     """Rows again from sparse cells: missing rows vanish, missing columns are empty."""
     grouped = cell_rows.groupBy(*TABLE, "row_index").agg(F.map_from_entries(F.collect_list(F.struct("col_index", "text"))).alias("m"), F.max("col_index").alias("w"))

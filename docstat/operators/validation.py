@@ -188,3 +188,33 @@ def readiness(tables: DataFrame) -> DataFrame:
         *[F.count_if(F.col("candidate_statement_type") == t).alias(f"n_{t}") for t in (*rules.CANDIDATE_TYPES, "unknown")],
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("source_pages")))).alias("source_pages"), F.array_sort(F.collect_set(grouped)).alias("table_group_ids"),
     )
+
+
+def readiness_reports(documents: DataFrame, tables: DataFrame, messages: DataFrame) -> DataFrame:
+    """(document_id, suffix, value) of a readiness report for each document, as text that its task renders: for document_files.write.
+
+    documents: (document_id, review_decision, eligible_for_extraction, reason, pages_count, total_pages); tables: as `readiness` reads them; messages: (document_id, warnings, errors) of messages.lists.
+    """
+    types, sources = (*rules.CANDIDATE_TYPES, "unknown"), ("page_table", "merged_cross_page_table")
+    counts = [F.count_if(F.col("source_type") == t).alias(f"source_{t}") for t in sources]
+    rows = documents.join(readiness(tables), "document_id", "left").join(tables.groupBy("document_id").agg(*counts), "document_id", "left").join(messages, "document_id", "left")
+    none = F.array().cast("array<string>")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    value = {
+        "document_id": F.col("document_id"), "current_review_decision": F.coalesce("review_decision", F.lit("pending_review")), "eligible_for_extraction": F.initcap(F.coalesce("eligible_for_extraction", F.lit(False)).cast("string")),
+        "eligibility_reason": F.coalesce("reason", F.lit("")),
+    }
+    sizes = {
+        "total_tables": number("total_tables"), "canonical_tables_count": number("total_tables"), "merged_cross_page_tables_count": number("merged_cross_page_tables_count"),
+        "source_pages_count": F.coalesce(F.size("source_pages"), F.lit(0)).cast("string"), "table_group_id_count": F.coalesce(F.size("table_group_ids"), F.lit(0)).cast("string"),
+        "pages_count": number("pages_count"), "summary_total_pages": F.coalesce(F.col("total_pages").cast("string"), F.lit("None")),
+    }
+    lines = lambda shown: [F.concat(F.lit(f"- `{k}`: `"), v, F.lit("`")) for k, v in shown.items()]
+    spread = lambda prefix, names: F.to_json(F.map_filter(F.create_map(*(x for n in names for x in (F.lit(n), F.coalesce(F.col(f"{prefix}{n}"), F.lit(0))))), lambda _, n: n > 0), {"pretty": "true"})
+    block = lambda name, value: [F.lit(""), F.lit(f"{name}:"), F.lit(""), F.lit("```json"), value, F.lit("```")]
+    parts = [
+        F.lit("# Financial Extraction Adapter Readiness Report"), F.lit(""), F.lit("## Document"), F.lit(""), *lines(value), F.lit(""), F.lit("## Table Normalization"), F.lit(""), *lines(sizes),
+        *block("Candidate statement type distribution", spread("n_", types)), *block("Source type distribution", spread("source_", sources)),
+        *block("Warnings", F.to_json(F.coalesce("warnings", none))), *block("Errors", F.to_json(F.coalesce("errors", none))), F.lit(""),
+    ]
+    return rows.select("document_id", F.lit("readiness.md").alias("suffix"), F.concat_ws("\n", *parts).alias("value"))

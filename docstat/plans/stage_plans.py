@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstat.functions import rules, text
-from docstat.operators import candidates, mapping, messages, normalize, quality, review, rule_tables, statements, validation
+from docstat.operators import candidates, mapping, messages, normalize, quality, registry, review, rule_tables, statements, tables, validation
 from docstat.plans import inputs
-from docstat.plans.inputs import DECISION_SQL, NORMALIZED_SQL, REGISTRY_SQL
-from docstat.plans.line_plans import ALIAS_HIT, APPROVED, CHAIN, ELIGIBILITY_SQL, FIELD, GATE_SQL, ORACLES as LINE_ORACLES, ROLE_LINES, WEAK, _alias_values, _fields, _gate, _tables, sql_key
+from docstat.plans.inputs import DECISION_SQL, REGISTRY_SQL, line_origins, line_rows
+from docstat.plans.line_plans import ALIAS_HIT, APPROVED, CHAIN, ELIGIBILITY_SQL, FIELD, GATE_SQL, ORACLES as LINE_ORACLES, ROLE_LINES, WEAK, _alias_values, _fields, _gate, _tables, sql_first, sql_key
 from docstat.plans.registry_plans import QUEUE
 from docstat.sources import store
 from docstat.streaming import gate
@@ -116,9 +116,42 @@ def roles_by_table(spark: SparkSession, sf: str) -> DataFrame:
     return rule_tables.first_matches(pages, spark.createDataFrame(patterns, "ord int, pattern string")).select("page_id", "ord")
 
 
+def canonical_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables as the records of the canonical contract."""
+    rows = line_rows(spark, sf)
+    sources = line_origins(rows.select(*tables.TABLE).distinct()).withColumn("title", F.when(F.col("table_ord") % 10 == 4, "Balance Sheet").otherwise(""))
+    made = tables.canonical(rows, sources)
+    cell = F.transform("cells", lambda c: F.concat_ws(":", c["row_index"], c["col_index"], c["is_header"], c["row_span"], c["col_span"], c["text"]))
+    return made.select("table_id", "title", "source.source_type", "source.table_group_id", "quality.row_count", "quality.continuation_confidence", F.size("cells").cast("long").alias("n_cells"), F.md5(F.array_join(cell, "|")).alias("cells_md5"), F.md5("raw_markdown").alias("markdown_md5"), "candidate_statement_type")
+
+
+def registry_by_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries by a path, whichever way its separators lean."""
+    path = F.concat(F.lit("C:/in/"), (F.col("ord") % 100).cast("string"), F.lit("/a.pdf"))
+    entries = inputs.registry(spark, sf).select("document_id", "ord", F.when(F.col("ord") % 2 == 0, F.translate(path, "/", "\\")).otherwise(path).alias("pdf_path"))
+    return registry.by_pdf_path(entries, r"C:\in/7\a.pdf").unionByName(registry.by_pdf_path(entries, "C:/in/8/a.pdf")).select("document_id", "pdf_path")
+
+
+def manifest_files(spark: SparkSession, sf: str) -> DataFrame:
+    """What normalisation reads of manifests that name their files in either way."""
+    key = F.col("o_orderkey")
+    named = lambda name, by: F.when(key % by == 0, F.concat(F.lit(f"/{name}/"), key.cast("string"))).otherwise("").alias(name)
+    orders = inputs.read(spark, sf, "orders").select(key.cast("string").alias("document_id"), named("task_id", 2), F.concat(F.lit("t"), key).alias("parse_task_id"), named("tables_json_path", 3), named("tables_json", 2), named("pages_jsonl", 5))
+    return registry.manifest_files(orders)
+
+
+def readiness_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """The readiness report of every document of the registry."""
+    known = quality.assess(inputs.registry(spark, sf))
+    eligible = review.eligibility(known.select("document_id"), known, inputs.decision_log(spark, sf))
+    documents = eligible.join(known.select("document_id", "pages_count", "total_pages"), "document_id")
+    said = messages.lists(messages.of_normalization(normalize.normalize(*inputs.parser_files(spark, sf))[2]))
+    return validation.readiness_reports(documents, _tables(spark, sf), said).select("document_id", F.md5("value").alias("report_md5"), F.length("value").alias("n_chars"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (eligibility_stream, decision_rates, extraction_messages, document_report, validation_suite, map_all_periods, discard_examples, map_fields_by_table, rule_matches, roles_by_table)
+    for f in (eligibility_stream, decision_rates, extraction_messages, document_report, validation_suite, map_all_periods, discard_examples, map_fields_by_table, rule_matches, roles_by_table, canonical_tables, registry_by_path, manifest_files, readiness_reports)
 }
 
 MAPPED = ", ".join(f"'{kind}'" for kind in rules.MAPPED_TYPES)
@@ -173,6 +206,28 @@ ALL_PERIODS = CHAIN[: CHAIN.index("f1 AS (")] + f"""fp AS (SELECT n.o, n.r, n.co
 f1 AS (SELECT rm.o, rm.kind, field, value_type, class_ord, rm.txt AS raw_field_name, rm.r, coalesce(fp.col, CASE value_type WHEN 'number' THEN num_col ELSE txt_col END, 1) AS vcol, 0 AS part, rm.r AS p1, rm.col AS p2, rule_ord AS p3, 'row_alias_match' AS how
   FROM rm LEFT JOIN fv USING (o, r) LEFT JOIN fp ON fp.o = rm.o AND fp.r = rm.r AND CASE value_type WHEN 'number' THEN fp.is_number ELSE fp.is_text END WHERE class_ord < 2 OR (any_number AND ({WEAK}))),
 """ + CHAIN[CHAIN.index("cm AS (") :].replace("part, p1, p2, p3)", "part, p1, p2, p3, vcol)")
+def _spread(names: str, prefix: str) -> str:
+    """A JSON object of the counts above 0, as Spark writes it with line breaks."""
+    kinds = names.split()
+    return "CASE WHEN " + " + ".join(f"{prefix}{n}" for n in kinds) + " = 0 THEN '{ }' ELSE '{' || chr(10) || concat_ws(',' || chr(10), " + ", ".join(f"CASE WHEN {prefix}{n} > 0 THEN '  \"{n}\" : ' || {prefix}{n} END" for n in kinds) + ") || chr(10) || '}' END"
+
+
+_TYPES = " ".join((*rules.CANDIDATE_TYPES, "unknown"))
+_BLOCK = "'', '{}:', '', '```json', {}, '```'"
+_LINE = "'- `{}`: `' || {} || '`'"
+READINESS = f"""{CHAIN}{GATE_SQL},
+dn AS (SELECT DISTINCT 'doc_' || (o // 8) AS document_id, o // 8 AS dno FROM l),
+rt AS (SELECT document_id, count(*) AS n, count(*) FILTER (source_type = 'page_table') AS source_page_table, count(*) FILTER (source_type = 'merged_cross_page_table') AS source_merged_cross_page_table, count(DISTINCT page) AS pages, count(DISTINCT table_group_id) FILTER (table_group_id <> '') AS groups,
+  {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _TYPES.split())} FROM t GROUP BY 1),
+rd AS (SELECT e.document_id, e.review_decision, len(why) = 0 AS ok, CASE WHEN len(why) = 0 THEN 'approved for extraction' ELSE array_to_string(why, '; ') END AS reason, coalesce(gate.pages_count, 0) AS pages_count, gate.total, dno,
+  {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n", "source_page_table", "source_merged_cross_page_table", "pages", "groups", *(f"n_{k}" for k in _TYPES.split())))}
+  FROM e JOIN gate USING (document_id) LEFT JOIN rt USING (document_id) LEFT JOIN dn USING (document_id)),
+rv AS (SELECT document_id, array_to_string(['# Financial Extraction Adapter Readiness Report', '', '## Document', '', {_LINE.format("document_id", "document_id")}, {_LINE.format("current_review_decision", "review_decision")}, {_LINE.format("eligible_for_extraction", "CASE WHEN ok THEN 'True' ELSE 'False' END")}, {_LINE.format("eligibility_reason", "reason")},
+  '', '## Table Normalization', '', {_LINE.format("total_tables", "n")}, {_LINE.format("canonical_tables_count", "n")}, {_LINE.format("merged_cross_page_tables_count", "source_merged_cross_page_table")}, {_LINE.format("source_pages_count", "pages")}, {_LINE.format("table_group_id_count", "groups")}, {_LINE.format("pages_count", "pages_count")}, {_LINE.format("summary_total_pages", "coalesce(CAST(total AS VARCHAR), 'None')")},
+  {_BLOCK.format("Candidate statement type distribution", _spread(_TYPES, "n_"))}, {_BLOCK.format("Source type distribution", _spread("page_table merged_cross_page_table", "source_"))},
+  {_BLOCK.format("Warnings", "CASE WHEN dno % 10 = 3 THEN '[" + chr(34) + "no canonical tables generated" + chr(34) + "]' ELSE '[]' END")},
+  {_BLOCK.format("Errors", "'[' || concat_ws(',', CASE WHEN dno % 10 = 3 THEN '" + chr(34) + "tables_json normalization failed: not valid JSON" + chr(34) + "' END, CASE WHEN dno % 14 = 4 THEN '" + chr(34) + "merged_tables_json normalization failed: not a list" + chr(34) + "' END) || ']'")}, ''], chr(10)) AS value FROM rd)
+SELECT document_id, md5(value) AS report_md5, CAST(length(value) AS INT) AS n_chars FROM rv"""
 MANY_RULES = f"""WITH rl AS (SELECT kind AS statement_type, field, value_type, rule_ord, class_ord, akey FROM {_alias_values()}
   UNION ALL SELECT (['balance_sheet', 'income_statement', 'cash_flow_statement', 'shareholder_table'])[p_partkey % 4 + 1], 'part_' || p_partkey, 'number', p_partkey + 100, p_partkey % 3, akey
   FROM (SELECT p_partkey, {sql_key("CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name[3:11] END")} AS akey FROM part) WHERE akey <> ''),
@@ -186,6 +241,14 @@ lost AS (SELECT document_id, ord AS arrival, CASE WHEN (alias_score, confidence)
 SELECT lost.document_id, CAST(row_number() OVER (PARTITION BY lost.document_id ORDER BY arrival) - 1 AS INT) AS place, field AS canonical_field_name, raw_field_name, raw_value, table_id, confidence, mapping_reason FROM lost JOIN f ON f.document_id = lost.document_id AND f.ord = gone""",
     "rule_matches": f"{MANY_RULES} SELECT statement_type, ckey AS key, first(field) AS field, first(value_type) AS value_type, CAST(rule_ord AS INT) AS rule_ord, CAST(min(class_ord) AS INT) AS class_ord FROM lb, rl WHERE ckey <> '' AND {ALIAS_HIT} GROUP BY statement_type, ckey, rule_ord",
     "roles_by_table": f"""SELECT page_id, CAST(CASE {" ".join(f"WHEN contains(key, '{''.join(p.lower().split())}') THEN {i}" for i, p in enumerate(p for _, _, ps in rules.ROLES for p in ps))} END AS INT) AS ord FROM (SELECT page_id, {sql_key(inputs.sql_named("url", "page_id"))} AS key FROM pages)""",
+    "canonical_tables": CHAIN
+    + f""", tt AS (SELECT *, CASE WHEN o % 10 = 4 THEN 'Balance Sheet' ELSE '' END AS title FROM t),
+cl AS (SELECT o, count(*) AS n_cells, md5(string_agg(concat_ws(':', r, col, r = 0, 1, 1, txt), '|' ORDER BY r, col)) AS cells_md5 FROM c GROUP BY 1),
+md AS (SELECT o, md5(string_agg('| ' || array_to_string(cells, ' | ') || ' |' || CASE r.r WHEN 0 THEN chr(10) || '| --- | --- | --- | --- |' ELSE '' END, chr(10) ORDER BY r.r)) AS markdown_md5 FROM r GROUP BY 1)
+SELECT table_id, title, source_type, table_group_id, row_count, continuation_confidence::DOUBLE AS continuation_confidence, n_cells, cells_md5, markdown_md5, {sql_first("lower(title || chr(10) || raw_text)", rules.STATEMENT_KEYWORDS)} AS candidate_statement_type FROM tt JOIN cl USING (o) JOIN md USING (o)""",
+    "registry_by_path": "SELECT 'doc_' || o_orderkey AS document_id, CASE WHEN o_orderkey % 2 = 0 THEN replace(p, '/', chr(92)) ELSE p END AS pdf_path FROM (SELECT o_orderkey, 'C:/in/' || (o_orderkey % 100) || '/a.pdf' AS p FROM orders) WHERE o_orderkey % 100 IN (7, 8)",
+    "manifest_files": "SELECT CAST(k AS VARCHAR) AS document_id, CASE WHEN k % 2 = 0 THEN '/task_id/' || k ELSE 't' || k END AS task_id, '' AS pdf_name, CASE WHEN k % 3 = 0 THEN '/tables_json_path/' || k WHEN k % 2 = 0 THEN '/tables_json/' || k ELSE '' END AS tables_path, '' AS merged_tables_path, '' AS quality_flags_path, CASE WHEN k % 5 = 0 THEN '/pages_jsonl/' || k ELSE '' END AS pages_path FROM (SELECT o_orderkey AS k FROM orders)",
+    "readiness_reports": READINESS,
     "eligibility_stream": f"""{QUEUE}, want AS (SELECT document_id FROM reg UNION SELECT document_id FROM last), {ELIGIBILITY_SQL}
 SELECT e.document_id, len(why) = 0 AS eligible_for_extraction, CASE WHEN len(why) = 0 THEN 'approved for extraction' ELSE array_to_string(why, '; ') END AS reason, e.level AS parse_quality_level, e.review_decision,
   len(missing) = 0 AS required_files_present, e.{APPROVED} AS approved_for_extraction, NOT e.{APPROVED} AS requires_manual_check, review_status, review_reasons FROM e LEFT JOIN queue USING (document_id)""",

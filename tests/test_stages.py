@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docstat.functions import rules, text
-from docstat.operators import incremental, mapping, messages, quality, registry, review, rule_tables, statements, validation
+from docstat.operators import incremental, mapping, messages, quality, registry, review, rule_tables, statements, tables, validation
 from docstat.plans import catalogue, inputs, stage_plans
 from docstat.sources import document_files, file_probe, json_tables, parse_service, rule_file, store
 from docstat.sources.segments import Latest, finished
@@ -370,6 +370,17 @@ def test_first_discards_against_plain_python(spark):
     assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_canonical_records(spark):
+    rows = spark.createDataFrame([("d", "t", 0, 0, [" a ", "b"]), ("d", "t", 0, 1, ["1"]), ("d", "u", 1, 0, [])], "document_id string, table_id string, table_ord long, row_index int, cells array<string>")
+    sources = spark.createDataFrame([("d", "t", 0, "page_table", [3], "Cash Flow", [["f"]]), ("d", "u", 1, "page_table", [], None, None)], "document_id string, table_id string, table_ord long, source_type string, source_pages array<int>, title string, quality_flags array<array<string>>")
+    got = {r.table_id: r.asDict(True) for r in tables.canonical(rows, sources).collect()}
+    t = got["t"]
+    assert t["title"] == "Cash Flow" and t["candidate_statement_type"] == "cash_flow_statement" and t["raw_markdown"] == "|  a  | b |\n| --- | --- |\n| 1 |  |"
+    assert t["source"] == {"source_file": "", "source_pages": [3], "parser_source": "", "table_group_id": "", "source_type": "page_table"} and t["quality"]["quality_flags"] == [["f"]]
+    assert t["cells"][0] == {"row_index": 0, "col_index": 0, "text": " a ", "normalized_text": "a", "is_header": True, "row_span": 1, "col_span": 1, "confidence": 1.0} and len(t["cells"]) == 3
+    assert got["u"]["cells"] == [] and got["u"]["title"] == "" and got["u"]["raw_markdown"] == "" and got["u"]["quality"]["quality_flags"] == []
+
+
 def test_scratch_tables_go_with_the_application(spark):
     assert store.folder(spark, "x").startswith(f"{spark.conf.get('spark.checkpoint.dir', store.LOCAL_SHARED)}/docstat-tables-{spark.sparkContext.applicationId}/x-")
     path = store.written(spark.range(3), "gone").inputFiles()[0]
@@ -379,7 +390,7 @@ def test_scratch_tables_go_with_the_application(spark):
     assert not os.path.exists(root)
 
 
-@pytest.mark.parametrize("name", sorted(stage_plans.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(stage_plans.QUERIES) - {"document_report", "map_fields_by_table"}))  # covered by validation_suite and by the rules' own test
 def test_stage_queries_equal_their_sql(spark, sf, name):
     db = duckdb.connect()
     for table in ("orders", "lineitem", "events", "pages", "conversations", "part", "documents"):
