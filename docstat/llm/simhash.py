@@ -18,8 +18,8 @@ input, and no pair of a shard is lost.
 of five-word shingles have a cosine similarity, which is what SimHash estimates, of at least 0.8. No choice of blocks is certain for that, so hits only
 propose: SimHash hits (256 bits, TABLES random choices of bits
 as shards) and texts that share one of BANDS groups of ROWS minimal hashes make candidate clusters, and in a cluster the shingle sets themselves decide. A cluster is compared in blocks of
-about BLOCK texts: each block with itself and a few anchors, then what isn't in the cluster's largest part with
-every block.
+about BLOCK texts: each block with itself and a few anchors. Texts of a cluster that are in several parts then are compared where they share a band, of which a similar pair
+has one, in blocks again; so a cluster that is a long chain of unlike texts costs its bands, not its square.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; text under a
 shingle's words is one shingle; a null doc_id is never a component's name unless all are null; rows that share a
@@ -300,10 +300,10 @@ def link(rows: DataFrame, setting: Setting) -> DataFrame:
     return rows.select("shard", "block", "probe", "fp").repartition("shard", "block").sortWithinPartitions("shard", "block", "probe", "fp").mapInArrow(run, "a binary, b binary")
 
 
-def stars(shards: DataFrame) -> DataFrame:
-    """(a, b): each fingerprint of a shard and the shard's smallest one."""
-    low = shards.groupBy("shard").agg(F.min("fp").alias("b"), F.max("fp").alias("high")).where("b <> high").select("shard", "b")
-    return shards.join(low, "shard").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+def stars(shards: DataFrame, total: int) -> DataFrame:
+    """(a, b): each fingerprint of a shard and the shard's smallest one; total: rows of shards."""
+    low = shards.groupBy("shard").agg(F.min("fp").alias("b"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("n")).where("b <> high")
+    return join_hot(shards, stage(low.select("shard", "b", "n"), "lowest"), "shard", total).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
 def shingle_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
@@ -369,30 +369,47 @@ def compare(rows: DataFrame, inside: bool) -> DataFrame:
     return rows.select(*columns).repartition("cluster", "block").sortWithinPartitions("cluster", "block", "probe", "key").mapInArrow(run, "a long, b long")
 
 
+def sharing(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """(cluster, block, probe, key, part) of texts of different parts that share a band, each band a cluster of its own in blocks of about BLOCK texts.
+
+    parts: (key, part). Bands whose texts are all in one part are left out. In a band, texts outside its largest part also visit the blocks other than their own.
+    """
+    members = rows.select("key", F.explode("bands").alias("band")).distinct().join(parts, "key")
+    members = stage(members, "open-bands")
+    each = members.groupBy("band", "part").agg(F.count(F.lit(1)).alias("m"))
+    bands_ = each.groupBy("band").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    bands_ = stage(bands_.select("band", "main", "n", F.col("n").alias("size")), "mixed-bands")
+    dealt = join_hot(members, bands_, "band", members.count()).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    dealt = dealt.withColumns({"home": F.pmod(F.xxhash64("key"), "blocks"), "cluster": F.col("band")})
+    own = dealt.select("cluster", F.col("home").alias("block"), F.lit(False).alias("probe"), "key", "part")
+    visits = dealt.where("part <> main and blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("block <> home")
+    return own.unionByName(visits.select("cluster", "block", F.lit(True).alias("probe"), "key", "part"))
+
+
 def verified(docs: DataFrame, rows: DataFrame, clusters: DataFrame, words: int) -> DataFrame:
     """(a, b): links between keys that connect just the texts of each cluster that chains of similar ones connect.
 
-    clusters: (fp, cluster) of fingerprints that have links; the others are clusters of their own.
+    clusters: (fp, cluster) of fingerprints that have links; the others are clusters of their own. What the first pass leaves in several parts is compared where a band is shared, not throughout the cluster.
     """
-    members = rows.select("key", "fp").distinct().join(clusters, "fp", "left").select("key", F.coalesce("cluster", "fp").alias("cluster"))
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = members.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
+    members = stage(rows.select("key", "fp").distinct().join(clusters, "fp", "left").select("key", F.coalesce("cluster", "fp").alias("cluster")), "clustered")
+    sizes = stage(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("size", F.col("n")), "sizes")
+    dealt = join_hot(members, sizes, "cluster", members.count()).withColumnRenamed("size", "n")
+    dealt = dealt.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
     sets = shingle_sets(docs, dealt, words)
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     own = sets.withColumn("probe", F.lit(False))
     anchors = sets.where((F.col("blocks") > 1) & (F.pmod(F.hash("key"), F.ceil(F.col("n") / ANCHORS)) == 0)).withColumn("home", F.col("block"))
     anchors = anchors.withColumns({"block": everywhere, "probe": F.lit(True)}).where("block <> home").drop("home")
     links = stage(compare(own.unionByName(anchors).withColumn("part", F.col("key")), True), "verified")
-    wide_sets = sets.where("blocks > 1")
+    wide_sets = sets.where("blocks > 1").select("key", "cluster")
     if wide_sets.isEmpty():
         return links
-    narrow = wide_sets.select("key", "cluster")
     roots = components(links).select(F.col("node").alias("key"), "root")
-    parts = stage(narrow.join(roots, "key", "left").select("key", "cluster", F.coalesce("root", "key").alias("part")), "parts")
-    main = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("cluster").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = wide_sets.join(parts.select("key", "part"), "key").join(main, "cluster")
-    probes = open_.where("part <> main").withColumn("home", F.col("block")).withColumns({"block": everywhere, "probe": F.lit(True)}).where("block <> home").drop("home")
-    return links.unionByName(stage(compare(open_.withColumn("probe", F.lit(False)).unionByName(probes), False), "verified"))
+    parts = stage(wide_sets.join(roots, "key", "left").select("key", "cluster", F.coalesce("root", "key").alias("part")), "parts")
+    several = parts.groupBy("cluster").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    open_ = join_hot(parts, stage(several.select("cluster", "n"), "open"), "cluster", parts.count()).select("key", "part")
+    pairs = sharing(rows, open_).join(sets.select("key", "shingles"), "key")
+    return links.unionByName(stage(compare(pairs, True), "verified"))
 
 
 def over(shards: DataFrame, tag: str) -> DataFrame:
@@ -400,7 +417,7 @@ def over(shards: DataFrame, tag: str) -> DataFrame:
     return stage(shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_NODES), tag)
 
 
-def _candidates(rows: DataFrame, nodes: DataFrame, setting: Setting) -> DataFrame:
+def _candidates(rows: DataFrame, nodes: DataFrame, setting: Setting, total: int) -> DataFrame:
     shards = deal(nodes, setting)
     large = over(shards, "large-shards")
     if setting.again and not large.isEmpty():
@@ -409,7 +426,7 @@ def _candidates(rows: DataFrame, nodes: DataFrame, setting: Setting) -> DataFram
         large = over(parts, "large-parts")
     edges = link(in_blocks(shards, large), setting)
     if setting.exact:
-        edges = edges.unionByName(stars(rows.select(F.explode("bands").alias("shard"), "fp")))
+        edges = edges.unionByName(stars(rows.select(F.explode("bands").alias("shard"), "fp"), BANDS * total))
     return stage(edges, "links")
 
 
@@ -420,7 +437,7 @@ def near_components(docs: DataFrame, setting: Setting | None = None) -> DataFram
     total = rows.count()
     counted = (F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     nodes = stage(rows.groupBy("fp").agg(*counted), "nodes")
-    edges = _candidates(rows, nodes, setting)
+    edges = _candidates(rows, nodes, setting, total)
     found = components(edges)
     drop_staged(edges)
     name = "fp"

@@ -149,6 +149,29 @@ def test_wide_links_by_shingle_similarity(spark, monkeypatch, change):
     assert {r.doc_id: r.component_id for r in found.collect()} == want
 
 
+def test_a_long_chain_of_unlike_texts_costs_in_proportion(spark, monkeypatch):
+    """Windows that slide over one text: each is a candidate of the next ones, few are similar, all are one cluster."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "ANCHORS", 2)
+    rng, compared, plain = random.Random(8), [], simhash.compare
+
+    def counted(rows, inside):
+        rows = simhash.stage(rows, "counted")
+        compared.append(rows.count())
+        return plain(rows, inside)
+
+    monkeypatch.setattr(simhash, "compare", counted)
+    sizes = {}
+    for n in (250, 1000):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(25 * n + 100)]
+        rows = [(i, " ".join(words[25 * i : 25 * i + 100])) for i in range(n)]
+        compared.clear()
+        found = simhash.near_components(spark.createDataFrame(rows, SHORT).repartition(4), simhash.wide())
+        assert {r.doc_id: r.component_id for r in found.collect()} == {i: i for i in range(n)}
+        sizes[n] = sum(compared)
+    assert sizes[1000] < 5 * sizes[250] and len(compared) == 2, sizes
+
+
 def test_equal_fingerprints_of_unlike_texts_stay_apart(spark):
     rows = [(i, "one two three four five " * 40 + " ".join(f"own{i}x{j}" for j in range(30))) for i in range(4)]
     assert {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, SHORT)).collect()} == set(range(4))
