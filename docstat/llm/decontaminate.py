@@ -29,7 +29,8 @@ from docstat.llm.common import delete, free_name, recorded, stage
 from docstat.llm.terms import SQL_TERMS, terms_of
 
 WINDOW = 10
-BLOCK_WORDS = 1_000_000
+#: A block's tables take about 300 bytes a word in each Python worker.
+BLOCK_WORDS = 250_000
 #: Windows that start in one segment of a long item.
 SEGMENT = 4096
 #: Windows of a document looked at together.

@@ -155,7 +155,8 @@ class Items:
 
     def __init__(self, names: list[int | None], terms: list[set[bytes]], df: dict[bytes, int], n_docs: int, n_terms: int):
         self.names, self.n_docs, self.n_terms = names, n_docs, n_terms
-        vocabulary = sorted(t for t in df if any(t in own for own in terms))
+        wanted = set().union(*terms)
+        vocabulary = sorted(t for t in df if t in wanted)
         number = {t: i for i, t in enumerate(vocabulary)}
         self.weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) for t in vocabulary}
         self.terms = [sorted(t for t in own if t in number and self.weight[t]) for own in terms]

@@ -18,8 +18,8 @@ input, and no pair of a shard is lost.
 of five-word shingles have a cosine similarity, which is what SimHash estimates, of at least 0.8. No choice of blocks is certain for that, so hits only
 propose: SimHash hits (256 bits, TABLES random choices of bits
 as shards) and texts that share one of BANDS groups of ROWS minimal hashes make candidate clusters, and in a cluster the shingle sets themselves decide. A cluster is compared in blocks of
-about BLOCK texts: each block with itself and a few anchors. Texts of a cluster that are in several parts then are compared where they share a band, of which a similar pair
-has one, in blocks again; so a cluster that is a long chain of unlike texts costs its bands, not its square.
+about BLOCK texts: each block with itself and a few anchors. Then texts that aren't in the cluster's largest part visit every block, if they are few; if they are many, the cluster's texts are compared
+where they share a band, of which a similar pair has one, in blocks again. So a cluster that is a long chain of unlike texts costs its bands, not its square.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; text under a
 shingle's words is one shingle; a null doc_id is never a component's name unless all are null; rows that share a
@@ -389,7 +389,8 @@ def sharing(rows: DataFrame, parts: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, rows: DataFrame, clusters: DataFrame, words: int) -> DataFrame:
     """(a, b): links between keys that connect just the texts of each cluster that chains of similar ones connect.
 
-    clusters: (fp, cluster) of fingerprints that have links; the others are clusters of their own. What the first pass leaves in several parts is compared where a band is shared, not throughout the cluster.
+    clusters: (fp, cluster) of fingerprints that have links; the others are clusters of their own. What the first pass leaves in several parts is compared in full while the texts outside
+    the largest part, each of which visits all blocks, cost no more than BANDS copies of the cluster; beyond that, where a band is shared.
     """
     members = stage(rows.select("key", "fp").distinct().join(clusters, "fp", "left").select("key", F.coalesce("cluster", "fp").alias("cluster")), "clustered")
     sizes = stage(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("size", F.col("n")), "sizes")
@@ -406,10 +407,16 @@ def verified(docs: DataFrame, rows: DataFrame, clusters: DataFrame, words: int)
         return links
     roots = components(links).select(F.col("node").alias("key"), "root")
     parts = stage(wide_sets.join(roots, "key", "left").select("key", "cluster", F.coalesce("root", "key").alias("part")), "parts")
-    several = parts.groupBy("cluster").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    open_ = join_hot(parts, stage(several.select("cluster", "n"), "open"), "cluster", parts.count()).select("key", "part")
-    pairs = sharing(rows, open_).join(sets.select("key", "shingles"), "key")
-    return links.unionByName(stage(compare(pairs, True), "verified"))
+    sized = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("cluster")
+    several = sized.agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.sum("m").alias("n"), F.max("m").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    several = stage(several.select("cluster", "main", "n", (F.col("n") - F.col("most")).alias("apart")), "open")
+    open_ = stage(join_hot(parts, several, "cluster", parts.count()), "open-parts")
+    few = F.col("apart") <= BANDS * BLOCK
+    near = open_.where(few).join(sets.drop("cluster"), "key").withColumn("probe", F.lit(False))
+    visits = near.where("part <> main").withColumn("home", F.col("block")).withColumns({"block": everywhere, "probe": F.lit(True)}).where("block <> home").drop("home")
+    links = links.unionByName(stage(compare(near.unionByName(visits), False), "verified"))
+    far = open_.where(~few).select("key", "part")
+    return links if far.isEmpty() else links.unionByName(stage(compare(sharing(rows, far).join(sets.select("key", "shingles"), "key"), True), "verified"))
 
 
 def over(shards: DataFrame, tag: str) -> DataFrame:

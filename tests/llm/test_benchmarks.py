@@ -64,7 +64,7 @@ def plain_hits(text, benchmark):
     return len(words), len(hit), found
 
 
-@pytest.mark.parametrize("block_words, segment", [(1_000_000, 4096), (9, 3)])
+@pytest.mark.parametrize("block_words, segment", [(250_000, 4096), (9, 3)])
 def test_contaminated_words_are_those_of_a_plain_search(monkeypatch, corpus, items, block_words, segment):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
     monkeypatch.setattr(decontaminate, "SEGMENT", segment)
