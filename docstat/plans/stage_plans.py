@@ -33,10 +33,14 @@ def decision_rates(spark: SparkSession, sf: str) -> DataFrame:
     return gate.rates(inputs.decision_log(spark, sf))
 
 
+#: What messages and report read of a field candidate.
+COUNTED = ("document_id", "ord", "candidate_statement_type", "canonical_field_name", "period_label", "source_pages", "table_group_id", "mapping_reason", "confidence", "unit", "requires_review")
+
+
 def _stages(spark, sf):
     """(gate, normalisation messages, candidates without table, field candidates) of the line items' documents; candidates of every ninth table name one that is gone."""
-    made = store.written(_tables(spark, sf), "tables")
-    fields = store.written(mapping.map_fields(made), "fields")
+    made = store.written(line_origins(tables.tables(line_rows(spark, sf))).drop("raw_text"), "tables")  # no rows: the fields come from the lines, whose shuffle is smaller than the tables
+    fields = store.written(_fields(spark, sf).select(*COUNTED), "fields")
     found = normalize.normalize(*inputs.parser_files(spark, sf))[2]
     selected = candidates.select_candidates(made)
     old = selected.where("table_ord % 9 = 0").withColumn("table_id", F.concat("table_id", F.lit("_old")))

@@ -399,3 +399,12 @@ def test_stage_queries_equal_their_sql(spark, sf, name):
     assert sorted(got.columns) == sorted(want.columns)
     shown = lambda rows, names: sorted(repr([v for _, v in sorted(zip(names, r))]) for r in rows)
     assert shown(got.collect(), got.columns) == shown(want.fetchall(), want.columns)
+
+
+def test_stages_write_no_table_rows(spark, sf, monkeypatch):
+    """What is written of tables and fields is what messages and report read."""
+    kept = {}
+    monkeypatch.setattr(store, "written", lambda frame, tag: kept.setdefault(tag, frame))
+    stage_plans._stages(spark, sf)
+    assert not {"rows", "raw_text", "head_periods"} & set(kept["tables"].columns)
+    assert set(kept["fields"].columns) == set(stage_plans.COUNTED)
