@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docstat.functions import rules, text
 from docstat.operators import incremental, mapping, messages, quality, registry, review, rule_tables, statements, tables, validation
-from docstat.plans import catalogue, inputs, stage_plans
+from docstat.plans import catalogue, inputs, line_plans, stage_plans
 from docstat.sources import document_files, file_probe, json_tables, parse_service, rule_file, store
 from docstat.sources.segments import Latest, finished
 from docstat.streaming import gate
@@ -408,3 +408,13 @@ def test_stages_write_no_table_rows(spark, sf, monkeypatch):
     stage_plans._stages(spark, sf)
     assert not {"rows", "raw_text", "head_periods"} & set(kept["tables"].columns)
     assert set(kept["fields"].columns) == set(stage_plans.COUNTED)
+
+
+def test_only_lines_of_documents_that_pass_the_gate_are_mapped(spark, sf, monkeypatch):
+    seen = []
+    map_fields = mapping.map_fields
+    monkeypatch.setattr(mapping, "map_fields", lambda made, *a, **k: seen.append(made) or map_fields(made, *a, **k))
+    line_plans.gated_extraction(spark, sf)
+    through = {r[0] for r in statements.passing(line_plans._gate(spark, sf)).select("document_id").collect()}
+    mapped = {r[0] for r in seen[0].select("document_id").distinct().collect()}
+    assert mapped and mapped <= through
