@@ -335,3 +335,14 @@ def test_usual_numbers_and_ends(spark):
     assert [str(r.n) if r.n != r.n else r.n for r in got] == want
     assert [r.s for r in got] == [raw if raw is None else raw.strip() for raw in raws]
     assert [r.b for r in got] == [raw if raw is None else raw.strip() == "" for raw in raws]
+
+
+def test_cell_facts_units_and_types_are_worked_out_once(spark, sf):
+    odd = ["", None, " ", "-", "—", "(1,234.5%)", "（12）", "nan", "1e5", "12%)", "１２", "现金", "12\n", "　", "a1"]
+    raw = spark.createDataFrame([(x,) for x in odd], "raw string").select("raw", text.cell_facts(F.col("raw")).alias("f"))
+    got = raw.select("f.*", text.parse_number(F.col("raw")).alias("n"), text.is_numeric_like(F.col("raw")).alias("l"), text.is_blank(F.col("raw")).alias("b")).collect()
+    assert [str(tuple(r)[:3]) for r in got] == [str((r.n, r.l, r.b)) for r in got]
+    spread = spark.createDataFrame([("单位：万 　元 R m\nB",), ("HKD Mil lion",)], "x string")
+    assert [tuple(r) for r in spread.select(text.unit_of(F.col("x")), text.currency_of(F.col("x"))).collect()] == [("ten_thousand", "CNY"), ("million", "HKD")]
+    fields = mapping.map_fields(inputs.line_origins(mapping.table_rows(inputs.line_rows(spark, sf))))
+    assert fields._jdf.queryExecution().optimizedPlan().toString().count("资产负债表|") == 1
