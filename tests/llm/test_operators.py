@@ -187,6 +187,21 @@ def test_components_of_paths_and_stars(spark, monkeypatch, few):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("held", [500_000, 50])
+def test_edges_of_a_group_are_thinned_out_before_they_are_joined(spark, monkeypatch, held):
+    """A group of 400 near copies under 39 bands has 39 edges a node; a few nodes at a time leave more edges, but the same components."""
+    monkeypatch.setattr(components, "MOST_HELD", held)
+    made = {}
+    monkeypatch.setattr(components, "stage", lambda frame, tag: made.setdefault(tag, common.stage(frame, tag)) if tag == "edges" and not made else common.stage(frame, tag))
+    monkeypatch.setattr(components, "drop_staged", lambda frame: None)
+    edges = [(bytes([1, n // 256, n % 256]), bytes([0, 0, band])) for n in range(400) for band in range(39)] + [(b"\x03", b"\x02"), (b"\x02", b"\x03"), (b"\x04", b"\x04"), (None, b"\x05")]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a binary, b binary").repartition(3)).collect()}
+    low = bytes([0, 0, 0])
+    assert got == {n: low for pair in edges[:-4] for n in pair} | {b"\x03": b"\x02", b"\x02": b"\x02"}
+    if held > 50:
+        assert made["edges"].count() < 2 * 400  # of 15,601 before
+
+
 def without_repeats(rows, k=13):
     first = {}
     for i, t in rows:
