@@ -39,7 +39,7 @@ COUNTED = ("document_id", "ord", "candidate_statement_type", "canonical_field_na
 
 def _stages(spark, sf):
     """(gate, normalisation messages, candidates without table, field candidates) of the line items' documents; candidates of every ninth table name one that is gone."""
-    made = store.written(line_origins(tables.tables(line_rows(spark, sf))).drop("raw_text"), "tables")  # no rows: the fields come from the lines, whose shuffle is smaller than the tables
+    made = store.written(line_origins(tables.tables(line_rows(spark, sf))).drop("raw_text", "word_text"), "tables")  # no rows: the fields come from the lines, whose shuffle is smaller than the tables
     fields = store.written(_fields(spark, sf).select(*COUNTED), "fields")
     found = normalize.normalize(*inputs.parser_files(spark, sf))[2]
     selected = candidates.select_candidates(made)

@@ -346,3 +346,44 @@ def test_cell_facts_units_and_types_are_worked_out_once(spark, sf):
     assert [tuple(r) for r in spread.select(text.unit_of(F.col("x")), text.currency_of(F.col("x"))).collect()] == [("ten_thousand", "CNY"), ("million", "HKD")]
     fields = mapping.map_fields(inputs.line_origins(mapping.table_rows(inputs.line_rows(spark, sf))))
     assert fields._jdf.queryExecution().optimizedPlan().toString().count("资产负债表|") == 1
+
+
+def test_rows_of_any_width_against_plain_python(spark):
+    """Few cells are worked out one by one, more by lambda functions; both give the same."""
+    rng = random.Random(2)
+    lists = [[rng.choice(["", "1", "a", None]) for _ in range(n)] for n in range(text.UNROLLED + 4) for _ in range(3)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<string>").withColumn("up", F.transform("x", F.upper))
+    one_ = lambda c: F.coalesce(c == "1", F.lit(False))
+    first, last = text.places_of(F.col("x"), one_, 1)
+    joined = text.join_each(F.col("x"), lambda c, u: F.concat(c, u), F.col("up"), "|")
+    got = rows.select("i", text.each(F.col("x"), lambda c: F.concat(c, F.lit("!"))).alias("e"), text.count_of(F.col("x"), one_).alias("n"), first.alias("f"), last.alias("l"), joined.alias("j")).orderBy("i").collect()
+    for r, x in zip(got, lists):
+        at = [i for i, c in enumerate(x) if c == "1" and i]
+        assert r.e == [c and c + "!" if c is None or c else "!" for c in x] and r.n == x.count("1")
+        assert (r.f, r.l) == ((at[0], at[-1]) if at else (None, None)) and r.j == "|".join(c + c.upper() for c in x if c is not None)
+
+
+def test_wide_tables_map_as_narrow_ones(spark):
+    """Empty cells at the end change no field."""
+    table = [["利润表", "本期", "上期"], ["单位：元", "2024", ""], ["附注", "", ""], ["营业收入", "100", "90"], ["其中：营业收入", "", "7"], ["收入 经营", "5", "6"], ["x", "净利润", "8"]]
+    for periods in (False, True):
+        got = []
+        for more in (0, text.UNROLLED):
+            rows, made = from_json(spark, [{"page_number": 1, "tables": [[r + [""] * more for r in table]]}])
+            found = mapping.map_fields(made, all_periods=periods).orderBy("ord").collect()
+            got.append([(r.field_id, r.raw_field_name, r.raw_value, r.normalized_value, r.period_label, r.mapping_reason, r.unit) for r in found])
+        assert got[0] == got[1] and len(got[0]) >= 4
+
+
+def test_rules_are_not_interpreted_row_by_row(spark, sf):
+    """Spark interprets lambda functions and all they read: rows are no longer mapped inside one."""
+    plan = catalogue.QUERIES["discard_log"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(rows" not in plan
+
+
+def test_more_rules_than_are_written_out(spark, monkeypatch):
+    rows, made = from_json(spark, [{"page_number": 1, "tables": [[["利润表", "本期"], ["单位：元", "2024"], ["附注", ""], ["营业收入", "100"], ["归属于上市公司股东的净利润", "9"], ["营业 收益", "3"]]]}])
+    shown = lambda: [tuple(r) for r in mapping.map_fields(made).select("field_id", "mapping_reason", "raw_value").orderBy("ord").collect()]
+    few = shown()
+    monkeypatch.setattr(mapping, "WRITTEN_OUT", 0)
+    assert shown() == few and len(few) == 4
