@@ -35,6 +35,11 @@ def continuation(fields: DataFrame, groups: DataFrame) -> DataFrame:
 
 def field_items(fields: DataFrame) -> DataFrame:
     """Items of the fields that give a reason. fields have continuation, source_type and pdf_name."""
+    return judged(fields).where("reason <> ''")
+
+
+def judged(fields: DataFrame) -> DataFrame:
+    """All fields as items; those that need no review have no reason."""
     group = F.coalesce("table_group_id", F.lit(""))
     cross = (F.col("source_type") == "merged_cross_page_table") | ((group != "") & (F.col("continuation") < rules.CROSS_PAGE_BELOW))
     broken = text.looks_broken(F.col("raw_value"), F.col("normalized_value"))
@@ -50,7 +55,7 @@ def field_items(fields: DataFrame) -> DataFrame:
         )
     )
     kind = F.when(cross | (broken & (group != "")), "cross_page_numeric_check").otherwise("field_mapping_semantic_check")
-    return fields.where(F.size(parts) > 0).withColumns(
+    return fields.withColumns(
         {
             "review_type": kind,
             "reason": F.array_join(parts, "; "),
@@ -117,16 +122,15 @@ def three_statement_counts(candidates: DataFrame) -> DataFrame:
 def numbered(items: DataFrame) -> DataFrame:
     """review_item_id over the whole pack, documents in order of their id. The pack has at most PACK_LIMIT rows a document.
 
-    Documents are dealt into ranges, whose totals, one row a range, are all that one task adds up; each range counts on from there.
+    Documents are dealt into ranges and the pack is written in order; what a range's rows are numbered from is the total of the ranges before, one row a range. Nothing of the pack is made or dealt a second time.
     """
-    sizes = items.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
     ranges = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(sizes.repartitionByRange(ranges, "document_id").withColumn("range", F.spark_partition_id()), "review-sizes")
-    totals = dealt.groupBy("range").agg(F.sum("n").alias("total"))
-    starts = totals.select("range", (F.sum("total").over(Window.orderBy("range")) - F.col("total")).alias("start"))
-    so_far = F.sum("n").over(Window.partitionBy("range").orderBy("document_id"))
-    before = dealt.join(F.broadcast(starts), "range").select("document_id", (F.col("start") + so_far - F.col("n")).alias("before"))
-    return items.join(before, "document_id").withColumn("review_item_id", F.format_string("hri_%05d", F.col("before") + F.col("rank")))
+    dealt = items.repartitionByRange(ranges, "document_id").sortWithinPartitions("document_id", "rank")
+    dealt = written(dealt.withColumn("__at", F.monotonically_increasing_id()), "review-pack")  # the range above, the place in it below
+    inside = dealt.withColumns({"__range": F.shiftright("__at", 33), "__place": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
+    totals = inside.groupBy("__range").agg(F.count(F.lit(1)).alias("total"))
+    starts = totals.select("__range", (F.sum("total").over(Window.orderBy("__range")) - F.col("total")).alias("__start"))
+    return inside.join(F.broadcast(starts), "__range").withColumn("review_item_id", F.format_string("hri_%05d", F.col("__start") + F.col("__place") + 1)).drop("__at", "__range", "__place", "__start")
 
 
 def type_distribution(items: DataFrame) -> DataFrame:

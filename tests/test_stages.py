@@ -418,3 +418,27 @@ def test_only_lines_of_documents_that_pass_the_gate_are_mapped(spark, sf, monkey
     through = {r[0] for r in statements.passing(line_plans._gate(spark, sf)).select("document_id").collect()}
     mapped = {r[0] for r in seen[0].select("document_id").distinct().collect()}
     assert mapped and mapped <= through
+
+
+def test_the_review_pack_is_made_once(spark, sf):
+    """The pack is numbered as it was written: nothing of it is read or made again from the lines and the registry."""
+    found = line_plans.review_top30(spark, sf)
+    read = {path.rpartition("/")[0].rpartition("/")[2].partition("-")[0] for path in found.inputFiles()}
+    assert read == {"review"} and len({path.rpartition("/")[0] for path in found.inputFiles()}) == 1
+
+
+def test_types_alone_equal_those_of_the_tables(spark):
+    texts = ["资产负债表", "Balance SHEET", "Balance", "SHEET", "股东 持股比例", "Kcash flow 1", "Ky 分部", "1,234.5", "(7)%", "", None, "净利润", "x"]
+    rng = random.Random(3)
+    rows = [("d", f"t{i // 4}", i // 4, i % 4, [rng.choice(texts) for _ in range(rng.randint(0, 9))]) for i in range(240)]
+    frame = spark.createDataFrame(rows, "document_id string, table_id string, table_ord long, row_index int, cells array<string>")
+    want = {(r.table_id, r.candidate_statement_type) for r in tables.tables(frame).collect()}
+    assert {(r.table_id, r.candidate_statement_type) for r in tables.types(frame).collect()} == want and len({kind for _, kind in want}) > 4
+
+
+def test_eligibility_of_entries_equals_that_of_requests(spark):
+    rows = [("a", 2, "failed", ["x"]), ("a", 1, "pass", []), ("b", 3, "pass", []), ("c", 4, "pass", ["y"])]
+    entries = spark.createDataFrame([(*r, "/out") for r in rows], "document_id string, ord long, parse_quality_level string, missing_files array<string>, output_dir string")
+    log = spark.createDataFrame([("a", "approved_for_extraction", True, 1), ("b", "rejected", False, 2), ("b", "approved_with_warnings", True, 3)], "document_id string, review_decision string, approved_for_extraction boolean, ord long")
+    key = lambda f: sorted(map(str, f.collect()))
+    assert key(review.eligibility_of_entries(entries, log)) == key(review.eligibility(entries.select("document_id"), entries, log))
