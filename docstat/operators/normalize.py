@@ -18,7 +18,10 @@ SOURCE = ("source_type", "source_pages", "table_group_id", "parser_source", "con
 
 def unreadable(value: Column) -> Column:
     """Why a file gives no tables, or null: it isn't JSON, or no list."""
-    v = F.try_parse_json(value)
+    return _unreadable(F.try_parse_json(value))
+
+
+def _unreadable(v: Column) -> Column:
     return F.when(v.isNull(), "not valid JSON").when(~json_tables.is_list(v), "not a list")
 
 
@@ -71,3 +74,16 @@ def normalize(documents: DataFrame, page_files: DataFrame, merged_files: DataFra
     none = documents.select("document_id").join(rows.select("document_id"), "document_id", "left_anti").select("document_id", F.lit("warning").alias("severity"), F.lit(NO_TABLES).alias("message"))
     messages = file_errors(page_files, "page_table").unionByName(file_errors(merged_files, "merged_cross_page_table")).unionByName(none)
     return rows, sources(page_rows, merged_rows, pages, flags), messages
+
+
+def file_messages(files: DataFrame) -> DataFrame:
+    """The messages of `normalize` alone, for those who don't read the tables: each document's files lie in one row and are parsed once.
+
+    files: (document_id, page_file, merged_file); a file that a document doesn't have is null.
+    """
+    parsed = files.select("document_id", *[F.col(c).isNotNull().alias(f"has_{c}") for c in ("page_file", "merged_file")], F.try_parse_json("page_file").alias("page"), F.try_parse_json("merged_file").alias("merged"))
+    one = lambda severity, message: F.struct(F.lit(severity).alias("severity"), message.alias("message"))
+    error = lambda kind, c, file: F.when(F.col(file) & _unreadable(F.col(c)).isNotNull(), one("error", F.concat(F.lit(ERROR[kind]), _unreadable(F.col(c)))))
+    none = F.when(~(json_tables.has_page_rows(F.col("page")) | json_tables.has_merged_rows(F.col("merged"))), one("warning", F.lit(NO_TABLES)))
+    found = F.array_compact(F.array(error("page_table", "page", "has_page_file"), error("merged_cross_page_table", "merged", "has_merged_file"), none))
+    return parsed.select("document_id", F.inline(found))

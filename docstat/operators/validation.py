@@ -55,21 +55,26 @@ def document_report(entries: DataFrame, eligible: DataFrame, tables: DataFrame,
     entries: assessed; eligible: of review.eligibility; tables: with source_pages and table_group_id; fields: all field candidates, kept: those that the mapping keeps; extracted: (document_id,
     statement_type, n_fields, periods); messages: by stage, "normalization" and "extraction" (of the dry run).
     """
+    mapped = kept.groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("fields_count"), F.count_if(F.col("unit") == "unknown").alias("unknown_unit_count"), F.count_if(F.col("period_label") == "unknown_period").alias("unknown_period_count"),
+        F.count_if("requires_review").alias("requires_review_count"), F.sum("confidence").alias("confidence_sum"),
+    )
+    discarded = fields.groupBy("document_id").agg(F.count(F.lit(1)).alias("mapped_count"))
+    chosen = extracted.groupBy("document_id").agg(F.count(F.lit(1)).alias("statement_count"), F.sum("n_fields").alias("field_count"))
+    found = eligible.select("document_id", "eligible_for_extraction", "reason", "review_decision", "required_files_present")
+    return report_of(entries.join(found, "document_id", "left"), tables, messages, discarded, mapped, chosen)
+
+
+def report_of(entries: DataFrame, tables: DataFrame, messages: dict[str, DataFrame], *counts: DataFrame) -> DataFrame:
+    """`document_report` of entries with what eligibility tells of them, and counts of their fields by document: mapped_count; fields_count, unknown_unit_count, unknown_period_count, requires_review_count, confidence_sum; statement_count, field_count."""
     count = lambda c: F.count_if(c)
     errors = lambda stage: messages[stage].where("severity = 'error'").groupBy("document_id").agg(F.count(F.lit(1)).alias(f"{stage}_errors"))
     made = tables.groupBy("document_id").agg(
         F.count(F.lit(1)).alias("canonical_tables_count"), count(F.size("source_pages") == 0).alias("source_pages_missing"), count(F.coalesce("table_group_id", F.lit("")) != "").alias("table_group_id_count"),
         count(F.col("candidate_statement_type").isin(*rules.CANDIDATE_TYPES)).alias("candidates_count"),
     )
-    mapped = kept.groupBy("document_id").agg(
-        F.count(F.lit(1)).alias("fields_count"), count(F.col("unit") == "unknown").alias("unknown_unit_count"), count(F.col("period_label") == "unknown_period").alias("unknown_period_count"),
-        count("requires_review").alias("requires_review_count"), F.sum("confidence").alias("confidence_sum"),
-    )
-    discarded = fields.groupBy("document_id").agg(F.count(F.lit(1)).alias("mapped_count"))
-    chosen = extracted.groupBy("document_id").agg(F.count(F.lit(1)).alias("statement_count"), F.sum("n_fields").alias("field_count"))
-    found = eligible.select("document_id", "eligible_for_extraction", "reason", "review_decision", "required_files_present")
-    report = entries.withColumn("task_copies", F.count(F.lit(1)).over(Window.partitionBy("parse_task_id"))).join(found, "document_id", "left")
-    for part in (made, discarded, mapped, chosen, errors("normalization"), errors("extraction")):
+    report = entries.withColumn("task_copies", F.count(F.lit(1)).over(Window.partitionBy("parse_task_id")))
+    for part in (made, *counts, errors("normalization"), errors("extraction")):
         report = report.join(part, "document_id", "left").fillna(0, [c for c in part.columns if c != "document_id"])
     return report.select(
         "document_id", "parse_task_id", F.when(F.coalesce("parse_task_id", F.lit("")) == "", 1).otherwise(F.col("task_copies")).alias("task_copies"), F.col("missing_files").alias("missing"), "pages_count", "total_pages",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstat.functions import rules, text
-from docstat.operators import candidates, mapping, messages, normalize, quality, registry, review, rule_tables, statements, tables, validation
+from docstat.operators import mapping, messages, normalize, quality, registry, review, rule_tables, statements, tables, validation
 from docstat.plans import inputs
 from docstat.plans.inputs import DECISION_SQL, REGISTRY_SQL, line_origins, line_rows
 from docstat.plans.line_plans import ALIAS_HIT, APPROVED, CHAIN, ELIGIBILITY_SQL, FIELD, GATE_SQL, ORACLES as LINE_ORACLES, ROLE_LINES, WEAK, _alias_values, _fields, _gate, _tables, sql_first, sql_key
@@ -38,37 +38,42 @@ COUNTED = ("document_id", "ord", "candidate_statement_type", "canonical_field_na
 
 
 def _stages(spark, sf):
-    """(gate, normalisation messages, candidates without table, field candidates) of the line items' documents; candidates of every ninth table name one that is gone."""
-    made = store.written(line_origins(tables.tables(line_rows(spark, sf))).drop("raw_text", "word_text"), "tables")  # no rows: the fields come from the lines, whose shuffle is smaller than the tables
+    """(gate, normalisation messages, candidates without table, tables, field candidates) of the line items' documents; candidates of every ninth table name one that is gone."""
+    made = store.written(line_origins(tables.types(line_rows(spark, sf))).select(*tables.TABLE, "candidate_statement_type", "source_pages", "table_group_id"), "tables")  # types only: the fields come from the lines, whose shuffle is smaller than the tables
     fields = store.written(_fields(spark, sf).select(*COUNTED), "fields")
-    found = normalize.normalize(*inputs.parser_files(spark, sf))[2]
-    selected = candidates.select_candidates(made)
+    found = normalize.file_messages(inputs.files_by_document(spark, sf))
+    selected = made.where(F.col("candidate_statement_type").isin(*rules.CANDIDATE_TYPES))
     old = selected.where("table_ord % 9 = 0").withColumn("table_id", F.concat("table_id", F.lit("_old")))
     said, missing = messages.of_normalization(found), mapping.missing_tables(selected.unionByName(old), made, ordered=True)
-    return store.written(_gate(spark, sf), "gate"), store.written(said, "messages"), store.written(missing, "missing"), made, fields
+    return store.written(_gate(spark, sf, *ASSESSED), "gate"), store.written(said, "messages"), store.written(missing, "missing"), made, fields
 
 
-def _of_extraction(gated, found, missing, fields, override):
-    chosen = statements.discarded_counts(statements.deduplicate_fields(fields))
-    return messages.of_extraction(gated, found, missing, statements.mapping_discards(fields), chosen, override)
+#: What the report reads of an assessed entry.
+ASSESSED = ("parse_task_id", "missing_files", "pages_count", "total_pages", "parse_quality_level", "merged_md", "review_decision", "required_files_present")
+
+
+def _of_extraction(gated, found, missing, counts, override):
+    return messages.of_extraction(gated, found, missing, counts.select("document_id", "n_discarded"), counts.select("document_id", F.col("n_passed_over").alias("n_discarded")), override)
 
 
 def extraction_messages(spark: SparkSession, sf: str) -> DataFrame:
     """What the extraction of every document of the registry says, in order, with and without override."""
     gated, found, missing, _, fields = _stages(spark, sf)
-    shown = lambda forced: messages.ordered(_of_extraction(gated, found, missing, fields, forced)).withColumn("override", F.lit(forced))
+    counts = store.written(statements.document_counts(fields), "counts")
+    shown = lambda forced: messages.ordered(_of_extraction(gated, found, missing, counts, forced)).withColumn("override", F.lit(forced))
     return shown(False).unionByName(shown(True))
 
 
 def _report(spark, sf):
     gated, found, missing, made, fields = _stages(spark, sf)
-    known = quality.assess(inputs.registry(spark, sf))
-    eligible = review.eligibility(known.select("document_id"), known, inputs.decision_log(spark, sf))
-    kept = statements.deduplicate_fields(fields)
-    passing = fields.join(gated.where("document_role <> 'auxiliary_material'").select("document_id"), "document_id", "left_semi")
-    extracted = statements.best_fields(statements.deduplicate_fields(passing)).groupBy("document_id", "candidate_statement_type").agg(F.count(F.lit(1)).alias("n_fields"))
-    said = {"normalization": found, "extraction": _of_extraction(gated, found, missing, fields, True)}
-    return validation.document_report(known, eligible, made, fields, kept, extracted, said)
+    counts = store.written(statements.document_counts(fields), "counts")
+    mapped = counts.select(
+        "document_id", F.col("n_fields").alias("mapped_count"), F.col("n_kept").alias("fields_count"), F.col("unknown_unit").alias("unknown_unit_count"), F.col("unknown_period").alias("unknown_period_count"), F.col("n_review").alias("requires_review_count"), "confidence_sum",
+    )
+    passing = gated.where("document_role <> 'auxiliary_material'").select("document_id")
+    chosen = counts.join(passing, "document_id", "left_semi").select("document_id", F.col("n_statements").alias("statement_count"), F.col("n_chosen").alias("field_count"))
+    said = {"normalization": found, "extraction": _of_extraction(gated, found, missing, counts, True)}
+    return validation.report_of(gated, made, said, mapped, chosen)
 
 
 def document_report(spark: SparkSession, sf: str) -> DataFrame:

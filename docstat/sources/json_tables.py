@@ -16,12 +16,13 @@ def whole_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def is_list(v: Column) -> Column:
-    return F.schema_of_variant(v).startswith("ARRAY")
+    """Whether it is a list, told without the types of all that is in it."""
+    return v.try_cast(VARIANTS).isNotNull()
 
 
 def items(v: Column) -> Column:
     """The items of a variant list; anything else has none."""
-    return F.when(is_list(v), v.cast(VARIANTS)).otherwise(F.array().cast(VARIANTS))
+    return F.coalesce(v.try_cast(VARIANTS), F.array().cast(VARIANTS))
 
 
 def cell_text(v: Column) -> Column:
@@ -78,6 +79,18 @@ def merged_tables(files: DataFrame) -> DataFrame:
     )
 
 
+def has_page_rows(v: Column) -> Column:
+    """Whether `page_tables` finds a row in a parsed tables.json."""
+    of_page = lambda p: F.exists(items(F.try_variant_get(p, "$.tables", "variant")), lambda t: F.size(items(t)) > 0)
+    return F.exists(items(v), of_page)
+
+
+def has_merged_rows(v: Column) -> Column:
+    """The same of `merged_tables`."""
+    of_group = lambda g: F.exists(items(F.try_variant_get(g, "$.tables", "variant")), lambda t: F.size(items(F.try_variant_get(t, "$.table", "variant"))) > 0)
+    return F.exists(items(v), of_group)
+
+
 def _window(*keys: str, order: tuple[str, ...]):
     from pyspark.sql import Window
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docstat.functions import rules, text
-from docstat.operators import incremental, mapping, messages, quality, registry, review, rule_tables, statements, tables, validation
+from docstat.operators import incremental, mapping, messages, normalize, quality, registry, review, rule_tables, statements, tables, validation
 from docstat.plans import catalogue, inputs, line_plans, stage_plans
 from docstat.sources import document_files, file_probe, json_tables, parse_service, rule_file, store
 from docstat.sources.segments import Latest, finished
@@ -442,3 +442,42 @@ def test_eligibility_of_entries_equals_that_of_requests(spark):
     log = spark.createDataFrame([("a", "approved_for_extraction", True, 1), ("b", "rejected", False, 2), ("b", "approved_with_warnings", True, 3)], "document_id string, review_decision string, approved_for_extraction boolean, ord long")
     key = lambda f: sorted(map(str, f.collect()))
     assert key(review.eligibility_of_entries(entries, log)) == key(review.eligibility(entries.select("document_id"), entries, log))
+
+
+def test_files_are_parsed_once_for_their_messages(spark):
+    """What `normalize` says of files, from one row a document that is read once."""
+    page = lambda tables: json.dumps([{"page_number": 1, "tables": tables}])
+    group = lambda tables: json.dumps([{"source_pages": ["1"], "table_group_id": "g", "tables": tables}])
+    pages = {"a": page([[["x"]]]), "b": "{bad", "c": page([[], "x", None]), "d": '{"a": 1}', "e": "[]", "f": "[1, null]", "g": page([]), "h": "null", "i": page({"x": [["y"]]})}
+    merged = {"b": group([{"table": [["x"]]}]), "c": '"text"', "d": group([{"table": []}]), "e": group("no list"), "f": "", "g": group([{"other": [["x"]]}, {"table": [[]]}])}
+    files = spark.createDataFrame([(d, pages[d], merged.get(d)) for d in pages], "document_id string, page_file string, merged_file string")
+    of = lambda found: spark.createDataFrame(list(found.items()), "document_id string, value string")
+    none = lambda schema: spark.createDataFrame([], schema)
+    records = none("document_id string, page_number int, parser_source string, table_group_id string, table_intent_score double, quality_flags array<string>")
+    want = normalize.normalize(files.select("document_id"), of(pages), of(merged), records, none("document_id string, page_number int, flags array<string>"))[2]
+    key = lambda frame: sorted(tuple(r) for r in frame.select("document_id", "severity", "message").collect())
+    assert key(normalize.file_messages(files)) == key(want) and len(key(want)) > 8
+
+
+def test_document_counts_equal_the_steps_they_stand_for(spark, sf):
+    fields = line_plans._fields(spark, sf).select(*stage_plans.COUNTED)
+    found = statements.document_counts(fields)
+    got = {r.document_id: r for r in found.collect()}
+    kept = statements.deduplicate_fields(fields).toPandas()
+    mapped = {r.document_id: r.n_discarded for r in statements.mapping_discards(fields).collect()}
+    chosen = {r.document_id: (r.n_fields, r.n_discarded) for r in statements.discarded_counts(statements.deduplicate_fields(fields)).collect()}
+    best = statements.best_fields(statements.deduplicate_fields(fields)).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("candidate_statement_type").alias("s")).collect()
+    assert {d: r.n_discarded for d, r in got.items()} == mapped and {d: (r.n_kept, r.n_passed_over) for d, r in got.items()} == chosen
+    assert {d: (r.n_chosen, r.n_statements) for d, r in got.items()} == {r.document_id: (r.n, r.s) for r in best}
+    own = kept.groupby("document_id").agg(unit=("unit", lambda x: (x == "unknown").sum()), period=("period_label", lambda x: (x == "unknown_period").sum()), review=("requires_review", "sum"))
+    assert all((r.unknown_unit, r.unknown_period, r.n_review) == tuple(own.loc[d]) for d, r in got.items())
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # the lines', and one for all counts
+
+
+def test_stages_read_each_input_once(spark, sf, monkeypatch):
+    """Files are made from one grouping of the lines, and messages count fields in one pass, whatever the number of results."""
+    kept = {}
+    monkeypatch.setattr(store, "written", lambda frame, tag: kept.setdefault(tag, frame))
+    found = stage_plans._stages(spark, sf)[1]
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert "collect_list" not in kept["tables"]._jdf.queryExecution().optimizedPlan().toString()
